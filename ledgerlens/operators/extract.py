@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import values as v
 from ledgerlens.functions.text import (
-    LINE_END, blank_to_null, clean_document_text, collapse, strip_chars, strip_space)
+    LINE_END, SPACE, blank_to_null, clean_document_text, collapse, strip_chars, strip_space)
 
 DELIMITERS = " \t:;|,"
 DEFAULT_MINIMUM_CONFIDENCE = 0.75
@@ -96,6 +96,10 @@ NEXT_LINE_PENALTY = 0.02
 FALLBACK_PENALTY = 0.15
 METHOD_RANK = {"labeled_line": 3, "labeled_next_line": 2, "fallback_pattern": 1}
 
+ANY_LABEL = rf"(?iU)^{SPACE}*(?:" + "|".join(
+    f"(?:{label})" for rule in FIELD_RULES for label in rule.labels
+).replace(r"\s", SPACE) + ")"
+
 FIELD_NAMES = [rule.name for rule in FIELD_RULES]
 _FIELD_TYPE = ("struct<value:string,raw_value:string,found:boolean,page_number:int,"
                "page_id:bigint,source_text:string,confidence_score:double,"
@@ -116,8 +120,11 @@ def confidence(base: Column, page: Column, next_line: Column, fallback: Column)
     return F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 4)
 
 
-def page_lines(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per line: position, text, and the next non-empty of two lines."""
+def page_lines(pages: DataFrame, keep: list[str], only_labelled: bool = False) -> DataFrame:
+    """One row per line: position, tidy text and the two lines after it.
+
+    ``only_labelled`` keeps the first line of a page and those that begin with a label.
+    """
     split = pages.select(*keep, F.split("cleaned", LINE_END).alias("lines"))
 
     def with_next(line: Column, i: Column) -> Column:
@@ -125,10 +132,13 @@ def page_lines(pages: DataFrame, keep: list[str]) -> DataFrame:
                         F.get("lines", i + 2).alias("two"))
 
     # the outer form, as the plain one adds a filter that would build the array twice
-    return (split.withColumn("windows", F.transform("lines", with_next))
-            .select(*keep, F.posexplode_outer("windows"))
-            .select(*keep, F.col("pos").alias("line_no"),
-                    collapse(F.col("col.line")).alias("line"), "col.one", "col.two"))
+    unfolded = (split.withColumn("windows", F.transform("lines", with_next))
+                .select(*keep, F.posexplode_outer("windows"))
+                .select(*keep, F.col("pos").alias("line_no"), "col.*"))
+    if only_labelled:
+        # tested on the raw line, so other lines are not even tidied
+        unfolded = unfolded.where((F.col("line_no") == 0) | F.col("line").rlike(ANY_LABEL))
+    return unfolded.withColumn("line", collapse(F.col("line")))
 
 
 def next_non_empty() -> Column:
@@ -165,25 +175,28 @@ def with_fallback(pages: DataFrame) -> DataFrame:
             .withColumn("fallback", fallback_match()))
 
 
+def _sql_pattern(pattern: str) -> str:
+    """A regular expression as a raw SQL literal."""
+    return f"r'{pattern}'"
+
+
 def candidates(pages: DataFrame, document: str = "document_id") -> DataFrame:
     """Every field candidate, every refused value, and one marker row per page."""
     keep = [document, "page_number", "page_id", "confidence_score", "fallback"]
-    lines = page_lines(with_fallback(pages), keep)
-    any_label = "(?iU)^(?:" + "|".join(
-        f"(?:{label})" for rule in FIELD_RULES for label in rule.labels) + ")"
-    lines = lines.where((F.col("line_no") == 0) | F.col("line").rlike(any_label))
-
-    entries = [F.when(F.col("line_no") == 0, F.struct(
-        F.lit("page").alias("kind"), F.lit(-1).alias("rule_no"), F.lit("").alias("raw")))]
-    entries.append(F.when((F.col("line_no") == 0) & F.col("fallback.value").isNotNull(), F.struct(
-        F.lit("fallback").alias("kind"), F.lit(0).alias("rule_no"),
-        F.col("fallback.raw").alias("raw"))))
+    lines = page_lines(with_fallback(pages), keep, only_labelled=True)
+    # written as SQL text: one expression per rule instead of a dozen calls each
+    entries = [
+        "CASE WHEN line_no = 0 THEN named_struct('kind', 'page', 'rule_no', -1, 'raw', '') END",
+        "CASE WHEN line_no = 0 AND fallback.value IS NOT NULL THEN "
+        "named_struct('kind', 'fallback', 'rule_no', 0, 'raw', fallback.raw) END"]
     for number, rule in enumerate(FIELD_RULES):
-        entries.append(F.when(F.col("line").rlike(rule.pattern), F.struct(
-            F.lit("label").alias("kind"), F.lit(number).alias("rule_no"),
-            strip_chars(F.regexp_extract("line", rule.pattern, 1), DELIMITERS).alias("raw"))))
+        pattern = _sql_pattern(rule.pattern)
+        entries.append(
+            f"CASE WHEN line RLIKE {pattern} THEN named_struct('kind', 'label', 'rule_no', "
+            f"{number}, 'raw', trim(BOTH '{DELIMITERS}' FROM regexp_extract(line, {pattern}, 1)))"
+            " END")
     # the array is built in its own projection, where it compiles
-    hits = (lines.withColumn("hits", F.array(*entries))
+    hits = (lines.withColumn("hits", F.expr(f"array({', '.join(entries)})"))
             .select("*", F.explode_outer("hits").alias("hit")).drop("hits")
             .where(F.col("hit").isNotNull()))
 
@@ -200,13 +213,11 @@ def candidates(pages: DataFrame, document: str = "document_id") -> DataFrame:
         F.col("hit.rule_no").alias("rule_no"), raw.alias("raw_value"),
         source.alias("source_text"), from_next.alias("from_next"), "confidence_score")
 
-    name, base, kind = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit("")
-    for number, rule in enumerate(FIELD_RULES):
-        mine = F.col("rule_no") == number
-        name = F.when(mine, rule.name).otherwise(name)
-        base = F.when(mine, rule.confidence).otherwise(base)
-        kind = F.when(mine, rule.kind).otherwise(kind)
-    named = found.withColumn("field", name).withColumn("normaliser", kind)
+    per_rule = lambda attribute, quote: "CASE rule_no " + " ".join(
+        f"WHEN {n} THEN {quote}{getattr(rule, attribute)}{quote}"
+        for n, rule in enumerate(FIELD_RULES)) + " END"
+    named = found.withColumns({"field": F.expr(per_rule("name", "'")),
+                               "normaliser": F.expr(per_rule("kind", "'"))})
     prepared, value = F.lit(None).cast("string"), F.lit(None).cast("string")
     for label, (prepare, finish) in v.NORMALISERS.items():
         mine = F.col("normaliser") == label
@@ -214,7 +225,8 @@ def candidates(pages: DataFrame, document: str = "document_id") -> DataFrame:
         value = F.when(mine, finish(F.col("prepared"))).otherwise(value)
     named = named.withColumn("prepared", prepared).withColumn("value", value)
     is_fallback = F.col("kind") == "fallback"
-    base = F.when(is_fallback, FALLBACK_CONFIDENCE).otherwise(base)
+    base = F.when(is_fallback, FALLBACK_CONFIDENCE).otherwise(
+        F.expr(f"CAST({per_rule('confidence', '')} AS DOUBLE)"))
     method = (F.when(is_fallback, "fallback_pattern")
               .when(F.col("kind") == "label", F.when(F.col("from_next"), "labeled_next_line")
                     .otherwise("labeled_line")))
@@ -257,10 +269,13 @@ def best_candidates(found: DataFrame, document: str = "document_id") -> DataFram
                  F.count(F.when(F.col("kind") == "page", 1)).alias("pages")))
 
 
-def _values_of(rule_no: int) -> Column:
-    """Values of one field, in the order the document shows them."""
-    mine = F.filter("seen_values", lambda x: x["rule_no"] == rule_no)
-    return F.transform(F.array_sort(mine), lambda x: x["value"])
+def _values_of(rule_no: int) -> str:
+    """SQL for the distinct values of one field, in the order the document shows them."""
+    values = (f"transform(array_sort(filter(seen_values, x -> x.rule_no = {rule_no})), "
+              "x -> x.value)")
+    if rule_no == 0:
+        values = f"concat(array_compact(array(fallback_value)), {values})"
+    return f"array_distinct({values})"
 
 
 def extract_documents(pages: DataFrame, document: str = "document_id",
@@ -269,17 +284,15 @@ def extract_documents(pages: DataFrame, document: str = "document_id",
     if not 0 <= minimum_confidence <= 1:
         raise ValueError("minimum_confidence must be between 0 and 1")
     reduced = best_candidates(candidates(pages, document), document)
-    usable = F.col("value").isNotNull()
-    labelled = usable & ~F.col("is_fallback")
-    aggregates = [
-        F.min(F.when(labelled & (F.col("rule_no") == n), F.col("best"))).alias(f"best_{n}")
-        for n in range(len(FIELD_RULES))]
+    labelled = "value IS NOT NULL AND NOT is_fallback"
     joined = reduced.groupBy(document).agg(
-        *aggregates,
-        F.min(F.when(F.col("is_fallback"), F.struct("seen", "best"))).alias("fallback"),
-        F.min(F.when(labelled & (F.col("rule_no") == 0), F.col("seen"))).alias("first_label"),
-        F.collect_list(F.when(labelled, F.struct("rule_no", "seen", "value"))).alias("seen_values"),
-        F.collect_list(F.when(F.col("warning").isNotNull(), F.struct("seen", "warning")))
+        *[F.expr(f"min(best) FILTER (WHERE {labelled} AND rule_no = {n})").alias(f"best_{n}")
+          for n in range(len(FIELD_RULES))],
+        F.expr("min(struct(seen, best)) FILTER (WHERE is_fallback)").alias("fallback"),
+        F.expr(f"min(seen) FILTER (WHERE {labelled} AND rule_no = 0)").alias("first_label"),
+        F.expr(f"collect_list(struct(rule_no, seen, value)) FILTER (WHERE {labelled})")
+        .alias("seen_values"),
+        F.expr("collect_list(struct(seen, warning)) FILTER (WHERE warning IS NOT NULL)")
         .alias("refused"),
         F.sum("pages").cast("int").alias("page_count"))
 
@@ -298,26 +311,23 @@ def extract_documents(pages: DataFrame, document: str = "document_id",
         *[F.coalesce(chosen[n]["evidence"].cast(_FIELD_TYPE), absent).alias(rule.name)
           for n, rule in enumerate(FIELD_RULES)])
 
+    fields = fields.withColumns({f"shown_{n}": F.expr(_values_of(n))
+                                 for n in range(len(FIELD_RULES))})
     notes = []
     for n, rule in enumerate(FIELD_RULES):
-        seen = _values_of(n)
-        if n == 0:
-            seen = F.concat(F.array_compact(F.array("fallback_value")), seen)
-        seen = F.array_distinct(seen)
-        picked = F.col(rule.name)
-        notes.append(F.when(F.size(seen) > 1, F.concat(
-            F.lit(f"Conflicting values found for {rule.name}: "), F.array_join(seen, ", "),
-            F.lit(". Selected "), picked["value"], F.lit(" from page "),
-            picked["page_number"].cast("string"), F.lit("."))))
-        notes.append(F.when(picked["confidence_score"] < minimum_confidence, F.concat(
-            F.lit(f"Low-confidence extraction for {rule.name}: "),
-            F.format_string("%.2f", picked["confidence_score"]), F.lit("."))))
+        name = rule.name
+        notes.append(
+            f"CASE WHEN size(shown_{n}) > 1 THEN concat('Conflicting values found for {name}: ', "
+            f"array_join(shown_{n}, ', '), '. Selected ', {name}.value, ' from page ', "
+            f"CAST({name}.page_number AS STRING), '.') END")
+        notes.append(
+            f"CASE WHEN {name}.confidence_score < {minimum_confidence}D THEN concat('Low-confidence "
+            f"extraction for {name}: ', format_string('%.2f', {name}.confidence_score), '.') END")
         if rule.required:
-            notes.append(F.when(~picked["found"],
-                                F.lit(f"Required field {rule.name} was not found.")))
-    warnings = F.array_distinct(F.concat(
-        F.transform(F.array_sort("refused"), lambda x: x["warning"]),
-        F.array_compact(F.array(*notes))))
+            notes.append(f"CASE WHEN NOT {name}.found THEN "
+                         f"'Required field {name} was not found.' END")
+    warnings = F.expr("array_distinct(concat(transform(array_sort(refused), x -> x.warning), "
+                      f"array_compact(array({', '.join(notes)}))))")
     scores = F.array_compact(F.array(*[F.col(name)["confidence_score"] for name in FIELD_NAMES]))
     mean = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)
     return fields.select(

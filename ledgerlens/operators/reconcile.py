@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import full_name, identifier_key, text_key
-from ledgerlens.functions.values import money_text, record_date, record_money, record_status
+from ledgerlens.functions.values import record_date, record_money, record_status
 from ledgerlens.operators.extract import FIELD_NAMES, presence
 from ledgerlens.operators.skew import lookup_join
 
@@ -114,65 +114,69 @@ def _keys(matched: DataFrame) -> DataFrame:
             .withColumn("k_gap", F.abs(F.col("k_e_premium") - F.col("k_a_premium"))))
 
 
-def _evidence(pairs: dict[str, Column]) -> Column:
-    if not pairs:
-        return F.create_map().cast("map<string,string>")
-    return F.create_map(*[x for k, val in pairs.items()
-                          for x in (F.lit(k), val.cast("string"))])
-
-
-def _finding(rule: str, kind, field: str | None, status, severity, expected, actual, message,
-             policy, source: str | None = None, evidence: Column | None = None) -> Column:
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    part = (lambda name, t: F.col(f"x_{source}.{name}") if source
-            else F.lit(None).cast(t))
-    return F.struct(
-        F.lit(rule).alias("rule_code"), as_col(kind).alias("finding_type"),
-        F.lit(field).cast("string").alias("field_name"), as_col(status).alias("status"),
-        as_col(severity).alias("severity"), as_col(expected).cast("string").alias("expected_value"),
-        as_col(actual).cast("string").alias("actual_value"), as_col(message).alias("message"),
-        as_col(policy).cast("long").alias("business_policy_id"),
-        part("source_text", "string").alias("source_text"),
-        part("page_number", "int").alias("source_page_number"),
-        part("page_id", "long").alias("source_page_id"),
-        part("confidence_score", "double").alias("confidence_score"),
-        (evidence if evidence is not None else _evidence({})).alias("evidence_data"))
-
-
-def _cases(*branches, otherwise):
-    """(condition, value) pairs tried in order."""
-    chain = None
-    for test, value in branches:
-        value = value if isinstance(value, Column) else F.lit(value)
-        chain = F.when(test, value) if chain is None else chain.when(test, value)
-    return chain.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
+def _cases(*branches: tuple[str, str], otherwise: str) -> str:
+    """SQL CASE over (condition, value) pairs tried in order."""
+    return "CASE " + " ".join(f"WHEN {t} THEN {v}" for t, v in branches) + f" ELSE {otherwise} END"
+
+
+def _text(value: str) -> str:
+    return f"'{value}'"
+
+
+def _texts(*branches: tuple[str, str], otherwise: str) -> str:
+    return _cases(*[(t, _text(v)) for t, v in branches], otherwise=_text(otherwise))
+
+
+NO_EVIDENCE = "CAST(map() AS MAP<STRING, STRING>)"
+
+
+def _finding(rule: str, kind: str, field: str | None, status: str, severity: str, expected: str,
+             actual: str, message: str, policy: str = "policy_id", source: str | None = None,
+             evidence: str = NO_EVIDENCE) -> str:
+    """SQL struct of one check; arguments are SQL expressions except rule, field and source."""
+    part = lambda name: f"x_{source}.{name}" if source else "NULL"
+    cells = {
+        "rule_code": _text(rule), "finding_type": kind,
+        "field_name": _text(field) if field else "CAST(NULL AS STRING)",
+        "status": status, "severity": severity,
+        "expected_value": f"CAST({expected} AS STRING)",
+        "actual_value": f"CAST({actual} AS STRING)", "message": message,
+        "business_policy_id": f"CAST({policy} AS BIGINT)",
+        "source_text": f"CAST({part('source_text')} AS STRING)",
+        "source_page_number": f"CAST({part('page_number')} AS INT)",
+        "source_page_id": f"CAST({part('page_id')} AS BIGINT)",
+        "confidence_score": f"CAST({part('confidence_score')} AS DOUBLE)",
+        "evidence_data": evidence}
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in cells.items()) + ")"
 
 
 def _comparison(rule: str, field: str, label: str, expected_key: str, actual_key: str,
-                expected: Column, actual: Column, severity: str, required: bool,
-                date: bool = False) -> Column:
+                expected: str, actual: str, severity: str, required: bool,
+                date: bool = False) -> str:
     """Two keys that must agree; a missing side asks for a review."""
-    e, a = F.col(expected_key), F.col(actual_key)
-    neither, no_record, no_document = e.isNull() & a.isNull(), e.isNull(), a.isNull()
-    status = _cases((neither, "needs_review" if required else "skipped"),
-                    (no_record | no_document, "needs_review"), (e == a, "passed"),
-                    otherwise="failed")
-    level = _cases((neither, severity if required else "info"),
-                   (no_record | no_document, severity), (e == a, "info"), otherwise=severity)
+    neither = f"{expected_key} IS NULL AND {actual_key} IS NULL"
+    no_record, no_document = f"{expected_key} IS NULL", f"{actual_key} IS NULL"
+    equal = f"{expected_key} = {actual_key}"
+    status = _texts((neither, "needs_review" if required else "skipped"),
+                    (no_record, "needs_review"), (no_document, "needs_review"),
+                    (equal, "passed"), otherwise="failed")
+    level = _texts((neither, severity if required else "info"), (no_record, severity),
+                   (no_document, severity), (equal, "info"), otherwise=severity)
     only_document = (f"The database does not contain a usable {label}." if date else
                      f"The document contains {label}, but the database value is missing.")
-    message = _cases(
+    message = _texts(
         (neither, f"{label} is unavailable in both the document and database."),
         (no_record, only_document),
         (no_document, f"The document does not contain a usable {label}"
                       + ("." if date else " value.")),
-        (e == a, f"{label} matches the database."),
+        (equal, f"{label} matches the database."),
         otherwise=f"{label} differs between the document and database.")
-    evidence = None if date else F.when(
-        e != a, _evidence({"normalized_expected": e, "normalized_actual": a})
-    ).otherwise(_evidence({}))
-    return _finding(rule, field, field, status, level, e if date else expected,
-                    a if date else actual, message, F.col("policy_id"), field, evidence)
+    evidence = NO_EVIDENCE if date else _cases(
+        (f"{expected_key} <> {actual_key}",
+         f"map('normalized_expected', {expected_key}, 'normalized_actual', {actual_key})"),
+        otherwise=NO_EVIDENCE)
+    return _finding(rule, _text(field), field, status, level, expected_key if date else expected,
+                    actual_key if date else actual, message, source=field, evidence=evidence)
 
 
 def evaluate(matched: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -180,123 +184,126 @@ def evaluate(matched: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     All checks of a document are one array that is unfolded, not twelve unions.
     """
-    keyed = _keys(matched)
-    policy = F.col("policy_id")
-    value = lambda name: F.col(f"x_{name}.value")
     floor = settings.minimum_confidence
-    weak = F.array_compact(F.array(*[
-        F.when(F.col(f"x_{n}.confidence_score") < floor, F.lit(n)) for n in FIELD_NAMES]))
-    good = (F.col("document_confidence") >= floor) & (F.size(weak) == 0)
+    weak = ", ".join(f"CASE WHEN x_{n}.confidence_score < {floor}D THEN '{n}' END"
+                     for n in FIELD_NAMES)
+    left_out = ("coalesce(k_record_status = 'cancelled', false)"
+                if settings.exclude_cancelled else "false")
+    keyed = _keys(matched).withColumns({
+        "k_weak": F.expr(f"array_compact(array({weak}))"),
+        "k_same": F.coalesce(identifier_key(F.col("policy_number"))
+                             == identifier_key(F.col("x_policy_number.value")), F.lit(False)),
+        "k_left_out": F.expr(left_out),
+    }).withColumn("k_good", F.expr(f"document_confidence >= {floor}D AND size(k_weak) = 0"))
+
     quality = _finding(
-        "REC012", _cases((good, "extraction_confidence"), otherwise="low_extraction_confidence"),
-        None, _cases((good, "passed"), otherwise="needs_review"),
-        _cases((good, "info"), otherwise="medium"), str(floor), F.col("document_confidence"),
-        _cases((good, "Document extraction confidence meets the required threshold."),
+        "REC012", _texts(("k_good", "extraction_confidence"), otherwise="low_extraction_confidence"),
+        None, _texts(("k_good", "passed"), otherwise="needs_review"),
+        _texts(("k_good", "info"), otherwise="medium"), _text(str(floor)), "document_confidence",
+        _texts(("k_good", "Document extraction confidence meets the required threshold."),
                otherwise="Document extraction confidence is below the required threshold."),
-        None, None,
-        F.when(good, _evidence({"low_confidence_fields": F.lit("[]")})).otherwise(_evidence({
-            "low_confidence_fields": F.to_json(weak),
-            "extraction_warnings": F.to_json("warnings")})))
-
+        "NULL", None, _cases(
+            ("k_good", "map('low_confidence_fields', '[]')"),
+            otherwise="map('low_confidence_fields', to_json(k_weak), 'extraction_warnings', "
+                      "to_json(warnings))"))
     unmatched = _finding(
-        "REC001", "unmatched_policy", "policy_number", "failed", "high",
-        "Existing policy record", value("policy_number"),
-        "No database policy matched the extracted policy number.", None, "policy_number")
-    same = identifier_key(F.col("policy_number")) == identifier_key(value("policy_number"))
-    same = F.coalesce(same, F.lit(False))
+        "REC001", _text("unmatched_policy"), "policy_number", _text("failed"), _text("high"),
+        _text("Existing policy record"), "x_policy_number.value",
+        _text("No database policy matched the extracted policy number."), "NULL", "policy_number")
     number = _finding(
-        "REC001", _cases((same, "policy_match"), otherwise="policy_number_mismatch"),
-        "policy_number", _cases((same, "passed"), otherwise="failed"),
-        _cases((same, "info"), otherwise="high"), F.col("policy_number"), value("policy_number"),
-        _cases((same, "Policy number matches the database."),
+        "REC001", _texts(("k_same", "policy_match"), otherwise="policy_number_mismatch"),
+        "policy_number", _texts(("k_same", "passed"), otherwise="failed"),
+        _texts(("k_same", "info"), otherwise="high"), "policy_number", "x_policy_number.value",
+        _texts(("k_same", "Policy number matches the database."),
                otherwise="Policy number differs between the document and database."),
-        policy, "policy_number")
-    many = F.col("policy_matches") > 1
+        source="policy_number")
+    many = "policy_matches > 1"
     unique = _finding(
-        "REC002", _cases((many, "duplicate_policy_number"), otherwise="unique_policy_number"),
-        "policy_number", _cases((many, "needs_review"), otherwise="passed"),
-        _cases((many, "high"), otherwise="info"), "1", F.col("policy_matches"),
-        _cases((many, "Multiple database policies share this policy number."),
+        "REC002", _texts((many, "duplicate_policy_number"), otherwise="unique_policy_number"),
+        "policy_number", _texts((many, "needs_review"), otherwise="passed"),
+        _texts((many, "high"), otherwise="info"), _text("1"), "policy_matches",
+        _texts((many, "Multiple database policies share this policy number."),
                otherwise="The policy number identifies one database record."),
-        policy, "policy_number")
+        source="policy_number")
 
-    has, tracked = F.col("k_a_signature").isNotNull(), F.col("k_e_signature").isNotNull()
-    agree = F.col("k_a_signature") == F.col("k_e_signature")
+    unsigned, untracked = "k_a_signature IS NULL", "k_e_signature IS NULL"
+    agree = "k_a_signature = k_e_signature"
     signature = _finding(
         "REC008",
-        _cases((~has, "missing_signature"), (~tracked, "signature_present"),
+        _texts((unsigned, "missing_signature"), (untracked, "signature_present"),
                (agree, "signature_date_match"), otherwise="signature_date_mismatch"),
         "signature_date",
-        _cases((~has, "needs_review"), (~tracked | agree, "passed"), otherwise="failed"),
-        _cases((~has, "high"), (~tracked | agree, "info"), otherwise="high"),
-        F.when(has & ~tracked, "true").otherwise(F.col("k_e_signature")),
-        F.col("k_a_signature"),
-        _cases((~has, "The document does not contain a valid signature date."),
-               (~tracked, "The document contains a valid signature date."),
+        _texts((unsigned, "needs_review"), (untracked, "passed"), (agree, "passed"),
+               otherwise="failed"),
+        _texts((unsigned, "high"), (untracked, "info"), (agree, "info"), otherwise="high"),
+        _cases((unsigned, "k_e_signature"), (untracked, _text("true")), otherwise="k_e_signature"),
+        "k_a_signature",
+        _texts((unsigned, "The document does not contain a valid signature date."),
+               (untracked, "The document contains a valid signature date."),
                (agree, "Signature date matches the database."),
                otherwise="Signature date differs between the document and database."),
-        policy, "signature_date",
-        F.when(has & ~tracked, _evidence({"database_signature_date_tracked": F.lit("false")}))
-        .otherwise(_evidence({})))
-
-    tolerance = F.lit(settings.premium_tolerance).cast("decimal(38,2)")
-    no_record, no_document = F.col("k_e_premium").isNull(), F.col("k_a_premium").isNull()
-    close = F.col("k_gap") <= tolerance
+        source="signature_date", evidence=_cases(
+            ("k_a_signature IS NOT NULL AND k_e_signature IS NULL",
+             "map('database_signature_date_tracked', 'false')"),
+            otherwise=NO_EVIDENCE))
+
+    tolerance = f"CAST('{settings.premium_tolerance}' AS DECIMAL(38,2))"
+    no_record, no_document = "k_e_premium IS NULL", "k_a_premium IS NULL"
+    close = f"k_gap <= {tolerance}"
     premium = _finding(
         "REC009",
-        _cases((no_record, "premium_missing_database"), (no_document, "premium_missing_document"),
+        _texts((no_record, "premium_missing_database"), (no_document, "premium_missing_document"),
                (close, "premium_match"), otherwise="premium_mismatch"),
         "premium",
-        _cases((no_record | no_document, "needs_review"), (close, "passed"), otherwise="failed"),
-        _cases((no_record | no_document, "high"), (close, "info"), otherwise="high"),
-        money_text(F.col("k_e_premium")), money_text(F.col("k_a_premium")),
-        _cases((no_record, "The database premium is missing or invalid."),
+        _texts((no_record, "needs_review"), (no_document, "needs_review"), (close, "passed"),
+               otherwise="failed"),
+        _texts((no_record, "high"), (no_document, "high"), (close, "info"), otherwise="high"),
+        "k_e_premium", "k_a_premium",
+        _texts((no_record, "The database premium is missing or invalid."),
                (no_document, "The document premium is missing or invalid."),
                (close, "Premium matches within the configured tolerance."),
                otherwise="Premium differs by more than the configured tolerance."),
-        policy, "premium",
-        F.when(no_record | no_document, _evidence({})).otherwise(_evidence({
-            "difference": money_text(F.col("k_gap")), "tolerance": money_text(tolerance)})))
-
-    status = F.col("k_record_status")
-    left_out = (F.coalesce(status == "cancelled", F.lit(False))
-                if settings.exclude_cancelled else F.lit(False))
-    paid, unknown = F.col("has_payment"), F.col("has_payment").isNull()
-    active = F.coalesce(status == "active", F.lit(False))
+        source="premium", evidence=_cases(
+            (f"{no_record} OR {no_document}", NO_EVIDENCE),
+            otherwise=f"map('difference', CAST(k_gap AS STRING), 'tolerance', "
+                      f"CAST({tolerance} AS STRING))"))
+
+    unknown, active = "has_payment IS NULL", "k_record_status = 'active'"
     payment = _finding(
         "REC011",
-        _cases((left_out, "payment_presence"), (unknown, "payment_presence_unknown"),
-               (paid, "payment_presence"), otherwise="missing_payment"),
+        _texts(("k_left_out", "payment_presence"), (unknown, "payment_presence_unknown"),
+               ("has_payment", "payment_presence"), otherwise="missing_payment"),
         None,
-        _cases((left_out, "skipped"), (unknown, "needs_review"), (paid, "passed"),
+        _texts(("k_left_out", "skipped"), (unknown, "needs_review"), ("has_payment", "passed"),
                otherwise="failed"),
-        _cases((left_out, "info"), (unknown, "medium"), (paid, "info"), (active, "high"),
-               otherwise="medium"),
-        "true", F.col("has_payment").cast("string"),
-        _cases((left_out, "Payment validation was skipped because the policy is cancelled."),
+        _texts(("k_left_out", "info"), (unknown, "medium"), ("has_payment", "info"),
+               (active, "high"), otherwise="medium"),
+        _text("true"), "has_payment",
+        _texts(("k_left_out", "Payment validation was skipped because the policy is cancelled."),
                (unknown, "Payment availability could not be determined."),
-               (paid, "The policy has at least one associated payment."),
+               ("has_payment", "The policy has at least one associated payment."),
                otherwise="The policy does not have an associated payment."),
-        policy, None, _evidence({"policy_status": status}))
+        evidence="map('policy_status', k_record_status)")
 
     checks = [
         quality, number, unique,
         _comparison("REC003", "customer_name", "Customer name", "k_e_customer", "k_a_customer",
-                    F.col("record_customer"), value("customer_name"), "high", True),
+                    "record_customer", "x_customer_name.value", "high", True),
         _comparison("REC004", "carrier_name", "Carrier name", "k_e_carrier", "k_a_carrier",
-                    F.col("record_carrier"), value("carrier_name"), "medium", False),
+                    "record_carrier", "x_carrier_name.value", "medium", False),
         _comparison("REC005", "plan_name", "Plan name", "k_e_plan", "k_a_plan",
-                    F.col("record_plan"), value("plan_name"), "medium", False),
+                    "record_plan", "x_plan_name.value", "medium", False),
         _comparison("REC006", "effective_date", "Effective date", "k_e_effective",
-                    "k_a_effective", None, None, "high", True, date=True),
+                    "k_a_effective", "", "", "high", True, date=True),
         _comparison("REC007", "termination_date", "Termination date", "k_e_termination",
-                    "k_a_termination", None, None, "medium", False, date=True),
+                    "k_a_termination", "", "", "medium", False, date=True),
         signature, premium,
         _comparison("REC010", "policy_status", "Policy status", "k_e_status", "k_a_status",
-                    status, value("policy_status"), "medium", False),
+                    "k_record_status", "x_policy_status.value", "medium", False),
         payment,
     ]
-    results = F.when(policy.isNull(), F.array(quality, unmatched)).otherwise(F.array(*checks))
+    results = F.expr(f"CASE WHEN policy_id IS NULL THEN array({quality}, {unmatched}) "
+                     f"ELSE array({', '.join(checks)}) END")
     return (keyed.withColumn("results", results)
             .select("document_id", "policy_matches",
                     F.posexplode_outer("results").alias("check_no", "check"))

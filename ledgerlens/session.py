@@ -16,7 +16,11 @@ ENGINE_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # methods above the JVM's own compile limit would run interpreted; below it Spark
+    # splits a large stage into parts that do get compiled
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # call sites are recorded for every column expression otherwise
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
