@@ -1,0 +1,719 @@
+"""Registered queries over document text, chunks, vectors, answers and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerlens.functions import answers as a
+from ledgerlens.functions import text as tx
+from ledgerlens.functions.serialise import excel_cell, formula_safe, merge_metadata
+from ledgerlens.functions.values import question_text
+from ledgerlens.functions.vectors import cosine_distance, similarity, vector_error
+from ledgerlens.model import WORKSPACE, Tables
+from ledgerlens.operators import answer, listing, search
+from ledgerlens.operators.chunk import chunk_pages, page_metadata
+from ledgerlens.operators.embed import EmbeddingSpec, embed_column
+from ledgerlens.operators.extract import usable_pages
+from ledgerlens.plans.questions import answers as portfolio_answers
+from ledgerlens.plans.questions import question_error, question_intent
+from ledgerlens.plans.registry import query
+from ledgerlens.plans.retrieval import answer_questions, index_pages, index_summary
+from ledgerlens.session import cut_lineage, scratch_path
+from ledgerlens.sources import files, sinks
+from ledgerlens.streaming import intake
+
+SPEC = EmbeddingSpec(width=64)
+NORMAL = """trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10),
+    chr(10)), '\\r', chr(10), 'g'), '[§N]*\\n[§]*', chr(10), 'g'), '[§N]+', ' ', 'g'),
+    ' ' || chr(10))"""
+
+
+def docs(t: Tables) -> DataFrame:
+    return t.wide("documents", "doc_id")
+
+
+def asked(t: Tables) -> DataFrame:
+    return t.raw("conversations").where(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+        F.col("text").alias("question"))
+
+
+ASKED = "asked AS (SELECT conv_id * 1000 + turn AS question_id, text FROM conversations " \
+        "WHERE role = 'user')"
+
+
+# --- text rules ----------------------------------------------------------------------------
+
+@query("sc1_normalised_text", f"""
+SELECT doc_id, sha256(n) AS hash, CAST(length(n) AS BIGINT) AS characters,
+    CASE WHEN n = '' THEN 0 ELSE len(regexp_split_to_array(n, '[ \\n]')) END AS words
+FROM (SELECT doc_id, {NORMAL} AS n FROM documents)""")
+def _(t):
+    n = tx.normalise_page_text(F.col("text"))
+    return docs(t).select("doc_id", n.alias("n")).select(
+        "doc_id", tx.content_hash(F.col("n")).alias("hash"),
+        tx.character_count(F.col("n")).cast("long").alias("characters"),
+        tx.word_count(F.col("n")).cast("long").alias("words"))
+
+
+@query("sc33_cleaned_text", """
+SELECT doc_id, md5(trim(regexp_replace(replace(replace(text, chr(160), ' '), chr(13) || chr(10),
+    chr(10)), '\\r', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(28)
+    || chr(29) || chr(30) || chr(31) || chr(133) || chr(8232) || chr(8233) || chr(12288))) AS hash,
+    md5(trim(regexp_replace(text, '[§]+', ' ', 'g'))) AS one_line FROM documents""")
+def _(t):
+    return docs(t).select("doc_id", F.md5(tx.clean_document_text(F.col("text"))).alias("hash"),
+                          F.md5(a.one_line(F.col("text"))).alias("one_line"))
+
+
+@query("sc4_text_key", """
+SELECT doc_id, md5(nullif(trim(regexp_replace(lower(strip_accents(replace(text, 'ß', 'ss'))),
+    '[^a-z0-9]+', ' ', 'g')), '')) AS hash FROM documents""")
+def _(t):
+    return docs(t).select("doc_id", F.md5(tx.text_key(F.col("text"))).alias("hash"))
+
+
+@query("sc14_query_text", f"""
+WITH {ASKED} SELECT question_id, n AS question, CASE WHEN length(n) < 2 THEN 'too_short'
+    WHEN length(n) > 4000 THEN 'too_long' END AS error
+FROM (SELECT question_id, trim(regexp_replace(text, '[§]+', ' ', 'g')) AS n FROM asked)""")
+def _(t):
+    return asked(t).select("question_id", tx.collapse(F.col("question")).alias("question"),
+                           search.query_error(F.col("question")).alias("error"))
+
+
+@query("sc15_question_words", f"""
+WITH {ASKED} SELECT question_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+',
+    ' ', 'g')) AS words, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(trim(text)) > 1000
+    THEN 'too_long' END AS error FROM asked""")
+def _(t):
+    return asked(t).select("question_id", question_text(F.col("question")).alias("words"),
+                           question_error(F.col("question")).alias("error"))
+
+
+_QUESTIONS = [
+    ("Show active policies without payments", "active_policies_without_payments"),
+    ("Which policies are NOT PAID? list payments", "active_policies_without_payments"),
+    ("Find duplicate policy numbers", "duplicate_policy_numbers"),
+    ("Show commissions by agent", "commissions_by_agent"),
+    ("payments per carrier", "payments_by_carrier"),
+    ("Show policies by carrier", "policies_by_carrier"),
+    ("policy status breakdown", "policy_status_summary"),
+    ("How many active policies are there?", "active_policy_count"),
+    ("latest policies", "recent_policies"),
+    ("What is the weather", None),
+]
+
+
+def _portfolio_questions(t: Tables) -> DataFrame:
+    """Every turn asks one of the known questions, followed by its own words."""
+    texts = F.array(*[F.lit(q) for q, _ in _QUESTIONS])
+    return t.raw("conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+        F.element_at(texts, ((F.col("conv_id") + F.col("turn")) % len(_QUESTIONS) + 1).cast("int"))
+        .alias("question"))
+
+
+@query("sc17_question_intent",
+       "SELECT conv_id * 1000 + turn AS question_id, CASE (conv_id + turn) % 10 "
+       + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(_QUESTIONS) if k)
+       + " END AS intent FROM conversations")
+def _(t):
+    return _portfolio_questions(t).select(
+        "question_id", question_intent(F.col("question")).alias("intent"))
+
+
+@query("tf17_answers_per_intent", """
+SELECT intent, questions, answer_rows FROM (
+    SELECT CASE (conv_id + turn) % 10 WHEN 0 THEN 'active_policies_without_payments'
+        WHEN 1 THEN 'active_policies_without_payments' WHEN 2 THEN 'duplicate_policy_numbers'
+        WHEN 3 THEN 'commissions_by_agent' WHEN 4 THEN 'payments_by_carrier'
+        WHEN 5 THEN 'policies_by_carrier' WHEN 6 THEN 'policy_status_summary'
+        WHEN 7 THEN 'active_policy_count' WHEN 8 THEN 'recent_policies' END AS intent,
+    count(*) AS questions FROM conversations GROUP BY 1) q JOIN (
+    SELECT 'active_policies_without_payments' AS intent, count(*) AS answer_rows FROM policies
+        WHERE status = 'active' AND id NOT IN (SELECT policy_id FROM payments)
+    UNION ALL SELECT 'duplicate_policy_numbers', count(*) FROM (SELECT 1 FROM policies
+        GROUP BY policy_number HAVING count(*) > 1)
+    UNION ALL SELECT 'commissions_by_agent', count(DISTINCT agent_id) FROM commissions
+    UNION ALL SELECT 'payments_by_carrier', count(DISTINCT carrier_id) FROM payments
+        JOIN policies ON id = policy_id
+    UNION ALL SELECT 'policies_by_carrier', count(DISTINCT carrier_id) FROM policies
+    UNION ALL SELECT 'policy_status_summary', count(DISTINCT status) FROM policies
+    UNION ALL SELECT 'active_policy_count', 1
+    UNION ALL SELECT 'recent_policies', count(*) FROM policies) r USING (intent)""",
+       ["policies", "payments", "commissions"])
+def _(t):
+    groups = _portfolio_questions(t).select(question_intent(F.col("question")).alias("intent")) \
+        .where(F.col("intent").isNotNull()).groupBy("intent").agg(F.count("*").alias("questions"))
+    sizes = None
+    for intent, build in portfolio_answers(t, WORKSPACE).items():
+        part = build().agg(F.count("*").alias("answer_rows")).select(
+            F.lit(intent).alias("intent"), "answer_rows")
+        sizes = part if sizes is None else sizes.unionAll(part)
+    return groups.join(sizes, "intent")
+
+
+_STOP = ", ".join(f"'{w}'" for w in a.STOP_WORDS)
+
+
+@query("sc18_tokens", f"""
+SELECT doc_id, md5(array_to_string(list_sort(list_distinct(list_filter(list_transform(
+    regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]*'), lambda w: lower(w)),
+    lambda w: length(w) > 1 AND w NOT IN ({_STOP})))), ' ')) AS hash FROM documents""")
+def _(t):
+    return docs(t).select("doc_id", F.md5(F.array_join(F.array_sort(
+        a.tokens(F.col("text"))), " ")).alias("hash"))
+
+
+SENTENCES = """list_filter(list_transform(string_split(regexp_replace(regexp_replace(
+    regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\r', chr(10), 'g'),
+    '([.!?])[§]+', '\\1' || chr(10), 'g'), '\\n+', chr(10), 'g'), chr(10)),
+    lambda s: trim(regexp_replace(s, '[§]+', ' ', 'g'))), lambda s: s <> '')"""
+
+
+@query("sc19_sentences", f"""
+SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, md5(array_to_string(s, '|')) AS hash
+FROM (SELECT doc_id, {SENTENCES} AS s FROM documents)""")
+def _(t):
+    return docs(t).select("doc_id", a.sentences(F.col("text")).alias("s")).select(
+        "doc_id", F.size("s").cast("long").alias("sentences"),
+        F.md5(F.array_join("s", "|")).alias("hash"))
+
+
+@query("sc21_excerpts", """
+SELECT doc_id, md5(CASE WHEN length(n) <= 600 THEN n ELSE rtrim(regexp_replace(substring(n, 1, 600),
+    ' [^ ]*$', ''), ' ,;:-') || '…' END) AS hash FROM (SELECT doc_id,
+    trim(regexp_replace(text, '[§]+', ' ', 'g')) AS n FROM documents)""")
+def _(t):
+    return docs(t).select("doc_id", F.md5(a.excerpt(F.col("text"))).alias("hash"))
+
+
+@query("sc22_end_punctuation", """
+SELECT doc_id, md5(CASE WHEN n = '' OR regexp_matches(n, '[.!?]$') THEN n ELSE n || '.' END) AS hash
+FROM (SELECT doc_id, trim(regexp_replace(text, '[§]+', ' ', 'g')) AS n FROM documents)""")
+def _(t):
+    return docs(t).select("doc_id", F.md5(a.end_punctuation(F.col("text"))).alias("hash"))
+
+
+@query("prj3_formula_safe", """
+SELECT doc_id, md5(CASE WHEN regexp_matches(text, '^[§]*[=+@-]') AND NOT regexp_full_match(
+    regexp_replace(text, '^[§]+', ''), '[+-]?[0-9]+(\\.[0-9]+)?') THEN '''' || text ELSE text END)
+    AS hash, md5(substring(text, 1, 32767)) AS cell FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0
+    THEN ' =' WHEN 1 THEN '-' WHEN 2 THEN '' ELSE '@' END || CASE WHEN doc_id % 5 = 1
+    THEN CAST(n_chars AS VARCHAR) ELSE text END AS text FROM documents)""")
+def _(t):
+    k = F.col("doc_id") % 5
+    mark = F.when(k == 0, " =").when(k == 1, "-").when(k == 2, "").otherwise("@")
+    body = F.when(k == 1, F.col("n_chars").cast("string")).otherwise(F.col("text"))
+    return docs(t).select("doc_id", F.concat(mark, body).alias("text")).select(
+        "doc_id", F.md5(formula_safe(F.col("text"))).alias("hash"),
+        F.md5(excel_cell(F.col("text"))).alias("cell"))
+
+
+@query("sc30_error_text", """
+SELECT doc_id, md5(substring(CASE WHEN doc_id % 3 = 0 THEN 'CorruptDocument'
+    ELSE coalesce(nullif(regexp_replace(text, '^[§]+|[§]+$', '', 'g'), ''), 'CorruptDocument') END,
+    1, 4000)) AS hash FROM documents""")
+def _(t):
+    message = F.when(F.col("doc_id") % 3 != 0, F.col("text"))
+    return docs(t).select("doc_id", F.md5(tx.bounded_error(message, F.lit("CorruptDocument")))
+                          .alias("hash"))
+
+
+@query("st2_ordered_distinct", f"""
+SELECT doc_id, CAST(len(list_distinct(s)) AS BIGINT) AS distinct_sentences FROM (
+    SELECT doc_id, {SENTENCES} AS s FROM documents)""")
+def _(t):
+    return docs(t).select("doc_id", F.size(F.array_distinct(a.sentences(F.col("text"))))
+                          .cast("long").alias("distinct_sentences"))
+
+
+@query("sc31_merged_metadata", """
+SELECT doc_id, '{"attempt":"2","lang":"' || lang || '","source":"' || source || '"}' AS metadata
+FROM documents""")
+def _(t):
+    first = F.create_map(F.lit("attempt"), F.lit("1"), F.lit("lang"), "lang")
+    later = F.create_map(F.lit("source"), "source", F.lit("attempt"), F.lit("2"))
+    merged = F.map_from_entries(F.array_sort(F.map_entries(merge_metadata(first, later))))
+    return docs(t).select("doc_id", F.to_json(merged).alias("metadata"))
+
+
+# --- pages and files ------------------------------------------------------------------------
+
+@query("prj5_usable_pages", """
+SELECT lang AS language_code, count(*) AS pages FROM documents
+WHERE doc_id % 7 <> 3 AND length(trim(regexp_replace(text, '[§]+', ' ', 'g'))) > 0 GROUP BY 1""")
+def _(t):
+    pages = t.document_pages().withColumn("status", F.when(
+        F.col("document_id") % 7 == 3, "failed").otherwise("completed"))
+    return usable_pages(pages).groupBy("language_code").agg(F.count("*").alias("pages"))
+
+
+@query("prj6_page_metadata", """
+SELECT doc_id AS page_id, 'native_text' AS method, lang AS language, CAST(n_chars AS VARCHAR)
+    AS characters, CAST(CASE WHEN n = '' THEN 0 ELSE len(string_split(n, ' ')) END AS VARCHAR)
+    AS words FROM (SELECT *, trim(regexp_replace(text, '[§]+', ' ', 'g')) AS n FROM documents)""")
+def _(t):
+    m = F.col("extra_metadata")
+    return page_metadata(t.document_pages()).select(
+        "page_id", m["extraction_method"].alias("method"), m["language_code"].alias("language"),
+        m["source_character_count"].alias("characters"), m["source_word_count"].alias("words"))
+
+
+@query("prj10_document_filter", """
+SELECT lang, count(*) AS documents FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+GROUP BY 1""")
+def _(t):
+    wanted = t.raw("labels").select("doc_id").distinct()
+    return t.raw("documents").select("doc_id", "lang").join(wanted, "doc_id", "left_semi") \
+        .groupBy("lang").agg(F.count("*").alias("documents"))
+
+
+@query("ag13_extraction_totals", """
+SELECT lang, count(*) AS total_pages, CAST(sum(length(text)) AS BIGINT) AS total_characters,
+    CAST(sum(CASE WHEN n = '' THEN 0 ELSE len(string_split(n, ' ')) END) AS BIGINT) AS total_words
+FROM (SELECT *, trim(regexp_replace(text, '[§]+', ' ', 'g')) AS n FROM documents) GROUP BY 1""")
+def _(t):
+    pages = t.document_pages()
+    return files.extraction_totals(pages, "language_code").select(
+        F.col("language_code").alias("lang"), "total_pages", "total_characters", "total_words")
+
+
+@query("tf16_processing_outcome", """
+SELECT doc_id AS document_id, CASE WHEN f THEN 'failed' ELSE 'completed' END AS run_status,
+    CASE WHEN f THEN 'failed' ELSE 'processed' END AS document_status,
+    CASE WHEN f THEN NULL ELSE 1 END AS page_count,
+    CASE WHEN f THEN 'unreadable' END AS error_message
+FROM (SELECT doc_id, doc_id % 10 = 4 AS f FROM documents)""")
+def _(t):
+    pages = t.document_pages()
+    documents = pages.select("document_id")
+    errors = documents.where(F.col("document_id") % 10 == 4).withColumn("error", F.lit("unreadable"))
+    return listing.processing_outcome(documents, files.extraction_totals(pages), errors).select(
+        "document_id", "run_status", "document_status", "page_count", "error_message")
+
+
+_EXT = ["pdf", "PNG", "jpg", "jpeg", "webp", "csv", "xls", "xlsx", "txt"]
+
+
+@query("src3_file_routing", """
+SELECT ext AS extension, count(*) AS files FROM (SELECT ['.pdf', '.png', '.jpg', '.jpeg', '.webp',
+    '.csv', '.xls', '.xlsx', '.txt'][doc_id % 9 + 1] AS ext FROM documents) GROUP BY 1""")
+def _(t):
+    ext = F.element_at(F.array(*[F.lit(e) for e in _EXT]), (F.col("doc_id") % 9 + 1).cast("int"))
+    path = F.concat(F.lit("/in/"), "source", F.lit("/doc.v"), F.col("doc_id").cast("string"),
+                    F.lit("."), ext)
+    return t.raw("documents").select(files.suffix(files.base_name(path)).alias("extension")) \
+        .groupBy("extension").agg(F.count("*").alias("files"))
+
+
+@query("src4_mixed_encodings", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def _(t):
+    text = F.col("text")
+    latin = (~text.rlike(r"[^\x00-\xff]")) & (F.col("doc_id") % 2 == 1)
+    plain = F.when(latin, text).otherwise("")
+    raw = F.when(latin, F.encode(plain, "ISO-8859-1")).otherwise(
+        F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+    return docs(t).select("doc_id", F.sha2(files.decode_text(raw), 256).alias("hash"))
+
+
+@query("src5_table_pages", """
+SELECT l_orderkey AS order_id, count(*) AS row_count, md5('l_partkey,l_quantity,l_returnflag'
+    || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, line)) AS hash
+FROM (SELECT l_orderkey, l_linenumber, l_partkey || ',' || CAST(CAST(l_quantity AS BIGINT) AS
+    VARCHAR) || ',' || l_returnflag AS line FROM lineitem) GROUP BY 1""")
+def _(t):
+    rows = t.raw("lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("row_no"),
+        "l_partkey", F.col("l_quantity").cast("long").alias("l_quantity"), "l_returnflag")
+    return files.table_page(rows, ["l_partkey", "l_quantity", "l_returnflag"], "order_id").select(
+        "order_id", "row_count", F.md5("text_content").alias("hash"))
+
+
+@query("src4_csv_pages", '''
+SELECT l_orderkey AS order_id, count(*) AS row_count, 3 AS column_count,
+    md5('part,note,flag' || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, line))
+    AS hash FROM (SELECT l_orderkey, l_linenumber, l_partkey || ',"qty ' || CAST(CAST(l_quantity AS
+    BIGINT) AS VARCHAR) || ', ""net""",' || l_returnflag AS line FROM lineitem) GROUP BY 1''')
+def _(t):
+    line = F.concat(F.col("l_partkey").cast("string"), F.lit(',"qty '),
+                    F.col("l_quantity").cast("long").cast("string"), F.lit(', ""net""",'),
+                    F.col("l_returnflag"))
+    made = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))).alias("lines"))
+    content = F.concat_ws("\r\n", F.lit("part,note,flag"), F.transform("lines", lambda x: x["line"]))
+    uploaded = made.select("order_id", F.encode(content, "UTF-8").alias("content"))
+    return files.csv_pages(uploaded, "order_id").select(
+        "order_id", "row_count", "column_count", F.md5("text_content").alias("hash"))
+
+
+@query("src6_upload_checks", """
+SELECT doc_id AS upload_id, CASE doc_id % 10 WHEN 0 THEN NULL WHEN 1 THEN 'signature_mismatch'
+    WHEN 2 THEN 'content_type_mismatch' WHEN 3 THEN 'missing_extension'
+    WHEN 4 THEN 'unsupported_extension' WHEN 5 THEN 'empty_file' WHEN 6 THEN NULL
+    WHEN 7 THEN 'missing_name' WHEN 8 THEN NULL ELSE NULL END AS error,
+    CASE doc_id % 10 WHEN 0 THEN 'pdf' WHEN 6 THEN 'data' WHEN 8 THEN 'spreadsheet'
+    WHEN 9 THEN 'image' END AS document_type,
+    CASE WHEN doc_id % 10 = 6 THEN sha256(text) END AS csv_checksum FROM documents""")
+def _(t):
+    k, text = F.col("doc_id") % 10, F.encode(F.col("text"), "UTF-8")
+    signed = lambda hexa: F.concat(F.unhex(F.lit(hexa)), text)
+    name = (F.when(k == 3, "folder/readme").when(k == 4, "notes.txt").when(k == 5, "a.csv")
+            .when(k == 6, "data/Rows.CSV").when(k == 7, "   ").when(k == 8, "book.xlsx")
+            .when(k == 9, "scan.webp").otherwise("Policy.PDF"))
+    kind = (F.when(k.isin(4, 6), "text/plain; charset=utf-8").when(k == 5, "text/csv")
+            .when(k == 2, "image/png").when(k == 9, "IMAGE/webp")
+            .when(k == 8, F.lit(None)).otherwise("application/pdf"))
+    content = (F.when(k == 0, signed("255044462D312E37")).when(k == 8, signed("504B0304"))
+               .when(k == 5, F.unhex(F.lit(""))).when(k == 9, signed("52494646000000005745425020"))
+               .otherwise(text))
+    uploads = docs(t).select(F.col("doc_id").alias("upload_id"), name.alias("file_name"),
+                             kind.alias("content_type"), content.alias("content"))
+    checked = files.validate_uploads(uploads)
+    return checked.select("upload_id", "error", "document_type", F.when(
+        F.col("document_type") == "data", F.col("checksum_sha256")).alias("csv_checksum"))
+
+
+OCR = """words AS (SELECT doc_id AS page_id, i AS position, w[i] AS word, (i - 1) // 40 AS block_num,
+    (i - 1) % 40 // 20 AS par_num, (i - 1) % 20 // 5 AS line_num, CASE WHEN i % 11 = 0 THEN NULL
+    WHEN i % 7 = 0 THEN -1 ELSE (i * 13) % 101 END AS conf FROM (SELECT doc_id, w,
+    unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(text,
+    '[§]+', ' ', 'g')), ' ') AS w FROM documents)))"""
+
+
+def ocr_words(t: Tables) -> DataFrame:
+    words = docs(t).select(F.col("doc_id").alias("page_id"), F.posexplode(
+        F.split(tx.collapse(F.col("text")), " ")).alias("n", "word"))
+    n, i = F.col("n"), F.col("n") + 1
+    conf = F.when(i % 11 == 0, "n/a").when(i % 7 == 0, "-1").otherwise(
+        ((i * 13) % 101).cast("string"))
+    return words.select("page_id", i.alias("position"), "word",
+                        F.floor(n / 40).alias("block_num"), F.floor(n % 40 / 20).alias("par_num"),
+                        F.floor(n % 20 / 5).alias("line_num"), conf.alias("conf"))
+
+
+@query("ag14_ocr_text", f"""
+WITH {OCR}, lines AS (SELECT page_id, block_num, par_num, line_num, string_agg(word, ' '
+    ORDER BY position) AS line FROM words GROUP BY ALL)
+SELECT page_id, md5(coalesce(string_agg(line, chr(10) ORDER BY block_num, par_num, line_num)
+    FILTER (WHERE trim(line) <> ''), '')) AS hash FROM lines GROUP BY 1""")
+def _(t):
+    return files.ocr_pages(ocr_words(t)).select("page_id", F.md5("text_content").alias("hash"))
+
+
+@query("ag15_ocr_confidence", f"""
+WITH {OCR} SELECT page_id, round(avg(conf) FILTER (WHERE conf >= 0) / 100, 4) AS confidence_score
+FROM words GROUP BY 1""")
+def _(t):
+    return files.ocr_pages(ocr_words(t)).select("page_id", "confidence_score")
+
+
+@query("snk5_report_names", """
+SELECT doc_id, coalesce(nullif(substring(trim(regexp_replace(n, '[^A-Za-z0-9._-]+', '-', 'g'),
+    '._-'), 1, 80), ''), 'document') || '-reconciliation-' || substring(md5(CAST(doc_id AS VARCHAR)),
+    1, 8) || '.csv' AS file_name FROM (SELECT doc_id, 'r ' || substring(regexp_replace(text,
+    '[/.\\r\\n]', ' ', 'g'), 1, 120) || 'x' AS n FROM documents)""")
+def _(t):
+    name = F.concat(F.lit("r "), F.substring(F.regexp_replace("text", "[/.\r\n]", " "), 1, 120),
+                    F.lit("x.pdf"))
+    return docs(t).select("doc_id", sinks.report_file_name(
+        name, F.md5(F.col("doc_id").cast("string"))).alias("file_name"))
+
+
+@query("snk6_object_paths", """
+SELECT doc_id, 'workspaces/11111111-1111-4111-8111-111111111111/documents/' || doc_id || '/'
+    || md5(CAST(doc_id AS VARCHAR)) || '-' || coalesce(nullif(regexp_replace(trim(regexp_replace(n,
+    '[^\\p{L}\\p{N}._-]', '-', 'g'), '.-_'), '-{2,}', '-', 'g'), ''), 'uploaded-file') AS path
+FROM (SELECT doc_id, 'x' || substring(replace(text, '/', ' '), 1, 60) || 'x.pdf' AS n
+    FROM documents)""")
+def _(t):
+    name = F.concat(F.lit("up/x"), F.substring(F.replace("text", F.lit("/"), F.lit(" ")), 1, 60),
+                    F.lit("x.pdf"))
+    return docs(t).select("doc_id", files.object_path(
+        F.lit(WORKSPACE), F.col("doc_id"), F.md5(F.col("doc_id").cast("string")), name)
+        .alias("path"))
+
+
+# --- chunks and vectors ---------------------------------------------------------------------
+
+@query("tf1_chunks", f"""
+WITH RECURSIVE pages AS (SELECT doc_id, {NORMAL} AS n FROM documents),
+step AS (
+    SELECT doc_id, n, 0 AS start, CASE WHEN length(n) <= 1200 THEN length(n) ELSE
+        720 + coalesce(nullif(480 - length(regexp_extract(substring(n, 721, 480), '[^ \\n]*$')), 0),
+        480) END AS stop FROM pages WHERE n <> ''
+    UNION ALL SELECT doc_id, n, s, CASE WHEN length(n) <= s + 1200 THEN length(n) ELSE
+        s + 720 + coalesce(nullif(480 - length(regexp_extract(substring(n, s + 721, 480),
+        '[^ \\n]*$')), 0), 480) END FROM (
+        SELECT doc_id, n, a + length(regexp_extract(substring(n, a + 1, 1200), '^[ \\n]*')) AS s FROM (
+            SELECT doc_id, n, CASE WHEN regexp_matches(substring(n, r, 2), '^[\\p{{L}}\\p{{N}}]{{2}}')
+                AND contains(substring(n, start + 2, r - start), ' ')
+                THEN r + 1 - length(regexp_extract(substring(n, start + 2, r - start), '[^ ]*$'))
+                ELSE r END AS a
+            FROM (SELECT *, greatest(start + 1, stop - 200) AS r FROM step WHERE stop < length(n)))))
+SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1
+    AS chunk_index, start + length(p) - length(ltrim(p, ' ' || chr(10))) AS start_character,
+    sha256(trim(p, ' ' || chr(10))) AS content_sha256
+FROM (SELECT *, substring(n, start + 1, stop - start) AS p FROM step)""")
+def _(t):
+    return chunk_pages(t.document_pages().select(
+        "document_id", "processing_run_id", "page_id", "page_number", "text_content")).select(
+        "document_id", "chunk_index", F.col("start_character").cast("long").alias("start_character"),
+        "content_sha256")
+
+
+@query("wn4_run_wide_index", None)
+def _(t):
+    """Chunk numbering across the pages of a run, runs being sources of documents."""
+    pages = t.document_pages().select(
+        F.xxhash64("language_code").alias("processing_run_id"), "page_id",
+        (F.col("document_id") + 1).alias("page_number"), "text_content")
+    made = chunk_pages(pages)
+    return made.groupBy("processing_run_id").agg(
+        F.count("*").alias("chunks"), F.min("chunk_index").alias("first_index"),
+        F.max("chunk_index").alias("last_index"), F.countDistinct("chunk_index").alias("indexes"))
+
+
+@query("tf2_embedded_documents", """
+WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+slots AS (SELECT doc_id, CAST('0x' || substring(md5(w), 1, 7) AS BIGINT) % 64 AS slot,
+    sum(CASE WHEN substring(md5(w), 8, 1) < '8' THEN 1 ELSE -1 END) AS v FROM tok GROUP BY ALL)
+SELECT d.doc_id, CASE WHEN regexp_full_match(text, '[§]*') THEN 'empty_text' END AS error,
+    coalesce(string_agg(slot, ',' ORDER BY slot) FILTER (WHERE v > 0), '') AS positive
+FROM documents d LEFT JOIN slots s ON d.doc_id = s.doc_id GROUP BY d.doc_id, text""")
+def _(t):
+    made = embed_column(docs(t).select("doc_id", "text"), "text", SPEC)
+    slots = F.filter(F.transform("embedding", lambda v, i: F.when(v > 0, i)),
+                     lambda i: i.isNotNull())
+    return made.select("doc_id", F.col("embedding_error").alias("error"), F.coalesce(
+        F.array_join(slots, ","), F.lit("")).alias("positive"))
+
+
+@query("sc27_vector_checks", """
+SELECT vec_id, CASE vec_id % 4 WHEN 1 THEN 'dimension' WHEN 2 THEN 'non_finite' WHEN 3 THEN 'missing'
+    END AS error FROM embeddings""")
+def _(t):
+    k, e = F.col("vec_id") % 4, F.col("embedding")
+    changed = (F.when(k == 0, e).when(k == 1, F.slice(e, 1, 63))
+               .when(k == 2, F.transform(e, lambda x, i: F.when(i == 5, float("nan")).otherwise(x))))
+    return t.raw("embeddings").select("vec_id", vector_error(changed, 64).alias("error"))
+
+
+CENTRES = """dims AS (SELECT vec_id, label, unnest(range(1, 65)) AS d, unnest(embedding) AS x
+    FROM embeddings),
+centres AS (SELECT label, list(round(m, 6) ORDER BY d) AS c FROM (SELECT label, d,
+    avg(x::DOUBLE) AS m FROM dims GROUP BY ALL) GROUP BY 1),
+scores AS (SELECT c.label AS question_id, vec_id, e.label AS document_id,
+    1 - list_cosine_similarity(embedding::DOUBLE[], c.c) AS distance FROM embeddings e, centres c)"""
+
+
+def centres(t: Tables) -> DataFrame:
+    """A question vector per label: the mean of the label's vectors.
+
+    Summed per slot, so the work is combined map-side whatever a label holds.
+    """
+    per_slot = (t.raw("embeddings").select("label", F.posexplode("embedding").alias("d", "x"))
+                .groupBy("label", "d").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("m")))
+    return per_slot.groupBy(F.col("label").cast("long").alias("question_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"])
+        .alias("vector"))
+
+
+def vector_chunks(t: Tables) -> DataFrame:
+    return t.raw("embeddings").select(
+        F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").alias("document_id"),
+        F.col("vec_id").alias("chunk_index"), "embedding")
+
+
+@query("tk1_nearest_chunks", f"""
+WITH {CENTRES} SELECT question_id, vec_id AS chunk_index, rank, round(distance, 4) AS distance FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, document_id, vec_id)
+    AS rank FROM scores WHERE distance <= 1) WHERE rank <= 8""")
+def _(t):
+    hits = search.nearest(centres(t), vector_chunks(t), 64)
+    return hits.select("question_id", "chunk_index", "rank",
+                       F.round("cosine_distance", 4).alias("distance"))
+
+
+@query("jn9_similarity_threshold", f"""
+WITH {CENTRES} SELECT question_id, count(*) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY
+    question_id ORDER BY distance) AS rank FROM scores WHERE distance <= 0.5) WHERE rank <= 25
+GROUP BY 1""")
+def _(t):
+    # the grid path: question blocks against chunk slices
+    hits = search.nearest(centres(t), vector_chunks(t), 64, 25, 0.5, block=4, slice_rows=200)
+    return hits.groupBy("question_id").agg(F.count("*").alias("hits"))
+
+
+@query("sc26_cosine_to_centre", f"""
+WITH {CENTRES} SELECT vec_id, round(1 - distance, 4) AS score FROM scores
+WHERE question_id = document_id""")
+def _(t):
+    own = centres(t).withColumnRenamed("question_id", "label")
+    d = cosine_distance(F.col("embedding"), F.col("vector"))
+    return t.raw("embeddings").join(own, "label").select(
+        "vec_id", F.round(similarity(d), 4).alias("score"))
+
+
+@query("tk1_approximate_search", None)
+def _(t):
+    hits = search.nearest_approximate(centres(t), vector_chunks(t), 8, 0.0)
+    return hits.select("question_id", "chunk_index", "rank", "similarity_score")
+
+
+def ready_chunks(t: Tables) -> DataFrame:
+    """The chunk index, written once: search and answers read it twice."""
+    return cut_lineage(index_pages(t.document_pages(), SPEC).where(F.col("status") == "ready"))
+
+
+@query("tf4_index_summary", f"""
+SELECT doc_id AS processing_run_id, 1 AS source_page_count FROM (SELECT doc_id, {NORMAL} AS n
+    FROM documents) WHERE n <> ''""")
+def _(t):
+    pages = t.document_pages()
+    return index_summary(pages, index_pages(pages, SPEC)).where(
+        "chunk_count >= embedded_chunk_count").select("processing_run_id", "source_page_count")
+
+
+@query("snk2_chunk_index", """
+SELECT lang, count(*) AS runs, 0 AS repeated FROM documents
+WHERE NOT regexp_full_match(text, '[§]*') GROUP BY 1""")
+def _(t):
+    path = scratch_path(t.spark, "chunks")
+    made = ready_or_failed(t)
+    sinks.write_index(made, path, 8)
+    sinks.write_index(made, path, 8)  # a retry leaves the same rows
+    stored = t.spark.read.parquet(path)
+    per_run = stored.groupBy("processing_run_id").agg(
+        F.count("*").alias("n"), F.countDistinct("chunk_index").alias("d"),
+        F.first(F.col("extra_metadata")["language_code"]).alias("lang"))
+    return per_run.groupBy("lang").agg(
+        F.count("*").alias("runs"), F.sum(F.col("n") - F.col("d")).alias("repeated"))
+
+
+def ready_or_failed(t: Tables) -> DataFrame:
+    return cut_lineage(index_pages(t.document_pages(), SPEC))
+
+
+@query("tf5_semantic_search", None)
+def _(t):
+    chunks = ready_chunks(t)
+    from ledgerlens.operators.embed import embed_queries
+    hits = search.nearest(embed_queries(asked(t), "question", SPEC), chunks, 64)
+    return search.hit_rows(hits, chunks).select(
+        "question_id", "rank", "document_id", "chunk_index", "page_number", "start_character",
+        "end_character", "similarity_score", "cosine_distance", "embedding_model")
+
+
+@query("tf6_grounded_answers", None)
+def _(t):
+    out = answer_questions(asked(t), ready_chunks(t), SPEC)
+    return out.select("question_id", "question", "answer", "is_grounded", "confidence_score",
+                      "retrieved_chunk_count", "citation_count")
+
+
+# --- answer fields --------------------------------------------------------------------------
+
+def payslips(t: Tables) -> DataFrame:
+    """One payslip-like text per customer, and a question about one of its fields."""
+    i, pay = F.col("c_custkey"), F.round("c_acctbal", 2).cast("decimal(12,2)").cast("string")
+    text = F.concat(
+        F.lit("Employee Name: Ann Lee, 4711 Designation: Clerk # 7 Pay Period: May 2026\n"
+              "Gross Earnings 100.00 Gross Earnings: $"), pay,
+        F.lit("\nPaid Days 30 LOP Days 2 Pay Date 05/31/2026. Employee ID: E-"),
+        i.cast("string"), F.lit(" Customer Name: Bo Ray Policy Number: PN-"), i.cast("string"))
+    questions = F.array(*[F.lit(q) for q in (
+        "What are the gross earnings?", "Which pay period is it", "What is the employee name?",
+        "employee id please", "What is the DESIGNATION", "how many paid days", "lop days?",
+        "What is the policy number?", "pay date", "Tell me a story")])
+    return t.raw("customer").select(i.alias("id"), text.alias("text"), F.element_at(
+        questions, (i % 10 + 1).cast("int")).alias("question"))
+
+
+@query("sc23_requested_field", """
+SELECT c_custkey AS id, ['gross_earnings', 'pay_period', 'employee_name', 'employee_id',
+    'designation', 'paid_days', 'lop_days', 'policy_number', 'pay_date', NULL][c_custkey % 10 + 1]
+    AS field FROM customer""")
+def _(t):
+    return payslips(t).withColumn("padded", a.padded_words(F.col("question"))).select(
+        "id", a.requested_field(F.col("padded")).alias("field"))
+
+
+@query("sc24_field_values", """
+SELECT c_custkey AS id, CASE c_custkey % 10 WHEN 0 THEN '$' || CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) WHEN 1 THEN 'May 2026' WHEN 2 THEN 'Ann Lee'
+    WHEN 3 THEN 'E-' || c_custkey WHEN 4 THEN 'Clerk' WHEN 5 THEN '30' WHEN 6 THEN '2'
+    WHEN 7 THEN 'PN-' || c_custkey WHEN 8 THEN '05/31/2026' END AS value FROM customer""")
+def _(t):
+    rows = payslips(t).withColumn("padded", a.padded_words(F.col("question"))).select(
+        "id", a.requested_field(F.col("padded")).alias("field"), a.one_line(F.col("text")).alias("flat"))
+    return rows.withColumn("match", a.requested_match(F.col("field"), F.col("flat"))).select(
+        "id", a.blank_to_null(a.clean_field_value(F.col("match"))).alias("value"))
+
+
+@query("sc25_field_statements", """
+SELECT c_custkey AS question_id, CASE c_custkey % 10
+    WHEN 0 THEN 'The gross earnings are $' || CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) || '.'
+    WHEN 1 THEN 'The pay period is May 2026.' WHEN 2 THEN 'The employee name is Ann Lee.'
+    WHEN 3 THEN 'The employee ID is E-' || c_custkey || '.'
+    WHEN 4 THEN 'The employee designation is Clerk.' WHEN 5 THEN 'The number of paid days is 30.'
+    WHEN 6 THEN 'The number of LOP days is 2.'
+    WHEN 7 THEN 'The policy number is PN-' || c_custkey || '.'
+    WHEN 8 THEN 'The pay date is 05/31/2026.' END AS answer_statement,
+    CASE c_custkey % 10 WHEN 7 THEN 'Customer: Bo Ray; Policy Number: PN-' || c_custkey
+    WHEN 1 THEN 'Pay Period: May 2026' WHEN 5 THEN 'Paid Days: 30' END AS excerpt FROM customer""")
+def _(t):
+    slips = payslips(t).withColumnRenamed("id", "question_id")
+    hits = slips.select("question_id", F.col("text").alias("text_content"),
+                        F.lit(0.5).alias("similarity_score"), F.lit(1).alias("rank"))
+    found = answer.hit_excerpts(slips, hits)
+    return found.select("question_id", "answer_statement", F.when(
+        (F.col("question_id") % 10).isin(1, 5, 7), F.col("excerpt")).alias("excerpt"))
+
+
+# --- streams --------------------------------------------------------------------------------
+
+@query("sm1_incremental_intake", f"""
+SELECT lang AS language_code, count(*) AS pages, CAST(sum(length({NORMAL})) AS BIGINT) AS characters
+FROM documents WHERE NOT regexp_full_match(text, '[§]*') GROUP BY 1""")
+def _(t):
+    stream = intake.stream_table(t.spark, t.folder, "documents.parquet")
+    path = scratch_path(t.spark, "intake")
+
+    def normalise(batch: DataFrame) -> DataFrame:
+        body = tx.normalise_page_text(F.col("text"))
+        return batch.select("doc_id", "lang", F.length(body).alias("size")).where("size > 0")
+
+    intake.run_available(stream, intake.overwrite_batch(path, normalise), path + "-progress")
+    return t.spark.read.parquet(path).groupBy(F.col("lang").alias("language_code")).agg(
+        F.count("*").alias("pages"), F.sum("size").alias("characters"))
+
+
+@query("sm2_current_status", """
+SELECT document_id, id, status FROM (SELECT *, row_number() OVER (PARTITION BY document_id
+    ORDER BY created_at DESC, id DESC) AS rn FROM run_log) WHERE rn = 1""", ["run_log"])
+def _(t):
+    stream = intake.stream_table(t.spark, t.folder, "events.parquet")
+    path = scratch_path(t.spark, "status")
+    status = (F.when(F.col("event_type").isin("purchase", "signup"), "completed")
+              .when(F.col("event_type") == "view", "running")
+              .when(F.col("event_type") == "click", "queued").otherwise("failed"))
+    log = stream.select(F.col("event_id").alias("id"), F.col("user_id").alias("document_id"),
+                        F.unix_micros(F.col("ts").cast("timestamp")).alias("attempt_number"),
+                        F.col("ts").cast("timestamp").alias("created_at"), status.alias("status"))
+    done = intake.run_status(log, path)
+    return done.select("document_id", "id", "status")
+
+
+@query("sm3_redelivered_messages", """
+SELECT event_type, count(*) AS messages FROM events GROUP BY 1""")
+def _(t):
+    stream = intake.stream_table(t.spark, t.folder, "events.parquet")
+    twice = stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
+        "delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    path = scratch_path(t.spark, "messages")
+    intake.run_available(intake.once_per_message(twice, "event_id", "ts"),
+                         intake.overwrite_batch(path, lambda b: b.select("event_id", "event_type")),
+                         path + "-progress")
+    return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("messages"))

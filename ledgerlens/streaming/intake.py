@@ -66,6 +66,16 @@ def latest_slot(spark: SparkSession, path: str, batches: int) -> DataFrame:
     return spark.read.parquet(f"{path}/slot={(batches - 1) % 2}")
 
 
+def run_status(log: DataFrame, path: str) -> DataFrame:
+    """Drains a status log stream and returns the current status per document."""
+    spark = log.sparkSession
+    write = merge_status(path)
+    query = (log.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-progress")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return latest_slot(spark, path, query.lastProgress["batchId"] + 1)
+
+
 def once_per_message(stream: DataFrame, message_id: str, event_time: str,
                      delay: str = "1 hour") -> DataFrame:
     """Drops redelivered messages that arrive within ``delay``."""
