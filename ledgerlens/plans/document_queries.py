@@ -539,16 +539,16 @@ def _(t):
 
 @query("jn9_similarity_threshold", f"""
 WITH {CENTRES} SELECT question_id, count(*) AS hits FROM (SELECT *, row_number() OVER (PARTITION BY
-    question_id ORDER BY distance) AS rank FROM scores WHERE distance <= 0.5) WHERE rank <= 25
+    question_id ORDER BY distance) AS rank FROM scores WHERE distance <= 0.9) WHERE rank <= 25
 GROUP BY 1""")
 def _(t):
     # the grid path: question blocks against chunk slices
-    hits = search.nearest(centres(t), vector_chunks(t), 64, 25, 0.5, block=4, slice_rows=200)
+    hits = search.nearest(centres(t), vector_chunks(t), 64, 25, 0.1, block=4, slice_rows=200)
     return hits.groupBy("question_id").agg(F.count("*").alias("hits"))
 
 
 @query("sc26_cosine_to_centre", f"""
-WITH {CENTRES} SELECT vec_id, round(1 - distance, 4) AS score FROM scores
+WITH {CENTRES} SELECT vec_id, round(round(1 - distance, 6), 4) AS score FROM scores
 WHERE question_id = document_id""")
 def _(t):
     own = centres(t).withColumnRenamed("question_id", "label")
