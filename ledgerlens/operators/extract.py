@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import values as v
 from ledgerlens.functions.text import (
     LINE_END, SPACE, blank_to_null, clean_document_text, collapse, strip_chars, strip_space)
+from ledgerlens.operators.skew import largest_group
 
 DELIMITERS = " \t:;|,"
 DEFAULT_MINIMUM_CONFIDENCE = 0.75
@@ -94,6 +95,7 @@ FALLBACK_PATTERN = (
 FALLBACK_CONFIDENCE = 0.90
 NEXT_LINE_PENALTY = 0.02
 FALLBACK_PENALTY = 0.15
+SHORT_DOCUMENT = 1000
 METHOD_RANK = {"labeled_line": 3, "labeled_next_line": 2, "fallback_pattern": 1}
 
 ANY_LABEL = rf"(?iU)^{SPACE}*(?:" + "|".join(
@@ -257,16 +259,26 @@ def _preference() -> Column:
                     F.col("line_no").alias("l"))
 
 
+def _evidence() -> Column:
+    found = F.struct("value", "raw_value", F.lit(True).alias("found"), "page_number",
+                     "page_id", "source_text", "confidence_score", "extraction_method")
+    return F.struct(_preference().alias("rank"), found.alias("evidence"))
+
+
+def single_candidates(found: DataFrame, document: str = "document_id") -> DataFrame:
+    """Candidates in the shape of :func:`best_candidates`, none combined yet."""
+    return found.select(
+        document, "rule_no", (F.col("kind") == "fallback").alias("is_fallback"), "value",
+        "warning", _evidence().alias("best"), _first_seen().alias("seen"),
+        (F.col("kind") == "page").cast("long").alias("pages"))
+
+
 def best_candidates(found: DataFrame, document: str = "document_id") -> DataFrame:
     """One row per document and field value, the best evidence kept."""
-    evidence = F.struct("value", "raw_value", F.lit(True).alias("found"), "page_number",
-                        "page_id", "source_text", "confidence_score", "extraction_method")
-    return (found.withColumn("is_fallback", F.col("kind") == "fallback")
-            .groupBy(document, "field", "rule_no", "is_fallback", "value", "warning")
-            .agg(F.min(F.struct(_preference().alias("rank"), evidence.alias("evidence")))
-                 .alias("best"),
-                 F.min(_first_seen()).alias("seen"),
-                 F.count(F.when(F.col("kind") == "page", 1)).alias("pages")))
+    return (single_candidates(found, document)
+            .groupBy(document, "rule_no", "is_fallback", "value", "warning")
+            .agg(F.min("best").alias("best"), F.min("seen").alias("seen"),
+                 F.sum("pages").alias("pages")))
 
 
 def _values_of(rule_no: int) -> str:
@@ -279,11 +291,20 @@ def _values_of(rule_no: int) -> str:
 
 
 def extract_documents(pages: DataFrame, document: str = "document_id",
-                      minimum_confidence: float = DEFAULT_MINIMUM_CONFIDENCE) -> DataFrame:
-    """One row per document: a struct per field, warnings, overall confidence."""
+                      minimum_confidence: float = DEFAULT_MINIMUM_CONFIDENCE,
+                      pages_per_document: int | None = None) -> DataFrame:
+    """One row per document: a struct per field, warnings, overall confidence.
+
+    Where a document may have more than ``SHORT_DOCUMENT`` pages its candidates are
+    first combined per value, map-side; shorter documents meet at once.
+    ``pages_per_document`` is measured unless the caller knows it.
+    """
     if not 0 <= minimum_confidence <= 1:
         raise ValueError("minimum_confidence must be between 0 and 1")
-    reduced = best_candidates(candidates(pages, document), document)
+    if pages_per_document is None:
+        pages_per_document = largest_group(pages, document)
+    combine = single_candidates if pages_per_document <= SHORT_DOCUMENT else best_candidates
+    reduced = combine(candidates(pages, document), document)
     labelled = "value IS NOT NULL AND NOT is_fallback"
     joined = reduced.groupBy(document).agg(
         *[F.expr(f"min(best) FILTER (WHERE {labelled} AND rule_no = {n})").alias(f"best_{n}")

@@ -179,11 +179,8 @@ def _comparison(rule: str, field: str, label: str, expected_key: str, actual_key
                     actual_key if date else actual, message, source=field, evidence=evidence)
 
 
-def evaluate(matched: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row per document and check: two checks without a record, else twelve.
-
-    All checks of a document are one array that is unfolded, not twelve unions.
-    """
+def check_documents(matched: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Each document with its array of checks: two without a record, else twelve."""
     floor = settings.minimum_confidence
     weak = ", ".join(f"CASE WHEN x_{n}.confidence_score < {floor}D THEN '{n}' END"
                      for n in FIELD_NAMES)
@@ -304,12 +301,47 @@ def evaluate(matched: DataFrame, settings: Settings = Settings()) -> DataFrame:
     ]
     results = F.expr(f"CASE WHEN policy_id IS NULL THEN array({quality}, {unmatched}) "
                      f"ELSE array({', '.join(checks)}) END")
-    return (keyed.withColumn("results", results)
-            .select("document_id", "policy_matches",
-                    F.posexplode_outer("results").alias("check_no", "check"))
+    return keyed.withColumn("results", results)
+
+
+def unfold(checked: DataFrame) -> DataFrame:
+    """One row per document and check."""
+    return (checked.select("document_id", F.posexplode_outer("results").alias("check_no", "check"))
             .select("document_id", "check_no", "check.*"))
 
 
+def evaluate(matched: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Findings of every document: the checks are one array that is unfolded, not
+    twelve unions."""
+    return unfold(check_documents(matched, settings))
+
+
+def summaries(checked: DataFrame) -> DataFrame:
+    """Run summary per document, counted inside its row of checks: no shuffle."""
+    def n(test: str) -> str:
+        return f"CAST(size(filter(results, r -> {test})) AS BIGINT)"
+
+    counts = {f"{name}_checks": n(f"r.status = '{status}'") for name, status in (
+        ("passed", "passed"), ("failed", "failed"), ("review", "needs_review"),
+        ("skipped", "skipped"))}
+    by = lambda column, values: "map_filter(map(" + ", ".join(
+        f"'{v}', {n(f'r.{column} = {chr(39)}{v}{chr(39)}')}" for v in values
+    ) + "), (k, c) -> c > 0)"
+    return checked.select(
+        "document_id", F.size("results").cast("long").alias("total_checks"),
+        *[F.expr(text).alias(name) for name, text in counts.items()],
+        F.expr(n("r.status IN ('failed', 'needs_review') AND r.severity IN ('high', 'medium')"))
+        .alias("review_task_count"),
+        F.expr(by("status", ["passed", "failed", "needs_review", "skipped"])).alias("status_counts"),
+        F.expr(by("severity", ["high", "medium", "low", "info"])).alias("severity_counts"),
+        F.expr("CASE WHEN exists(results, r -> r.status IN ('failed', 'needs_review')) "
+               "THEN 'needs_review' ELSE 'completed' END").alias("overall_status"),
+        F.col("policy_id").alias("matched_policy_id"),
+        F.col("x_policy_number.value").alias("extracted_policy_number"),
+        "document_confidence", "warnings",
+        F.coalesce("policy_matches", F.lit(0)).alias("matched_policy_count"))
+
+
 def needs_task() -> Column:
     return (F.col("status").isin("failed", "needs_review")
             & F.col("severity").isin("high", "medium"))

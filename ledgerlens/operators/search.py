@@ -25,9 +25,9 @@ from ledgerlens.operators.skew import blocks_for, lookup_join
 DEFAULT_K = 8
 MAX_K = 25
 MAX_DOCUMENT_IDS = 100
-QUESTION_BLOCK = 2048
+QUESTION_BLOCK = 8192
 CHUNK_SLICE = 200_000
-SCORE_ROWS = 4096
+SCORE_ROWS = 1024
 
 HIT_FIELDS = "question_id long, chunk_id string, document_id long, chunk_index long, " \
              "cosine_distance double"

@@ -82,5 +82,11 @@ def running_start(df: DataFrame, group: list[str], order: list[str], bucket: str
             .drop("__slice", "__base", "__local"))
 
 
+def largest_group(df: DataFrame, key: str) -> int:
+    """Rows of the largest group: one light aggregate over a single column."""
+    row = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
+    return row["n"] or 0
+
+
 def blocks_for(rows: int, per_block: int) -> int:
     return max(1, math.ceil(rows / per_block))

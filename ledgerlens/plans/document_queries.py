@@ -459,7 +459,8 @@ SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY st
 FROM (SELECT *, substring(n, start + 1, stop - start) AS p FROM step)""")
 def _(t):
     return chunk_pages(t.document_pages().select(
-        "document_id", "processing_run_id", "page_id", "page_number", "text_content")).select(
+        "document_id", "processing_run_id", "page_id", "page_number", "text_content"),
+        pages_per_run=1).select(
         "document_id", "chunk_index", F.col("start_character").cast("long").alias("start_character"),
         "content_sha256")
 
@@ -565,7 +566,7 @@ def _(t):
 
 def ready_chunks(t: Tables) -> DataFrame:
     """The chunk index, written once: search and answers read it twice."""
-    return cut_lineage(index_pages(t.document_pages(), SPEC).where(F.col("status") == "ready"))
+    return cut_lineage(index_pages(t.document_pages(), SPEC, pages_per_run=1).where(F.col("status") == "ready"))
 
 
 @query("tf4_index_summary", f"""
@@ -573,7 +574,7 @@ SELECT doc_id AS processing_run_id, 1 AS source_page_count FROM (SELECT doc_id,
     FROM documents) WHERE n <> ''""")
 def _(t):
     pages = t.document_pages()
-    return index_summary(pages, index_pages(pages, SPEC)).where(
+    return index_summary(pages, index_pages(pages, SPEC, pages_per_run=1)).where(
         "chunk_count >= embedded_chunk_count").select("processing_run_id", "source_page_count")
 
 
@@ -594,7 +595,7 @@ def _(t):
 
 
 def ready_or_failed(t: Tables) -> DataFrame:
-    return cut_lineage(index_pages(t.document_pages(), SPEC))
+    return cut_lineage(index_pages(t.document_pages(), SPEC, pages_per_run=1))
 
 
 @query("tf5_semantic_search", None)
@@ -683,6 +684,9 @@ def _(t):
 
     def normalise(batch: DataFrame) -> DataFrame:
         body = tx.normalise_page_text(F.col("text"))
+        cores = t.spark.sparkContext.defaultParallelism
+        if batch.rdd.getNumPartitions() < cores:
+            batch = batch.repartition(cores, "doc_id")
         return batch.select("doc_id", "lang", F.length(body).alias("size")).where("size > 0")
 
     intake.run_available(stream, intake.overwrite_batch(path, normalise), path + "-progress")
