@@ -152,7 +152,7 @@ def test_only_latest_run_is_searchable(spark):
 
 
 def test_answers(spark):
-    spec = EmbeddingSpec(width=128)
+    spec = EmbeddingSpec(width=4096)
     pages = some_pages(spark, 1, 1).withColumn("text_content", F.lit(
         "The harbour opens at nine. Boats leave daily!\nCustomer: Ann Lee Policy Number: PN-77"))
     chunks = index_pages(pages, spec)
