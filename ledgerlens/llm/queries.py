@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.common import table
 from ledgerlens.llm.licenses import scan_licenses
+from ledgerlens.llm.secrets import corpus_samples, scan_secrets, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -22,3 +23,10 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return scan_licenses(docs).drop("text", "detections")
+
+
+@query
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ratio = train(corpus_samples(docs))
+    return scan_secrets(docs, ratio).drop("text", "found")
