@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table
+from ledgerlens.llm.decontaminate import find_benchmark
 from ledgerlens.llm.licenses import scan_licenses
 from ledgerlens.llm.secrets import corpus_samples, scan_secrets, train
 
@@ -30,3 +32,38 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     ratio = train(corpus_samples(docs))
     return scan_secrets(docs, ratio).drop("text", "found")
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_benchmark(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_LOWER = ("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+          "'abcdefghijklmnopqrstuvwxyz')")
+TWINS["op10_benchmark_decontamination"] = rf"""
+WITH d AS (SELECT doc_id,
+        regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (SELECT item_id,
+        regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    placed AS (SELECT item_id, w, least(10, len(w)) AS n,
+        unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS g FROM placed),
+    sizes AS (SELECT DISTINCT n FROM windows),
+    at AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes
+        WHERE len(w) >= n),
+    found AS (SELECT a.doc_id, a.p, a.n, x.item_id FROM at a
+        JOIN windows x ON x.n = a.n AND x.g = list_slice(a.w, a.p, a.p + a.n - 1)),
+    hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM
+        (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM
+        (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
+    coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
