@@ -11,6 +11,7 @@ from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import find_benchmark
 from ledgerlens.llm.licenses import scan_licenses
 from ledgerlens.llm.secrets import corpus_samples, scan_secrets, train
+from ledgerlens.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -55,9 +56,9 @@ WITH d AS (SELECT doc_id,
         unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
     windows AS (SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS g FROM placed),
     sizes AS (SELECT DISTINCT n FROM windows),
-    at AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes
+    spots AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes
         WHERE len(w) >= n),
-    found AS (SELECT a.doc_id, a.p, a.n, x.item_id FROM at a
+    found AS (SELECT a.doc_id, a.p, a.n, x.item_id FROM spots a
         JOIN windows x ON x.n = a.n AND x.g = list_slice(a.w, a.p, a.p + a.n - 1)),
     hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM
         (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
@@ -67,3 +68,10 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
     coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+@query
+def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
