@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import find_benchmark
 from ledgerlens.llm.licenses import scan_licenses
+from ledgerlens.llm.quality import score_quality
 from ledgerlens.llm.secrets import corpus_samples, scan_secrets, train
 from ledgerlens.llm.simhash import near_duplicates
 
@@ -75,3 +76,9 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op1_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, folder, "labels"))
