@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.byte_bpe import encode_documents, read_ranks
 from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import find_benchmark
 from ledgerlens.llm.licenses import scan_licenses
@@ -82,3 +84,11 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op1_quality_resampling(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return score_quality(docs, table(spark, folder, "labels"))
+
+
+@query
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return encode_documents(docs, ranks, public_tokenizers.PATTERN).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
