@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,3 +93,8 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return encode_documents(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
