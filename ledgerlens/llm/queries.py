@@ -13,9 +13,12 @@ from ledgerlens.llm.byte_bpe import encode_documents, read_ranks
 from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import find_benchmark
 from ledgerlens.llm.licenses import scan_licenses
+from ledgerlens.llm.pii import scan_pii
 from ledgerlens.llm.quality import score_quality
 from ledgerlens.llm.secrets import corpus_samples, scan_secrets, train
 from ledgerlens.llm.simhash import near_duplicates
+from ledgerlens.llm.token_counts import count_tokens
+from ledgerlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -98,3 +101,18 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
+
+
+@query
+def op4_pii_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return scan_pii(docs).drop("text", "found")
+
+
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The cache is a new one each time, so that every text is counted here."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
+        vocabulary = file.read()
+    return count_tokens(docs, vocabulary, scratch_path(spark, "token-cache"))
