@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.byte_bpe import encode_documents, read_ranks
 from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import find_benchmark
+from ledgerlens.llm.embedding_dedup import near_vectors
 from ledgerlens.llm.licenses import scan_licenses
 from ledgerlens.llm.pii import scan_pii
 from ledgerlens.llm.quality import score_quality
@@ -116,3 +117,24 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
         vocabulary = file.read()
     return count_tokens(docs, vocabulary, scratch_path(spark, "token-cache"))
+
+
+@query
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))
+
+
+TWINS["op2_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(e, x -> x <> 0)) > 0),
+    pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+        ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        AND list_cosine_similarity(a.e, b.e) >= 0.95),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM v
+        UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+    links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
+    least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, vec_id = m AS kept
+FROM v JOIN least ON least.a = vec_id LEFT JOIN links ON links.a = vec_id"""
