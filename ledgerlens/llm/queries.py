@@ -13,6 +13,7 @@ from ledgerlens.llm.byte_bpe import encode_documents, read_ranks
 from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import find_benchmark
 from ledgerlens.llm.embedding_dedup import near_vectors
+from ledgerlens.llm.language import held_out, predict_language, train_language_model
 from ledgerlens.llm.licenses import scan_licenses
 from ledgerlens.llm.pii import scan_pii
 from ledgerlens.llm.quality import score_quality
@@ -127,8 +128,8 @@ def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 TWINS["op2_embedding_near_dedup"] = """
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
     ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0
-        AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-        AND len(list_filter(e, x -> x <> 0)) > 0),
+        AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+        AND len([x FOR x IN e IF x <> 0]) > 0),
     pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
         ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
         AND list_cosine_similarity(a.e, b.e) >= 0.95),
@@ -138,3 +139,10 @@ WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embedd
     least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, vec_id = m AS kept
 FROM v JOIN least ON least.a = vec_id LEFT JOIN links ON links.a = vec_id"""
+
+
+@query
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = predict_language(docs.select("doc_id", "text"), train_language_model(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
