@@ -6,15 +6,12 @@ ones, until none is left. Ranks come from a literal map from pairs of ids to the
 joined bytes, kept in hash buckets, as a map's look-up is a scan. Decoding looks each id's
 bytes up in a literal array and concatenates them.
 
-Every distinct piece of the corpus is counted. The most frequent ones, ``dictionary`` of
-them at most, are folded once and travel with the plan as a literal; the others are folded
-where they stand. The dictionary only saves time: results do not depend on its content.
-No text is shuffled, no text-sized array leaves its row.
-
-The fold copies its arrays at every merge, so pieces of more than ``LONG`` bytes (a run of
-thousands of letters without a blank) would take quadratic time. If the count of pieces
-shows any, documents that hold one are encoded by a small Python merge with a heap,
-documents without one as ever.
+Words repeat, so the fold runs over distinct pieces: the most frequent ones of a bounded
+sample of documents, ``dictionary`` of them at most. Their ids travel with the plan as a
+literal, in which every piece of every text is looked up. Pieces that it lacks are merged
+by a small Python function where they stand, as the interpreted fold costs too much for
+millions of pieces that occur once (README, figures). What the dictionary holds decides
+where a piece is merged, never the result. No text is shuffled.
 
 Null text counts as empty: no tokens, and the digests of empty strings. Repeated rows are
 encoded each for itself; an empty table gives an empty table; input columns named like an
@@ -26,6 +23,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,15 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.common import slices, without
-from ledgerlens.session import cut_lineage
 
-DICTIONARY = 131_072   # frequent pieces that are encoded once, at most
-LONG = 256             # bytes of a piece from which on it counts as long
+DICTIONARY = 65_536    # frequent pieces that are folded once, at most
+LONG = 256             # longer pieces are never folded, as a fold takes quadratic time
+SAMPLE_DOCS = 3_000    # documents that pieces are counted in for the dictionary
+RARE = re.compile("=([0-9A-F]+)")   # a piece that is not in the dictionary, in hexadecimal
+REMEMBERED = 300_000   # rare pieces whose ids a task keeps
 PAIR_BUCKETS = 1 << 17
 WORD_BUCKETS = 1 << 16
 NONE = 2**31 - 1       # rank of a pair that does not merge
 EDGE = -1              # id that stands at both ends of a piece
-REST = 1 << 30         # longer than any array
 # White space as Unicode has it; the JVM's \s is ASCII only.
 SPACE = (r"\t-\r \x85\xa0  -     　")
 # Lower bits of a product with this number spread neighbouring ids.
@@ -123,37 +122,39 @@ def join_rank(joined: Column, a: Column, b: Column) -> Column:
 
 
 def fold(code: Column, joined: Column, byte_ids: Column) -> Column:
-    """Ids of a piece, given as hexadecimal digits: the ranked merges as a fold over it."""
-    size = (F.length(code) / 2).cast("int")
-    ids = F.concat(
-        F.array(F.lit(EDGE)),
-        F.transform(F.sequence(F.lit(1), size), lambda i: byte_ids[
-            F.conv(F.substring(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int")]),
-        F.array(F.lit(EDGE)))
+    """Ids of a piece, given as hexadecimal digits: the ranked merges as a fold over it.
+
+    Both arrays of the state keep their length; what a merge frees at the end is filled
+    with ``EDGE`` and ``NONE``. Writing every place anew is several times faster than
+    cutting arrays and joining the parts.
+    """
+    characters = F.split(F.decode(F.unhex(code), "ISO-8859-1"), "")
+    ids = F.transform(characters, lambda c: byte_ids[F.ascii(c)])
 
     def start(ids: Column) -> Column:
-        ranks = F.transform(F.sequence(F.lit(0), size),
-                            lambda i: join_rank(joined, ids[i], ids[i + 1]))
+        ranks = F.transform(ids, lambda x, i: join_rank(
+            joined, x, F.coalesce(F.get(ids, i + 1), F.lit(EDGE))))
         return F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
     def merge(state: Column, at: Column) -> Column:
         ids, ranks, best, p = state["ids"], state["ranks"], at["best"], at["p"]
         return F.struct(
-            F.concat(F.slice(ids, F.lit(1), p - 1), F.array(best),
-                     F.slice(ids, p + 2, F.lit(REST))).alias("ids"),
-            F.concat(F.slice(ranks, F.lit(1), p - 2),
-                     F.array(join_rank(joined, ids[p - 2], best),
-                             join_rank(joined, best, ids[p + 1])),
-                     F.slice(ranks, p + 2, F.lit(REST))).alias("ranks"))
+            F.transform(ids, lambda x, i: F.when(i < p, x).when(i == p, best).otherwise(
+                F.coalesce(F.get(ids, i + 1), F.lit(EDGE)))).alias("ids"),
+            F.transform(ranks, lambda x, i: F.when(i < p - 1, x)
+                        .when(i == p - 1, join_rank(joined, F.get(ids, i), best))
+                        .when(i == p, join_rank(joined, best, F.coalesce(
+                            F.get(ids, i + 2), F.lit(EDGE))))
+                        .otherwise(F.coalesce(F.get(ranks, i + 1), F.lit(NONE)))).alias("ranks"))
 
     def step(state: Column, _: Column) -> Column:
         least = F.array_min(state["ranks"])
-        where = F.struct(least.alias("best"), F.array_position(
-            state["ranks"], least).cast("int").alias("p"))
+        where = F.struct(least.alias("best"), (F.array_position(
+            state["ranks"], least).cast("int") - 1).alias("p"))
         return F.when(least == NONE, state).otherwise(let(where, lambda at: merge(state, at)))
 
-    folded = F.aggregate(F.sequence(F.lit(1), size), let(ids, start), step)["ids"]
-    return F.slice(folded, F.lit(2), F.size(folded) - 2)
+    folded = F.aggregate(ids, let(ids, start), step)["ids"]
+    return F.filter(folded, lambda x: x >= 0)
 
 
 def let(value: Column, use) -> Column:
@@ -169,10 +170,22 @@ def bucket_of(text: str) -> int:
     return zlib.crc32(text.encode()) % WORD_BUCKETS
 
 
-def merge_long(piece: bytes, ranks: dict[bytes, int], joins: dict) -> list[int]:
-    """Ids of a long piece: the same merges, with a heap over a linked list."""
+def merge(piece: bytes, ranks: dict[bytes, int], joins: dict) -> list[int]:
+    """Ids of one piece: the same merges, with a heap over a linked list if it is long."""
     if piece in ranks:
         return [ranks[piece]]
+    if len(piece) <= 64:
+        ids = [ranks[bytes([b])] for b in piece]
+        near = [joins.get(pair, NONE) for pair in zip(ids, ids[1:])]
+        while near and (best := min(near)) != NONE:
+            at = near.index(best)
+            ids[at:at + 2] = [best]
+            del near[at]
+            if at:
+                near[at - 1] = joins.get((ids[at - 1], best), NONE)
+            if at < len(near):
+                near[at] = joins.get((best, ids[at + 1]), NONE)
+        return ids
     ids = [ranks[bytes([b])] for b in piece]
     after = list(range(1, len(ids) + 1))
     before = list(range(-1, len(ids) - 1))
@@ -194,23 +207,15 @@ def merge_long(piece: bytes, ranks: dict[bytes, int], joins: dict) -> list[int]:
     return [x for x in ids if x is not None]
 
 
-def frequent(pieces: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """The most frequent pieces, at most ``limit``, and whether any piece is long."""
-    counted = cut_lineage(pieces.groupBy("piece").agg(F.count("*").alias("n")))
-    size = F.octet_length("piece")
-    rows = counted.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(
-        F.count("*").alias("pieces"), F.max(size).alias("longest"))
-    # counts of counts: few distinct values, 1,000,000 at most
-    seen = sorted(rows.collect(), key=lambda r: -r["n"])
-    total, least = 0, None
-    for r in seen:
-        total += r["pieces"]
-        if total > limit:
-            break
-        least = r["n"]
-    chosen = counted.where((F.col("n") >= least) & (size <= LONG)) if least is not None \
-        else counted.limit(0)
-    return chosen.select("piece"), any((r["longest"] or 0) > LONG for r in seen)
+def frequent(df: DataFrame, pieces: Column, limit: int, sample_docs: int) -> DataFrame:
+    """The most frequent pieces of a bounded sample of rows; long ones are left out."""
+    rows = df.count()
+    share = min(1.0, sample_docs / rows) if rows else 1.0
+    drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 20))
+    return (df.where(drawn < int(share * (1 << 20)) + 1).select(F.explode(pieces).alias("piece"))
+            .where(F.octet_length("piece") <= LONG).groupBy("piece")
+            .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "piece").limit(limit)
+            .select("piece"))
 
 
 def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
@@ -219,41 +224,48 @@ def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text:
     vocabulary, split = Vocabulary(ranks), F.lit(jvm_pattern(pattern))
     pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), split, F.lit(0))
     base = without(df, T.StructType.fromDDL(ADDED).names)
-    chosen, any_long = frequent(base.select(F.explode(pieces).alias("piece")), dictionary)
-    shown = chosen.repartition("piece").select(
+    chosen = frequent(base.select(text), pieces, dictionary, SAMPLE_DOCS)
+    folded = chosen.repartition("piece").select(
         "piece", vocabulary.bound(lambda encode: encode(F.col("piece"))).alias("ids"))
     words: list[dict[str, str]] = [{} for _ in range(WORD_BUCKETS)]
-    for r in shown.toLocalIterator():    # ``dictionary`` rows at most
+    for r in folded.toLocalIterator():    # ``dictionary`` rows at most
         words[bucket_of(r["piece"])][r["piece"]] = r["ids"]
     known = literal(words, "array<map<string,string>>")
-    ids = let(known, lambda known: vocabulary.bound(lambda encode: F.transform(
-        "__pieces", lambda p: F.coalesce(known[word_bucket(p)][p], encode(p)))))
-    cut = base.withColumn("__pieces", pieces)
-    is_long = F.exists("__pieces", lambda p: F.octet_length(p) > LONG)
-    short = cut.where(~is_long) if any_long else cut
-    coded = short.withColumn("ids", F.array_join(ids, ","))
-    if any_long:
-        coded = coded.unionByName(encode_in_python(cut.where(is_long), vocabulary))
+    marked = F.array_join(let(known, lambda known: F.transform(pieces, lambda p: F.coalesce(
+        known[word_bucket(p)][p], F.concat(F.lit("="), F.hex(p.cast("binary")))))), ",")
+    coded = encode_rare(base.withColumn("__marked", marked), vocabulary)
     tokens = F.when(F.col("ids") == "", 0).otherwise(
         F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
-    out = coded.drop("__pieces").withColumn("decoded", vocabulary.decode(F.col("ids")))
+    out = coded.withColumn("decoded", vocabulary.decode(F.col("ids")))
     return out.select(
         *[F.col(f"`{c}`") for c in base.columns], tokens.cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
         "ids", "decoded")
 
 
-def encode_in_python(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``df`` with ids, its pieces encoded by the merge with a heap."""
+def encode_rare(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``df`` with ids instead of ``__marked``; what is marked as rare is merged here."""
     ranks, joins = vocabulary.ranks, vocabulary.joins
-    schema = T.StructType([*df.schema.fields, T.StructField("ids", T.StringType())])
-    at = df.columns.index("__pieces")
+    kept = [f for f in df.schema.fields if f.name != "__marked"]
+    schema = T.StructType([*kept, T.StructField("ids", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 16):
-            ids = [",".join(str(i) for p in row for i in merge_long(p.encode(), ranks, joins))
-                   for row in part.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.string())],
-                                             names=schema.names)
+        known: dict[str, str] = {}
+
+        def ids_of(match: re.Match) -> str:
+            code = match[1]
+            found = known.get(code)
+            if found is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                found = ",".join(map(str, merge(bytes.fromhex(code), ranks, joins)))
+                known[code] = found
+            return found
+
+        for part in slices(batches, 64):
+            ids = [RARE.sub(ids_of, row) for row in part.column("__marked").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(f.name) for f in kept], pa.array(ids, pa.string())],
+                names=schema.names)
 
     return df.mapInArrow(run, schema)
