@@ -50,8 +50,9 @@ def unix_lines(c: Column) -> Column:
 def normalise_page_text(c: Column) -> Column:
     """Single blanks inside lines, no empty lines, no outer blanks; null gives ''."""
     text = unix_lines(F.coalesce(c, F.lit("")))
-    text = F.regexp_replace(text, f"{SPACE_NOT_LF}*\n{SPACE}*", "\n")
+    # runs first: afterwards a line end has one blank before it at most, so time is linear
     text = F.regexp_replace(text, f"{SPACE_NOT_LF}+", " ")
+    text = F.regexp_replace(text, " ?\n[ \n]*", "\n")
     return F.trim(text, F.lit(" \n"))
 
 
@@ -110,10 +111,26 @@ def text_key(c: Column) -> Column:
     return blank_to_null(F.coalesce(plain, _fold_unicode(F.when(~is_ascii(c), c))))
 
 
+def _folding() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case characters that full case folding changes: to one, and to several."""
+    other = {ch: ch.casefold() for ch in map(chr, range(0x80, 0x1e944))
+             if not 0xd800 <= ord(ch) < 0xe000 and ch.lower() == ch != ch.casefold()}
+    return ({k: v for k, v in other.items() if len(v) == 1},
+            {k: v for k, v in other.items() if len(v) > 1})
+
+
+def fold_case(c: Column) -> Column:
+    """Full Unicode case folding: lower case, and what folding changes after that."""
+    single, several = _folding()
+    folded = F.translate(F.lower(c), "".join(single), "".join(single.values()))
+    for ch, text in several.items():
+        folded = F.replace(folded, F.lit(ch), F.lit(text))
+    return F.when(is_ascii(c), F.lower(c)).otherwise(folded)
+
+
 def casefold_ascii_words(c: Column) -> Column:
-    """Lower case, every run outside a-z and 0-9 becomes a blank."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")),
-                                   "[^a-z0-9]+", " "))
+    """Case folded, every run outside a-z and 0-9 becomes a blank."""
+    return F.trim(F.regexp_replace(fold_case(c), "[^a-z0-9]+", " "))
 
 
 def contains_phrase(padded_source: Column, phrases: list[str]) -> Column:

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import values as v
 from ledgerlens.functions.text import (
     LINE_END, SPACE, blank_to_null, clean_document_text, collapse, strip_chars, strip_space)
-from ledgerlens.operators.skew import largest_group
 
 DELIMITERS = " \t:;|,"
 DEFAULT_MINIMUM_CONFIDENCE = 0.75
@@ -95,7 +94,6 @@ FALLBACK_PATTERN = (
 FALLBACK_CONFIDENCE = 0.90
 NEXT_LINE_PENALTY = 0.02
 FALLBACK_PENALTY = 0.15
-SHORT_DOCUMENT = 1000
 METHOD_RANK = {"labeled_line": 3, "labeled_next_line": 2, "fallback_pattern": 1}
 
 ANY_LABEL = rf"(?iU)^{SPACE}*(?:" + "|".join(
@@ -265,20 +263,23 @@ def _evidence() -> Column:
     return F.struct(_preference().alias("rank"), found.alias("evidence"))
 
 
-def single_candidates(found: DataFrame, document: str = "document_id") -> DataFrame:
-    """Candidates in the shape of :func:`best_candidates`, none combined yet."""
-    return found.select(
+def best_candidates(found: DataFrame, document: str = "document_id") -> DataFrame:
+    """One row per document and field value, combined map-side.
+
+    A labelled value keeps its best evidence. A number without a label keeps the first,
+    as only the first one can count.
+    """
+    rows = found.select(
         document, "rule_no", (F.col("kind") == "fallback").alias("is_fallback"), "value",
         "warning", _evidence().alias("best"), _first_seen().alias("seen"),
         (F.col("kind") == "page").cast("long").alias("pages"))
-
-
-def best_candidates(found: DataFrame, document: str = "document_id") -> DataFrame:
-    """One row per document and field value, the best evidence kept."""
-    return (single_candidates(found, document)
-            .groupBy(document, "rule_no", "is_fallback", "value", "warning")
-            .agg(F.min("best").alias("best"), F.min("seen").alias("seen"),
-                 F.sum("pages").alias("pages")))
+    keys = [document, "rule_no", "is_fallback", "value", "warning"]
+    return (rows.groupBy(*keys)
+            .agg(F.min("best").alias("best"), F.min(F.struct("seen", "best")).alias("first"),
+                 F.sum("pages").alias("pages"))
+            .select(*keys, F.when(F.col("is_fallback"), F.col("first.best"))
+                    .otherwise(F.col("best")).alias("best"),
+                    F.col("first.seen").alias("seen"), "pages"))
 
 
 def _values_of(rule_no: int) -> str:
@@ -291,20 +292,15 @@ def _values_of(rule_no: int) -> str:
 
 
 def extract_documents(pages: DataFrame, document: str = "document_id",
-                      minimum_confidence: float = DEFAULT_MINIMUM_CONFIDENCE,
-                      pages_per_document: int | None = None) -> DataFrame:
+                      minimum_confidence: float = DEFAULT_MINIMUM_CONFIDENCE) -> DataFrame:
     """One row per document: a struct per field, warnings, overall confidence.
 
-    Where a document may have more than ``SHORT_DOCUMENT`` pages its candidates are
-    first combined per value, map-side; shorter documents meet at once.
-    ``pages_per_document`` is measured unless the caller knows it.
+    Candidates are first combined per value, so what meets in a document's row is bounded
+    by its distinct values, whatever its number of pages.
     """
     if not 0 <= minimum_confidence <= 1:
         raise ValueError("minimum_confidence must be between 0 and 1")
-    if pages_per_document is None:
-        pages_per_document = largest_group(pages, document)
-    combine = single_candidates if pages_per_document <= SHORT_DOCUMENT else best_candidates
-    reduced = combine(candidates(pages, document), document)
+    reduced = best_candidates(candidates(pages, document), document)
     labelled = "value IS NOT NULL AND NOT is_fallback"
     joined = reduced.groupBy(document).agg(
         *[F.expr(f"min(best) FILTER (WHERE {labelled} AND rule_no = {n})").alias(f"best_{n}")

@@ -38,7 +38,7 @@ def records(t: Tables) -> DataFrame:
 
 
 def reconciled(t: Tables, persist: bool = False) -> Reconciliation:
-    return reconcile_pages(policy_pages(t), records(t), persist=persist, pages_per_document=2)
+    return reconcile_pages(policy_pages(t), records(t), persist=persist)
 
 
 def numbered_log(t: Tables) -> DataFrame:
@@ -315,7 +315,7 @@ SELECT document_id, 2 AS page_count, number AS policy_number, customer AS custom
     CASE WHEN pc < 0.75 THEN 6 + (c4 IS NOT NULL)::INT + (c6 IS NOT NULL)::INT
         + (c7 IS NOT NULL)::INT ELSE 0 END AS warnings FROM graded""", ["scored"])
 def _(t):
-    e = extract_documents(usable_pages(policy_pages(t)), pages_per_document=2)
+    e = extract_documents(usable_pages(policy_pages(t)))
     return e.select("document_id", "page_count",
                     *[F.col(f"{n}.value").alias(n) for n in FIELD_NAMES],
                     "document_confidence", F.size("warnings").alias("warnings"))
@@ -360,7 +360,7 @@ SELECT document_id, 'policy_number' AS field_name, number AS value, round(c1, 4)
 UNION ALL SELECT document_id, 'premium', CAST(premium AS VARCHAR), c8, 'labeled_line', 2
 FROM scored""", ["scored"])
 def _(t):
-    flat = flat_fields(extract_documents(usable_pages(policy_pages(t)), pages_per_document=2))
+    flat = flat_fields(extract_documents(usable_pages(policy_pages(t))))
     return flat.where(F.col("field_name").isin("policy_number", "premium")).select(
         "document_id", "field_name", "value", "confidence_score", "extraction_method",
         "page_number")
@@ -432,14 +432,11 @@ SELECT document_id, count(*) FILTER (WHERE status = 'passed') AS passed,
     max(CASE WHEN rule_code <> 'REC012' AND rule_code = 'REC001' AND status = 'passed'
         THEN expected_value END) AS policy_number FROM findings GROUP BY 1""", ["findings"])
 def _(t):
-    totals = rec.run_totals(reconciled(t).findings.withColumn("number", F.when(
-        (F.col("rule_code") == "REC001") & (F.col("status") == "passed"), F.col("expected_value"))))
-    numbers = reconciled(t).runs.select("document_id", F.when(
-        F.col("matched_policy_id").isNotNull(), F.col("extracted_policy_number")).alias("policy_number"))
-    return totals.join(numbers, "document_id").select(
+    return reconciled(t).runs.select(
         "document_id", F.coalesce(F.col("status_counts")["passed"], F.lit(0)).alias("passed"),
         F.coalesce(F.col("severity_counts")["high"], F.lit(0)).alias("high"), "total_checks",
-        "policy_number")
+        F.when(F.col("matched_policy_id").isNotNull(), F.col("extracted_policy_number"))
+        .alias("policy_number"))
 
 
 @query("ag11_status_pivot", """

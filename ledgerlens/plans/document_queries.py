@@ -107,7 +107,7 @@ _QUESTIONS = [
 
 
 def _portfolio_questions(t: Tables) -> DataFrame:
-    """Every turn asks one of the known questions, followed by its own words."""
+    """Every turn asks one of the known questions."""
     texts = F.array(*[F.lit(q) for q, _ in _QUESTIONS])
     return t.raw("conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
@@ -413,11 +413,10 @@ def _(t):
 @query("snk5_report_names", """
 SELECT doc_id, coalesce(nullif(substring(trim(regexp_replace(n, '[^A-Za-z0-9._-]+', '-', 'g'),
     '._-'), 1, 80), ''), 'document') || '-reconciliation-' || substring(md5(CAST(doc_id AS VARCHAR)),
-    1, 8) || '.csv' AS file_name FROM (SELECT doc_id, 'r ' || substring(regexp_replace(text,
-    '[/.\\r\\n]', ' ', 'g'), 1, 120) || 'x' AS n FROM documents)""")
+    1, 8) || '.csv' AS file_name FROM (SELECT doc_id, 'r ' || regexp_replace(text,
+    '[/.\\r\\n]', ' ', 'g') || 'x' AS n FROM documents)""")
 def _(t):
-    name = F.concat(F.lit("r "), F.substring(F.regexp_replace("text", "[/.\r\n]", " "), 1, 120),
-                    F.lit("x.pdf"))
+    name = F.concat(F.lit("r "), F.regexp_replace("text", "[/.\r\n]", " "), F.lit("x.pdf"))
     return docs(t).select("doc_id", sinks.report_file_name(
         name, F.md5(F.col("doc_id").cast("string"))).alias("file_name"))
 
@@ -426,11 +425,10 @@ def _(t):
 SELECT doc_id, 'workspaces/11111111-1111-4111-8111-111111111111/documents/' || doc_id || '/'
     || md5(CAST(doc_id AS VARCHAR)) || '-' || coalesce(nullif(regexp_replace(trim(regexp_replace(n,
     '[^\\p{L}\\p{N}._-]', '-', 'g'), '.-_'), '-{2,}', '-', 'g'), ''), 'uploaded-file') AS path
-FROM (SELECT doc_id, 'x' || substring(replace(text, '/', ' '), 1, 60) || 'x.pdf' AS n
+FROM (SELECT doc_id, 'x' || replace(text, '/', ' ') || 'x.pdf' AS n
     FROM documents)""")
 def _(t):
-    name = F.concat(F.lit("up/x"), F.substring(F.replace("text", F.lit("/"), F.lit(" ")), 1, 60),
-                    F.lit("x.pdf"))
+    name = F.concat(F.lit("up/x"), F.replace("text", F.lit("/"), F.lit(" ")), F.lit("x.pdf"))
     return docs(t).select("doc_id", files.object_path(
         F.lit(WORKSPACE), F.col("doc_id"), F.md5(F.col("doc_id").cast("string")), name)
         .alias("path"))
@@ -717,7 +715,5 @@ def _(t):
     twice = stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
         "delivery", F.explode(F.array(F.lit(1), F.lit(2))))
     path = scratch_path(t.spark, "messages")
-    intake.run_available(intake.once_per_message(twice, "event_id", "ts"),
-                         intake.overwrite_batch(path, lambda b: b.select("event_id", "event_type")),
-                         path + "-progress")
-    return t.spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("messages"))
+    done = intake.run_messages(twice.select("event_id", "event_type"), path, "event_id")
+    return done.groupBy("event_type").agg(F.count("*").alias("messages"))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import cut_lineage
 from ledgerlens.sources.files import BINARY_FILE_SCHEMA
 
+BUCKETS = 32
+
 
 def stream_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """New files as rows; the checkpoint remembers which were taken."""
@@ -46,37 +50,48 @@ def current_status(log: DataFrame) -> DataFrame:
             .select("document_id", "top.*"))
 
 
-def merge_status(path: str) -> Callable:
-    """Batch sink keeping the newest entry per document in a two-slot table.
+def merge_buckets(path: str, key: str, merge: Callable[[DataFrame], DataFrame],
+                  buckets: int = BUCKETS) -> Callable:
+    """Batch sink that merges rows into a table of hash buckets of ``key``.
 
-    A batch writes the slot the previous one did not, so a crash leaves a whole
-    table behind and the repeated batch starts from the same state.
+    ``merge`` gets the stored and the new rows of the touched buckets and must give the
+    same rows when the new ones are there twice. Only touched buckets are read and
+    written. A batch that broke off is delivered again and merged again, so nothing has
+    to be remembered between batches and runs.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = current_status(batch)
-        if number:
-            before = spark.read.schema(rows.schema).parquet(f"{path}/slot={(number - 1) % 2}")
-            rows = current_status(rows.unionByName(before.select(*rows.columns)))
-        rows.write.mode("overwrite").parquet(f"{path}/slot={number % 2}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        fresh = cut_lineage(batch.withColumn("bucket", bucket))
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        rows = fresh
+        try:
+            stored = spark.read.schema(fresh.schema).parquet(path)
+            rows = stored.where(F.col("bucket").isin(touched)).unionByName(fresh)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        # what is read must be kept before its folders are replaced
+        merged = cut_lineage(merge(rows.drop("bucket")).withColumn("bucket", bucket))
+        (merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
+         .option("partitionOverwriteMode", "dynamic").parquet(path))
     return write
 
 
-def latest_slot(spark: SparkSession, path: str, batches: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/slot={(batches - 1) % 2}")
-
-
 def run_status(log: DataFrame, path: str) -> DataFrame:
     """Drains a status log stream and returns the current status per document."""
-    spark = log.sparkSession
-    write = merge_status(path)
-    query = (log.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-progress")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return latest_slot(spark, path, query.lastProgress["batchId"] + 1)
-
-
-def once_per_message(stream: DataFrame, message_id: str, event_time: str,
-                     delay: str = "1 hour") -> DataFrame:
-    """Drops redelivered messages that arrive within ``delay``."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([message_id])
+    run_available(log, merge_buckets(path, "document_id", current_status), f"{path}-progress")
+    return log.sparkSession.read.parquet(path).drop("bucket")
+
+
+def run_messages(messages: DataFrame, path: str, message_id: str) -> DataFrame:
+    """Drains a message stream and returns each message once, however late it comes.
+
+    Messages are told apart by their id against all stored ones, so there is no delay
+    after which one would be lost or taken twice.
+    """
+    once = merge_buckets(path, message_id, lambda rows: rows.dropDuplicates([message_id]))
+    run_available(messages, once, f"{path}-progress")
+    return messages.sparkSession.read.parquet(path).drop("bucket")

@@ -209,3 +209,65 @@ def test_files_stream_once(spark, tmp_path):
 
 def test_shared_folder_is_used(spark):
     assert os.path.isdir(shared_folder(spark).replace("file:", ""))
+
+
+def test_csv_as_users_have_it(spark):
+    df = spark.createDataFrame([
+        ("break", b'a,b\n"l1\nl2",x\n'), ("doubled", b'a,b\n"say ""hi""",y\n'),
+        ("stray", b'a,b\nab"c,d\n'), ("closed early", b'a,b\n"a"b,c\n'),
+        ("blank", b'a,b\n,\nNA,null\n'), ("open", b'a,b\n"abc,d\n'), ("wide", b"a\n1,2,3\n4\n1,2\n"),
+        ("latin", "a\nä\n".encode("latin-1")), ("marked", b"\xef\xbb\xbfa\nx\n"), ("none", b"")],
+        "path string, content binary")
+    got = {r["path"]: r for r in files.csv_pages(df).collect()}
+    assert got["break"]["text_content"] == 'a,b\n"l1\nl2",x' and got["break"]["row_count"] == 1
+    assert got["doubled"]["text_content"] == 'a,b\n"say ""hi""",y'
+    assert got["stray"]["text_content"] == 'a,b\n"ab""c",d'
+    assert got["closed early"]["text_content"] == "a,b\nab,c"
+    assert got["blank"]["text_content"] == "a,b\n,\nNA,null" and got["blank"]["row_count"] == 2
+    assert got["open"]["error"] and got["open"]["text_content"] is None
+    assert got["wide"]["error"] or got["wide"]["row_count"] == 3
+    assert got["latin"]["text_content"] == "a\nä" and got["marked"]["columns"] == ["a"]
+    assert got["none"]["text_content"] == "" and got["none"]["row_count"] == 0
+
+
+def test_normalisation_of_long_blank_runs_is_linear(spark):
+    import time
+    from ledgerlens.functions.text import normalise_page_text
+    text = "a" + " " * 1_000_000 + "b" + "\t \n" * 100_000 + "c"
+    df = spark.createDataFrame([(text,)], "v string")
+    started = time.perf_counter()
+    assert df.select(normalise_page_text(F.col("v"))).first()[0] == "a b\nc"
+    assert time.perf_counter() - started < 5
+
+
+def test_full_case_folding(spark):
+    from ledgerlens.functions.text import casefold_ascii_words, fold_case
+    texts = ["show proﬁt", "Straße STRAẞE", "ſmall Kelvin",
+             "ΟΔΟΣ ς", "ﬃ ǰ ŉ", "PLAIN text", None,
+             "İx ᾀ Ꭰ ꭰ"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    got = {r["i"]: r for r in df.select("i", fold_case(F.col("v")).alias("f"),
+                                        casefold_ascii_words(F.col("v")).alias("w")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i]["f"] == (None if t is None else t.casefold()), t
+    assert got[0]["w"] == "show profit" and got[1]["w"] == "strasse strasse"
+
+
+def test_messages_and_status_over_batches_and_reruns(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "id long, document_id long, attempt_number long, " \
+        "created_at timestamp, status string"
+    from datetime import datetime
+    batches = [[(1, 7, 1, datetime(2026, 1, 1, 20), "queued")],
+               [(2, 7, 2, datetime(2026, 1, 1, 19), "running"),
+                (1, 7, 1, datetime(2026, 1, 1, 20), "queued")],
+               [(3, 8, 1, datetime(2026, 1, 1, 1), "completed")]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = intake.stream_table(spark, source, "*.parquet", 1)
+        messages = intake.run_messages(stream, str(tmp_path / "messages"), "id")
+        status = intake.run_status(stream, str(tmp_path / "status"))
+        assert messages.count() == min(3, n + 1 + (n == 1) * 0)
+        assert status.count() == (1 if n < 2 else 2)
+    again = intake.run_status(stream, str(tmp_path / "status"))      # nothing new
+    assert {r["document_id"]: r["status"] for r in again.collect()} == {7: "running", 8: "completed"}
+    assert intake.run_messages(stream, str(tmp_path / "messages"), "id").count() == 3

@@ -37,10 +37,9 @@ def test_all_fields(spark):
     assert r["policy_number"]["source_text"] == "Policy Number: POL-2026-0001"
 
 
-@pytest.mark.parametrize("known", [1, 5000])
-def test_next_line_conflict_and_missing(spark, known):
+def test_next_line_conflict_and_missing(spark):
     text = "Policy ID\n\n  PX-9001\nPolicy Number: PX-9002\nPremium: none\nPlanning ahead\nStatus"
-    r = extract(spark, (1, 1, text, None), pages_per_document=known)[1]
+    r = extract(spark, (1, 1, text, None))[1]
     assert r["policy_number"]["value"] == "PX-9002"  # the same line beats the next line
     assert r["plan_name"]["value"] == "ning ahead"
     assert r["policy_status"]["found"] is False
@@ -58,13 +57,12 @@ def test_low_confidence(spark):
     assert "Low-confidence extraction for carrier_name: 0.50." in r["warnings"]
 
 
-@pytest.mark.parametrize("known", [2, 5000])
-def test_unlabelled_number(spark, known):
+def test_unlabelled_number(spark):
     loose = "Reference pol-12345 for you"
     got = extract(
         spark, (1, 1, loose, None), (1, 2, "Policy Number: POL-777", None),
         (2, 1, "Policy Number: POL-777", None), (2, 2, loose, None),
-        (3, 1, loose, 0.8), (4, 1, "nothing here", None), pages_per_document=known)
+        (3, 1, loose, 0.8), (4, 1, "nothing here", None))
     assert got[1]["policy_number"]["value"] == "POL-777"  # better confidence than 0.75
     assert "POL-12345, POL-777" in got[1]["warnings"][0]
     assert got[2]["policy_number"]["value"] == "POL-777" and not any(
@@ -76,13 +74,14 @@ def test_unlabelled_number(spark, known):
     assert got[4]["policy_number"]["found"] is False and got[4]["document_confidence"] == 0.0
 
 
-def test_short_and_long_document_paths_agree(spark):
-    rows = [(d, n, FULL.replace("0001", f"000{d * n % 3}"), 0.5 + d / 10) for d in range(4)
-            for n in (1, 2, 3)]
-    df = usable_pages(pages(spark, *rows))
-    short = extract_documents(df, pages_per_document=3)
-    long = extract_documents(df, pages_per_document=10_000)
-    assert short.exceptAll(long).count() == 0 and short.count() == 4
+@pytest.mark.parametrize("blank_pages", [0, 5000])
+def test_first_unlabelled_number_counts_at_any_length(spark, blank_pages):
+    loose = "Reference pol-12345 for you"
+    more = [(1, n, "nothing", 1.0) for n in range(3, 3 + blank_pages)]
+    r = extract(spark, (1, 1, loose, 0.8), (1, 2, loose, 1.0), *more)[1]
+    found = r["policy_number"]
+    assert (found["page_number"], found["confidence_score"]) == (1, 0.65)
+    assert r["page_count"] == 2 + blank_pages
 
 
 def test_best_candidates_combines_repeats(spark):
