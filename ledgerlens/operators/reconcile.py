@@ -80,7 +80,7 @@ def policy_records(policies: DataFrame, payments: DataFrame, customers: DataFram
 
 
 def match_policies(extraction: DataFrame, records: DataFrame, spread_by: str = "document_id",
-                   hot: list | None = None) -> DataFrame:
+                   hot: list = ()) -> DataFrame:
     """Documents with the record their number names, case ignored; none when absent."""
     keyed = (extraction.withColumnsRenamed({n: f"x_{n}" for n in FIELD_NAMES})
              .withColumn("match_key", F.upper(presence(F.col("x_policy_number.value")))))

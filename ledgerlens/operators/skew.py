@@ -8,52 +8,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001
-HOT_MIN_ROWS = 1_000_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE,
-             min_rows: int = HOT_MIN_ROWS) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Keys that hold more than ``share`` of the rows.
 
     At most ``1/share`` keys can qualify, so the collected list is bounded by
     arithmetic. The count is combined map-side before its shuffle.
     """
     counts = df.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
-    totals = df.agg(F.count("*").alias("total"))
-    heavy = (counts.where((F.col("n") >= min_rows) & F.col("k").isNotNull())
-             .orderBy(F.desc("n")).limit(int(1 / share)).collect())
-    if not heavy:
-        return []
-    floor = totals.first()["total"] * share
+    heavy = (counts.where(F.col("k").isNotNull()).orderBy(F.desc("n")).limit(int(1 / share))
+             .collect())
+    floor = df.count() * share
     return [row["k"] for row in heavy if row["n"] > floor]
 
 
 def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                spread_by: list[str], how: str = "left", hot: list | None = None,
+                spread_by: list[str], how: str = "left", hot: list = (),
                 salts: int = SALTS) -> DataFrame:
     """Join ``left`` to a ``right`` with one row per key.
 
-    Rows of a hot key are spread over ``salts`` sub-keys by a hash of
-    ``spread_by`` (repeatable, so a retried task sends each row to the same
-    place) and only the matching right rows are repeated for them.
+    Rows without a key match nothing, so each goes where a hash of ``spread_by`` sends it
+    (repeatable, so a retried task sends each row to the same place). Large keys are split
+    at run time by adaptive skew joins, whatever the size of the input. Keys that the
+    caller knows to be ``hot`` are spread over ``salts`` sub-keys, and only the matching
+    right rows are repeated for them; so that also works without adaptive execution.
     Broadcasting is left to the size checks of the optimiser and of AQE.
     """
-    if hot is None:
-        hot = hot_keys(left, left_key)
-    key = F.col(left_key)
-    # rows without a key match nothing, so they may go anywhere
-    spread = key.isNull() | key.isin(hot) if hot else key.isNull()
-    salted = left.withColumn("__salt", F.when(
-        spread, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")).otherwise(0))
+    key, spread = F.col(left_key), F.xxhash64(*spread_by)
+    salt = F.when(key.isNull(), spread)
+    if hot:
+        salt = salt.when(key.isin(list(hot)), F.pmod(spread, F.lit(salts)))
+        copies = F.when(F.col("__rk").isin(list(hot)), F.sequence(
+            F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    salted = left.withColumn("__salt", salt.otherwise(0))
     right = right.withColumnRenamed(right_key, "__rk")
     if hot:
-        copies = F.when(F.col("__rk").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1)))
-        right = right.withColumn("__rsalt",
-                                 F.explode(F.coalesce(copies, F.array(F.lit(0)))))
+        right = right.withColumn("__rsalt", F.explode(F.coalesce(
+            copies, F.array(F.lit(0).cast("long")))))
     else:
         # zero, but not a literal: as a literal it would stop being a join key
-        right = right.withColumn("__rsalt", F.pmod(F.xxhash64("__rk"), F.lit(1)).cast("int"))
+        right = right.withColumn("__rsalt", F.pmod(F.xxhash64("__rk"), F.lit(1)))
     joined = salted.join(right, (salted[left_key] == right["__rk"])
                          & (salted["__salt"] == right["__rsalt"]), how)
     return joined.drop("__salt", "__rk", "__rsalt")

@@ -78,6 +78,14 @@ _COLUMNS = {
                                  "plan_type": "p_type", "monthly_premium": "p_retailprice",
                                  "workspace_id": "1"}),
     "insurance_agents": ("supplier", {"id": "s_suppkey", "name": "s_name", "workspace_id": "1"}),
+    "insurance_customers": ("customer", {"id": "c_custkey", "name": "c_name",
+                                         "first_name": "c_name", "last_name": "c_name",
+                                         "workspace_id": "1"}),
+    "insurance_policies": ("orders JOIN customer ON o_custkey = c_custkey", {
+        "id": "o_orderkey", "policy_number": "o_orderkey", "customer_id": "o_custkey",
+        "plan_id": "o_orderkey", "status": "o_orderkey", "premium": "o_totalprice",
+        "effective_date": "o_orderdate", "created_at": "o_orderdate", "source_system": "o_orderkey",
+        "source_record_id": "o_orderkey", "carrier_id": "c_nationkey", "workspace_id": "1"}),
     "insurance_payments": ("lineitem", {"id": "l_orderkey", "policy_id": "l_orderkey",
                                         "amount": "l_extendedprice", "status": "1",
                                         "payment_date": "l_shipdate", "workspace_id": "1"}),
@@ -85,7 +93,8 @@ _COLUMNS = {
                                            "agent_id": "l_suppkey", "net_amount": "l_discount",
                                            "workspace_id": "1"}),
 }
-_TARGETS = {"carrier_id": "insurance_carriers", "policy_id": "NULL", "agent_id": "insurance_agents"}
+_TARGETS = {"carrier_id": "insurance_carriers", "policy_id": "insurance_policies", "agent_id": "insurance_agents",
+            "customer_id": "insurance_customers", "plan_id": "insurance_plans"}
 
 
 def _catalogue_sql() -> str:
@@ -103,7 +112,7 @@ def _catalogue_sql() -> str:
 
 @query("src7_catalogue", _catalogue_sql())
 def _(t):
-    tables = {n: df for n, df in t.business_tables().items() if n in _COLUMNS}
+    tables = t.business_tables()
     described = catalogue.catalogue(t.spark, tables)
     counts = None
     for name, df in tables.items():

@@ -36,7 +36,7 @@ def test_hot_keys_are_salted(spark):
     left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(
         F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"))
     right = spark.createDataFrame([("hot", 1), ("4", 2), ("8", 3)], "k string, v int")
-    assert hot_keys(left, "k", 0.1, 100) == ["hot"]
+    assert hot_keys(left, "k", 0.1) == ["hot"]
     for how in ("left", "inner", "left_semi", "left_anti"):
         plain = left.join(right, "k", how)
         for hot in (["hot"], []):
