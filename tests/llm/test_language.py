@@ -45,6 +45,8 @@ def test_words_do_not_depend_on_their_batch():
     for w, row in zip(words, together):
         assert np.allclose(network.pooled([w])[0], row, atol=1e-5)
         assert abs(row.sum() - len(w)) < 1e-4
+        # what training differentiates gives the same labels
+        assert np.allclose(network.label(*padded([w]))[0].sum(axis=(0, 1)), row, atol=1e-5)
     assert padded([b"ab", b"c"])[0].tolist() == [[97, 99], [98, 256]]
 
 
