@@ -137,7 +137,10 @@ class Tables:
 
     def document_pages(self) -> DataFrame:
         """One page per document row, its run being the document itself."""
-        return self._tenant(self.wide("documents", "doc_id").select(
+        return self.pages_of(self.wide("documents", "doc_id"))
+
+    def pages_of(self, documents: DataFrame) -> DataFrame:
+        return self._tenant(documents.select(
             F.col("doc_id").alias("page_id"), F.col("doc_id").alias("document_id"),
             F.col("doc_id").alias("processing_run_id"), F.lit(1).alias("page_number"),
             F.col("text").alias("text_content"), F.col("lang").alias("language_code"),

@@ -436,7 +436,8 @@ def _(t):
 
 # --- chunks and vectors ---------------------------------------------------------------------
 
-@query("tf1_chunks", f"""
+# Chunks of every document in SQL: start and stop of each in the normalised text n.
+CHUNK_STEPS = f"""
 WITH RECURSIVE pages AS (SELECT doc_id, {NORMAL} AS n FROM documents),
 step AS (
     SELECT doc_id, n, 0 AS start, CASE WHEN length(n) <= 1200 THEN length(n) ELSE
@@ -450,7 +451,10 @@ step AS (
                 AND contains(substring(n, start + 2, r - start), ' ')
                 THEN r + 1 - length(regexp_extract(substring(n, start + 2, r - start), '[^ ]*$'))
                 ELSE r END AS a
-            FROM (SELECT *, greatest(start + 1, stop - 200) AS r FROM step WHERE stop < length(n)))))
+            FROM (SELECT *, greatest(start + 1, stop - 200) AS r FROM step WHERE stop < length(n)))))"""
+
+
+@query("tf1_chunks", CHUNK_STEPS + """
 SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1
     AS chunk_index, start + length(p) - length(ltrim(p, ' ' || chr(10))) AS start_character,
     sha256(trim(p, ' ' || chr(10))) AS content_sha256
@@ -463,16 +467,20 @@ def _(t):
         "content_sha256")
 
 
-@query("wn4_run_wide_index", None)
+@query("wn4_run_wide_index", CHUNK_STEPS + """
+SELECT lang AS language_code, count(*) AS chunks, 0 AS first_index, count(*) - 1 AS last_index,
+    count(*) AS indexes FROM step JOIN documents USING (doc_id) GROUP BY 1""")
 def _(t):
     """Chunk numbering across the pages of a run, runs being sources of documents."""
     pages = t.document_pages().select(
         F.xxhash64("language_code").alias("processing_run_id"), "page_id",
         (F.col("document_id") + 1).alias("page_number"), "text_content")
-    made = chunk_pages(pages)
-    return made.groupBy("processing_run_id").agg(
+    made = chunk_pages(pages).groupBy("processing_run_id").agg(
         F.count("*").alias("chunks"), F.min("chunk_index").alias("first_index"),
         F.max("chunk_index").alias("last_index"), F.countDistinct("chunk_index").alias("indexes"))
+    named = t.document_pages().select(
+        "language_code", F.xxhash64("language_code").alias("processing_run_id")).distinct()
+    return made.join(named, "processing_run_id").drop("processing_run_id")
 
 
 @query("tf2_embedded_documents", """
@@ -567,13 +575,13 @@ def ready_chunks(t: Tables) -> DataFrame:
     return cut_lineage(index_pages(t.document_pages(), SPEC, pages_per_run=1).where(F.col("status") == "ready"))
 
 
-@query("tf4_index_summary", f"""
-SELECT doc_id AS processing_run_id, 1 AS source_page_count FROM (SELECT doc_id, {NORMAL} AS n
-    FROM documents) WHERE n <> ''""")
+@query("tf4_index_summary", CHUNK_STEPS + """
+SELECT doc_id AS processing_run_id, 1 AS source_page_count, count(*) AS chunk_count,
+    count(*) AS embedded_chunk_count FROM step GROUP BY 1""")
 def _(t):
     pages = t.document_pages()
-    return index_summary(pages, index_pages(pages, SPEC, pages_per_run=1)).where(
-        "chunk_count >= embedded_chunk_count").select("processing_run_id", "source_page_count")
+    return index_summary(pages, index_pages(pages, SPEC, pages_per_run=1)).select(
+        "processing_run_id", "source_page_count", "chunk_count", "embedded_chunk_count")
 
 
 @query("snk2_chunk_index", """
@@ -673,23 +681,24 @@ def _(t):
 
 # --- streams --------------------------------------------------------------------------------
 
-@query("sm1_incremental_intake", f"""
-SELECT lang AS language_code, count(*) AS pages, CAST(sum(length({NORMAL})) AS BIGINT) AS characters
-FROM documents WHERE NOT regexp_full_match(text, '[§]*') GROUP BY 1""")
+@query("sm1_incremental_intake", CHUNK_STEPS + """
+SELECT doc_id AS document_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1
+    AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_count,
+    sha256(trim(substring(n, start + 1, stop - start), ' ' || chr(10))) AS content_sha256
+FROM step""")
 def _(t):
+    """Documents are indexed batch by batch as their files arrive."""
     stream = intake.stream_table(t.spark, t.folder, "documents.parquet")
     path = scratch_path(t.spark, "intake")
 
-    def normalise(batch: DataFrame) -> DataFrame:
-        body = tx.normalise_page_text(F.col("text"))
-        cores = t.spark.sparkContext.defaultParallelism
-        if batch.rdd.getNumPartitions() < cores:
-            batch = batch.repartition(cores, "doc_id")
-        return batch.select("doc_id", "lang", F.length(body).alias("size")).where("size > 0")
+    def index(batch: DataFrame) -> DataFrame:
+        return index_pages(t.pages_of(batch), SPEC, pages_per_run=1).select(
+            "document_id", "chunk_index", "content_sha256")
 
-    intake.run_available(stream, intake.overwrite_batch(path, normalise), path + "-progress")
-    return t.spark.read.parquet(path).groupBy(F.col("lang").alias("language_code")).agg(
-        F.count("*").alias("pages"), F.sum("size").alias("characters"))
+    intake.run_available(stream, intake.overwrite_batch(path, index), path + "-progress")
+    made = t.spark.read.parquet(path).drop("batch")
+    counts = made.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
+    return made.join(counts, "document_id")
 
 
 @query("sm2_current_status", """
