@@ -7,15 +7,16 @@ joined bytes, kept in hash buckets, as a map's look-up is a scan. Decoding looks
 bytes up in a literal array and concatenates them.
 
 Words repeat, so the fold runs over distinct pieces: the most frequent ones of a bounded
-sample of documents, ``dictionary`` of them at most. Their ids travel with the plan as a
-literal, in which every piece of every text is looked up. Pieces that it lacks are merged
-by a small Python function where they stand, as the interpreted fold costs too much for
-millions of pieces that occur once (README, figures). What the dictionary holds decides
-where a piece is merged, never the result. No text is shuffled.
+sample of documents, ``dictionary`` of them at most. Tasks look every piece of every text
+up among their ids. Pieces that are not there are merged by a small Python function, as the
+interpreted fold costs too much for millions of pieces that occur once (README, figures).
+What the dictionary holds decides where a piece is merged, never the result. No text is
+shuffled.
 
 Null text counts as empty: no tokens, and the digests of empty strings. Repeated rows are
 encoded each for itself; an empty table gives an empty table; input columns named like an
-added one are replaced. Character classes are those of the JVM's Unicode tables.
+added one are replaced. Character classes
+are those of the ``regex`` module.
 """
 
 from __future__ import annotations
@@ -23,24 +24,23 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
 import zlib
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import slices, without
+from ledgerlens.llm.common import annotate, without
 
 DICTIONARY = 65_536    # frequent pieces that are folded once, at most
 LONG = 256             # longer pieces are never folded, as a fold takes quadratic time
 SAMPLE_DOCS = 3_000    # documents that pieces are counted in for the dictionary
-RARE = re.compile("=([0-9A-F]+)")   # a piece that is not in the dictionary, in hexadecimal
 REMEMBERED = 300_000   # rare pieces whose ids a task keeps
-PAIR_BUCKETS = 1 << 17
-WORD_BUCKETS = 1 << 16
+FOLD_TASKS = 12        # tasks that fold the dictionary
+PAIR_BUCKETS = 1 << 15
+WORD_BUCKETS = 1 << 14
 NONE = 2**31 - 1       # rank of a pair that does not merge
 EDGE = -1              # id that stands at both ends of a piece
 # White space as Unicode has it; the JVM's \s is ASCII only.
@@ -207,15 +207,26 @@ def merge(piece: bytes, ranks: dict[bytes, int], joins: dict) -> list[int]:
     return [x for x in ids if x is not None]
 
 
-def frequent(df: DataFrame, pieces: Column, limit: int, sample_docs: int) -> DataFrame:
+def frequent(df: DataFrame, pieces: Column, limit: int, sample_docs: int) -> list[str]:
     """The most frequent pieces of a bounded sample of rows; long ones are left out."""
     rows = df.count()
     share = min(1.0, sample_docs / rows) if rows else 1.0
     drawn = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 20))
-    return (df.where(drawn < int(share * (1 << 20)) + 1).select(F.explode(pieces).alias("piece"))
-            .where(F.octet_length("piece") <= LONG).groupBy("piece")
-            .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "piece").limit(limit)
-            .select("piece"))
+    found = (df.where(drawn < int(share * (1 << 20)) + 1).select(F.explode(pieces).alias("piece"))
+             .where(F.octet_length("piece") <= LONG).groupBy("piece")
+             .agg(F.count("*").alias("n")).orderBy(F.desc("n"), "piece").limit(limit))
+    return [r["piece"] for r in found.select("piece").collect()]
+
+
+def folded_ids(df: DataFrame, words: list[str], vocabulary: Vocabulary) -> dict[str, str]:
+    """Ids of distinct words, comma-joined, by the fold; ``words`` is a bounded list."""
+    if not words:
+        return {}
+    # dealt out, as a local table would be folded by the driver while it plans
+    table = df.sparkSession.createDataFrame(pd.DataFrame({"piece": words})).repartition(FOLD_TASKS)
+    folded = table.select("piece", vocabulary.bound(
+        lambda encode: encode(F.col("piece"))).alias("ids"))
+    return {r["piece"]: r["ids"] for r in folded.collect()}
 
 
 def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
@@ -224,16 +235,8 @@ def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text:
     vocabulary, split = Vocabulary(ranks), F.lit(jvm_pattern(pattern))
     pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), split, F.lit(0))
     base = without(df, T.StructType.fromDDL(ADDED).names)
-    chosen = frequent(base.select(text), pieces, dictionary, SAMPLE_DOCS)
-    folded = chosen.repartition("piece").select(
-        "piece", vocabulary.bound(lambda encode: encode(F.col("piece"))).alias("ids"))
-    words: list[dict[str, str]] = [{} for _ in range(WORD_BUCKETS)]
-    for r in folded.toLocalIterator():    # ``dictionary`` rows at most
-        words[bucket_of(r["piece"])][r["piece"]] = r["ids"]
-    known = literal(words, "array<map<string,string>>")
-    marked = F.array_join(let(known, lambda known: F.transform(pieces, lambda p: F.coalesce(
-        known[word_bucket(p)][p], F.concat(F.lit("="), F.hex(p.cast("binary")))))), ",")
-    coded = encode_rare(base.withColumn("__marked", marked), vocabulary)
+    words = frequent(base.select(text), pieces, dictionary, SAMPLE_DOCS)
+    coded = assemble(base, text, pattern, folded_ids(df, words, vocabulary), vocabulary)
     tokens = F.when(F.col("ids") == "", 0).otherwise(
         F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
     out = coded.withColumn("decoded", vocabulary.decode(F.col("ids")))
@@ -243,29 +246,24 @@ def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text:
         "ids", "decoded")
 
 
-def encode_rare(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``df`` with ids instead of ``__marked``; what is marked as rare is merged here."""
+def assemble(df: DataFrame, text: str, pattern: str, words: dict[str, str],
+             vocabulary: Vocabulary) -> DataFrame:
+    """``df`` with ids: pieces looked up in ``words``, others merged here, once a task."""
     ranks, joins = vocabulary.ranks, vocabulary.joins
-    kept = [f for f in df.schema.fields if f.name != "__marked"]
-    schema = T.StructType([*kept, T.StructField("ids", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
-
-        def ids_of(match: re.Match) -> str:
-            code = match[1]
-            found = known.get(code)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = ",".join(map(str, merge(bytes.fromhex(code), ranks, joins)))
-                known[code] = found
-            return found
-
-        for part in slices(batches, 64):
-            ids = [RARE.sub(ids_of, row) for row in part.column("__marked").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(f.name) for f in kept], pa.array(ids, pa.string())],
-                names=schema.names)
-
-    return df.mapInArrow(run, schema)
+
+    def make():
+        cut = regex.compile(pattern)
+
+        class Ids(dict):
+            def __missing__(self, piece: str) -> str:
+                if len(self) >= REMEMBERED + len(words):
+                    self.clear()
+                    self.update(words)
+                found = ",".join(map(str, merge(piece.encode(), ranks, joins)))
+                self[piece] = found
+                return found
+
+        ids = Ids(words)
+        return lambda texts: [(",".join(map(ids.__getitem__, cut.findall(t))),) for t in texts]
+
+    return annotate(df, text, "ids string", make)
