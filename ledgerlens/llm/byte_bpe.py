@@ -37,7 +37,7 @@ from ledgerlens.llm.common import annotate, without
 DICTIONARY = 65_536    # frequent pieces that are folded once, at most
 LONG = 256             # longer pieces are never folded, as a fold takes quadratic time
 SAMPLE_DOCS = 3_000    # documents that pieces are counted in for the dictionary
-REMEMBERED = 300_000   # rare pieces whose ids a task keeps
+REMEMBERED = 100_000   # rare pieces whose ids a task keeps
 FOLD_TASKS = 12        # tasks that fold the dictionary
 PAIR_BUCKETS = 1 << 15
 WORD_BUCKETS = 1 << 14

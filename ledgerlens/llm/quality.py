@@ -38,7 +38,7 @@ BUCKETS = 1 << 16      # hashed n-grams of each order share this many counters
 LABELLED = 20_000      # labelled documents used at most, half to fit and half to set k
 SMOOTHING = 0.5        # added to every target count, scaled to the raw model's shape
 SEED = 17
-CACHE_WORDS = 500_000  # distinct words a task remembers the hash of
+CACHE_WORDS = 100_000  # distinct words a task remembers the hash of
 
 
 class WordHashes(dict):
