@@ -24,7 +24,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 
 import pandas as pd
 import regex
@@ -40,7 +39,6 @@ SAMPLE_DOCS = 3_000    # documents that pieces are counted in for the dictionary
 REMEMBERED = 100_000   # rare pieces whose ids a task keeps
 FOLD_TASKS = 12        # tasks that fold the dictionary
 PAIR_BUCKETS = 1 << 15
-WORD_BUCKETS = 1 << 14
 NONE = 2**31 - 1       # rank of a pair that does not merge
 EDGE = -1              # id that stands at both ends of a piece
 # White space as Unicode has it; the JVM's \s is ASCII only.
@@ -82,26 +80,21 @@ class Vocabulary:
         joined: list[dict[int, int]] = [{} for _ in range(PAIR_BUCKETS)]
         for (a, b), rank in self.joins.items():
             joined[(a * SPREAD + b) % PAIR_BUCKETS][(a << 32) | b] = rank
-        whole: list[dict[str, int]] = [{} for _ in range(WORD_BUCKETS)]
         token_of = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            code = token_of[rank] = token.hex().upper()
-            whole[bucket_of(code)][code] = rank
+            token_of[rank] = token.hex().upper()
         self.joined = literal(joined, "array<map<string,int>>").cast("array<map<bigint,int>>")
-        self.whole = literal(whole, "array<map<string,int>>")
         self.byte_ids = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
         self.token_hex = literal(token_of, "array<string>")
 
-    def bound(self, use) -> Column:
-        """``use(encode)``, where ``encode`` maps a piece to its comma-joined ids.
+    def encode(self, piece: Column) -> Column:
+        """Comma-joined ids of a piece that is no token itself, by the fold.
 
         Each literal stands in the plan once, bound to a variable.
         """
-        return let(self.joined, lambda joined: let(self.whole, lambda whole: let(
-            self.byte_ids, lambda byte_ids: use(lambda piece: let(
-                F.hex(piece.cast("binary")), lambda code: F.coalesce(
-                    whole[word_bucket(code)][code].cast("string"),
-                    F.array_join(fold(code, joined, byte_ids).cast("array<string>"), ",")))))))
+        return let(self.joined, lambda joined: let(self.byte_ids, lambda byte_ids: let(
+            F.hex(piece.cast("binary")), lambda code: F.array_join(
+                fold(code, joined, byte_ids).cast("array<string>"), ","))))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of comma-joined ids."""
@@ -162,14 +155,6 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def word_bucket(text: Column) -> Column:
-    return F.pmod(F.crc32(text.cast("binary")), F.lit(WORD_BUCKETS)).cast("int")
-
-
-def bucket_of(text: str) -> int:
-    return zlib.crc32(text.encode()) % WORD_BUCKETS
-
-
 def merge(piece: bytes, ranks: dict[bytes, int], joins: dict) -> list[int]:
     """Ids of one piece: the same merges, with a heap over a linked list if it is long."""
     if piece in ranks:
@@ -219,14 +204,20 @@ def frequent(df: DataFrame, pieces: Column, limit: int, sample_docs: int) -> lis
 
 
 def folded_ids(df: DataFrame, words: list[str], vocabulary: Vocabulary) -> dict[str, str]:
-    """Ids of distinct words, comma-joined, by the fold; ``words`` is a bounded list."""
-    if not words:
-        return {}
-    # dealt out, as a local table would be folded by the driver while it plans
-    table = df.sparkSession.createDataFrame(pd.DataFrame({"piece": words})).repartition(FOLD_TASKS)
-    folded = table.select("piece", vocabulary.bound(
-        lambda encode: encode(F.col("piece"))).alias("ids"))
-    return {r["piece"]: r["ids"] for r in folded.collect()}
+    """Ids of distinct words, comma-joined; ``words`` is a bounded list.
+
+    A word that is a token is that token; all others are folded.
+    """
+    ranks = vocabulary.ranks
+    known = {w: str(ranks[w.encode()]) for w in words if w.encode() in ranks}
+    others = [w for w in words if w not in known]
+    if others:
+        # dealt out, as a local table would be folded by the driver while it plans
+        table = df.sparkSession.createDataFrame(pd.DataFrame({"piece": others})).repartition(
+            FOLD_TASKS)
+        folded = table.select("piece", vocabulary.encode(F.col("piece")).alias("ids"))
+        known.update((r["piece"], r["ids"]) for r in folded.collect())
+    return known
 
 
 def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
