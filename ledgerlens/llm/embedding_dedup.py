@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import slices
@@ -120,13 +120,16 @@ def leaves(nodes: DataFrame, rows: int, trees: int, leaf: int) -> DataFrame:
         run, "tree long, dim long, leaf long, node long, near binary")
 
 
-def blocks(df: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """``df`` with a ``block`` number that cuts each group into parts of about ``size`` rows."""
+def blocks(df: DataFrame, keys: list[str], size: int, salt: Column) -> DataFrame:
+    """``df`` with a ``block`` number that cuts each group into parts of about ``size`` rows.
+
+    Other values of ``salt`` cut anew, so that members of two parts meet in another tree or round.
+    """
     counted = df.groupBy(*keys).agg(F.ceil(F.count("*") / size).cast("int").alias("__parts"))
     counted = counted.where("__parts > 1")
     parts = F.coalesce("__parts", F.lit(1))
     return df.join(counted, keys, "left").withColumn(
-        "block", F.pmod(F.xxhash64("node"), parts).cast("long")).drop("__parts")
+        "block", F.pmod(F.xxhash64(salt, "node"), parts).cast("long")).drop("__parts")
 
 
 def compare(df: DataFrame, keys: list[str], offered: int) -> DataFrame:
@@ -167,7 +170,7 @@ def shorten(entries: DataFrame, room: DataFrame | None) -> DataFrame:
         "place <= room")
 
 
-def refine(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def refine(lists: DataFrame, nodes: DataFrame, threshold: float, turn: int) -> DataFrame:
     """One round: compares the neighbours around each vector and merges what is nearer."""
     last = lists.groupBy("u").agg(F.min("sim").alias("last"), F.count("*").alias("n"),
                                   F.max("room").alias("old"))
@@ -183,7 +186,7 @@ def refine(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     known = nodes.select("node", "near").join(
         state.select(F.col("u").alias("node"), "least"), "node", "left").withColumn(
         "least", F.coalesce("least", F.lit(-2.0)).cast("float"))
-    met = blocks(around, ["w"], AROUND).join(known, "node")
+    met = blocks(around, ["w"], AROUND, F.lit(turn)).join(known, "node")
     offers = compare(met, ["w", "block"], OFFERED)
     entries = lists.select("u", "v", "sim").unionByName(offers)
     return cut_lineage(shorten(entries, state.select("u", "room")))
@@ -273,12 +276,13 @@ def neighbour_lists(nodes: DataFrame, threshold: float = THRESHOLD,
                     rounds: int = ROUNDS) -> tuple[DataFrame, float]:
     """Lists (u, v, sim, place, room) after as many rounds as recall asks for, and recall."""
     rows = nodes.count()
-    first = blocks(leaves(nodes, rows, TREES, LEAF), ["tree", "dim", "leaf"], BLOCK).withColumn(
+    first = blocks(leaves(nodes, rows, TREES, LEAF), ["tree", "dim", "leaf"], BLOCK,
+                   F.col("tree")).withColumn(
         "least", F.lit(-2.0).cast("float"))
     lists = cut_lineage(shorten(compare(first, ["tree", "dim", "leaf", "block"], LIST), None))
     recall = 0.0
-    for _ in range(rounds):
-        lists = refine(lists, nodes, threshold)
+    for turn in range(rounds):
+        lists = refine(lists, nodes, threshold, turn)
         recall = audit(nodes, lists, threshold, AUDITED)
         if recall >= RECALL:
             break

@@ -65,6 +65,20 @@ def test_large_group_of_near_copies(spark):
     assert all(got[2000 + i]["n_links"] == 0 for i in range(400))
 
 
+def test_groups_of_near_copies_without_outsiders(spark):
+    rng = np.random.default_rng(11)
+    rows, sizes = [], (600, 800, 1000)
+    for c, size in enumerate(sizes):
+        centre = rng.standard_normal(24)
+        rows += [(10000 * c + i, (centre + rng.standard_normal(24) * 0.002).tolist(), "x")
+                 for i in range(size)]
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == sum(sizes)
+    for r in got:
+        c = r["vec_id"] // 10000
+        assert (r["n_links"], r["component_id"]) == (sizes[c] - 1, 10000 * c)
+
+
 def test_recall_of_the_given_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     nodes = unit_vectors(df, "vec_id", "embedding")
