@@ -4,8 +4,13 @@ Every distinct vector keeps a list of its nearest others. Lists start from rando
 hyperplane trees (vectors of one leaf are compared in blocks of bounded size) and are
 refined by rounds of neighbours-of-neighbours joins: around every vector, those that list
 it or are listed by it are compared with each other. A list that is saturated (its last
-entry still links) doubles its room for the next round. After each round, recall is audited
-against brute force for a bounded sample of vectors, and rounds end when it is reached.
+entry still links) doubles its room for the next round, up to ``ROOM``. After each round,
+recall is audited against brute force, and further rounds, each with ``TREES`` fresh trees,
+follow until it is reached. The audit draws vectors until ``AUDITED`` with few links are found
+or all (at most ``DRAWN``) are drawn. Every audited vector weighs the same, vectors with few
+and with many links are averaged apart, and the lower figure counts. If it is not reached in
+``ROUNDS`` rounds, an error tells it; if no drawn vector of a larger table has a link, recall
+is not known: all rounds are run and a warning says so.
 
 Links are then taken exactly: within every set joined by list entries all vectors are
 compared in double precision, cell by cell, so a group of any size gets all its links, no
@@ -19,6 +24,7 @@ count, but never name a component. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +39,17 @@ from ledgerlens.session import cut_lineage
 THRESHOLD = 0.95
 MARGIN = 1e-5          # lists compare in single precision
 LIST = 10              # room of a list at the start
-TREES = 4
+TREES = 4              # at the start, and more in each further round
 LEAF = 256             # vectors of a leaf, about
 BLOCK = 512            # vectors that are compared together, about
 AROUND = 64            # neighbours around a vector that are compared together, about
 OFFERED = 6            # new entries that one comparison offers to a vector at most
-ROUNDS = 4             # at most
-AUDITED = 256          # vectors that recall is audited on
-RECALL = 0.98          # of links of audited vectors, at which rounds end
+ROOM = 160             # of a list at most; lists only have to connect
+ROUNDS = 16            # at most
+AUDITED = 256          # vectors with few links that recall is audited on
+MANY = 32              # vectors with more links that recall is audited on, apart
+DRAWN = 16384          # vectors that are drawn for the audit at most
+RECALL = 0.98          # mean over audited vectors at which rounds end
 CELL = 1024            # vectors of a cell in the exact comparison, about
 
 
@@ -97,8 +106,11 @@ def unit_vectors(df: DataFrame, id_column: str, vector: str) -> DataFrame:
     return cut_lineage(made.withColumn("node", F.monotonically_increasing_id()))
 
 
-def leaves(nodes: DataFrame, rows: int, trees: int, leaf: int) -> DataFrame:
-    """(tree, dim, leaf, node, near): the side of every hyperplane of a tree names the leaf."""
+def leaves(nodes: DataFrame, rows: int, trees: int, leaf: int, first: int = 0) -> DataFrame:
+    """(tree, dim, leaf, node, near): the side of every hyperplane of a tree names the leaf.
+
+    Trees are numbered from ``first``; other numbers have other hyperplanes.
+    """
     bits = max(0, int(np.ceil(np.log2(max(1, rows / leaf)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +119,11 @@ def leaves(nodes: DataFrame, rows: int, trees: int, leaf: int) -> DataFrame:
             found = []
             for dim, node, near in zip(*(part.column(i).to_pylist() for i in range(3))):
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(dim).standard_normal((trees, bits, dim))
+                    planes[dim] = np.random.default_rng([dim, first]).standard_normal(
+                        (trees, bits, dim))
                 side = planes[dim] @ np.frombuffer(near, "f4") > 0
                 names = side @ (1 << np.arange(bits, dtype=np.int64)) if bits else [0] * trees
-                found += [(t, dim, int(n), node, near) for t, n in enumerate(names)]
+                found += [(first + t, dim, int(n), node, near) for t, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(
                     zip(*found), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
@@ -177,7 +190,7 @@ def refine(lists: DataFrame, nodes: DataFrame, threshold: float, turn: int) -> D
     full = F.col("n") >= F.col("old")
     saturated = full & (F.col("last") >= threshold)
     state = cut_lineage(last.select(
-        "u", F.when(saturated, F.col("old") * 2).otherwise(F.col("old")).alias("room"),
+        "u", F.when(saturated, F.least(F.col("old") * 2, F.lit(ROOM))).otherwise(F.col("old")).alias("room"),
         F.when(full & ~saturated, F.col("last")).otherwise(F.lit(-2.0)).cast("float")
         .alias("least")))
     around = (lists.select(F.col("u").alias("w"), F.col("v").alias("node"))
@@ -192,10 +205,8 @@ def refine(lists: DataFrame, nodes: DataFrame, threshold: float, turn: int) -> D
     return cut_lineage(shorten(entries, state.select("u", "room")))
 
 
-def audit(nodes: DataFrame, lists: DataFrame, threshold: float, sample: int) -> float:
-    """Share of the audited vectors' links that the lists, followed twice, hold."""
-    asked = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select(
-        "node", "dim", "unit").collect()
+def asked_links(nodes: DataFrame, asked: list, threshold: float, count: bool) -> DataFrame:
+    """Links of ``asked`` by brute force: (q, x) each, or (q, n) counts if ``count``."""
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {r["dim"] for r in asked}:
         mine = [r for r in asked if r["dim"] == dim]
@@ -203,28 +214,71 @@ def audit(nodes: DataFrame, lists: DataFrame, threshold: float, sample: int) ->
                        np.array([np.frombuffer(r["unit"]) for r in mine]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1 << 12):
+        for part in slices(batches, 1 << 11):
             dims = part.column(0).to_numpy()
             for dim, (queries, vectors) in by_dim.items():
                 own = part.filter(pa.array(dims == dim))
-                if own.num_rows:
-                    found = matrix(pa.chunked_array([own.column(2)]), "f8") @ vectors.T
-                    row, q = np.nonzero(found >= threshold)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(queries[q]), pa.array(own.column(1).to_numpy()[row])],
-                        names=["q", "x"])
-
-    true = cut_lineage(nodes.select("dim", "node", "unit").mapInArrow(run, "q long, x long")
-                       .where("q != x"))
-    if not true.limit(1).count():
-        return 1.0
+                if not own.num_rows:
+                    continue
+                node = own.column(1).to_numpy()
+                unit = matrix(pa.chunked_array([own.column(2)]), "f8")
+                for at in range(0, len(queries), 1 << 10):
+                    some = queries[at:at + (1 << 10)]
+                    found = unit @ vectors[at:at + (1 << 10)].T >= threshold
+                    found &= node[:, None] != some
+                    if count:
+                        n = found.sum(axis=0)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(some[n > 0]), pa.array(n[n > 0])], names=["q", "x"])
+                    else:
+                        row, q = np.nonzero(found)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(some[q]), pa.array(node[row])], names=["q", "x"])
+
+    made = nodes.select("dim", "node", "unit").mapInArrow(run, "q long, x long")
+    return made.groupBy("q").agg(F.sum("x").alias("n")) if count else made
+
+
+def audited(nodes: DataFrame, threshold: float, drawn: int = DRAWN) -> tuple[DataFrame | None, bool]:
+    """(q, x, many): all links of the audited vectors; None if no drawn vector has one.
+
+    Vectors are drawn until ``AUDITED`` with at most ``LIST`` links are found. The second
+    result tells whether every vector was drawn.
+    """
+    few, many, seen, take, whole = [], [], 0, 2 * AUDITED, False
+    order = nodes.select("node", "dim", "unit").orderBy(F.xxhash64("node"), "node")
+    while len(few) < AUDITED and seen < drawn and not whole:
+        # one more than is taken tells whether anything is left
+        size = min(take, drawn)
+        asked = order.limit(size + 1).collect()
+        whole, asked = len(asked) <= size, asked[seen:size]
+        seen, take = size, take * 4
+        if asked:
+            n = {r["q"]: r["n"] for r in asked_links(nodes, asked, threshold, True).collect()}
+            few += [r for r in asked if 0 < n.get(r["node"], 0) <= LIST]
+            many += [r for r in asked if n.get(r["node"], 0) > LIST]
+        many = many[:MANY]
+    chosen = few[:AUDITED] + many
+    if not chosen:
+        return None, whole
+    large = [r["node"] for r in many]
+    return cut_lineage(asked_links(nodes, chosen, threshold, False).withColumn(
+        "many", F.col("q").isin(large))), whole
+
+
+def recall_of(links: DataFrame, lists: DataFrame, threshold: float) -> float:
+    """Mean share of an audited vector's links that the sets of the lists hold.
+
+    Vectors with few and with many links are averaged apart, and the lower mean counts.
+    """
     # both ends in one set of the list links means that the exact comparison will meet them
     sets = components(linked(lists, threshold))
     a = sets.select(F.col("node").alias("q"), F.col("component").alias("cq"))
     b = sets.select(F.col("node").alias("x"), F.col("component").alias("cx"))
-    row = true.join(a, "q", "left").join(b, "x", "left").agg(
-        F.avg(F.coalesce(F.col("cq") == F.col("cx"), F.lit(False)).cast("int")).alias("r")).first()
-    return row["r"]
+    held = F.coalesce(F.col("cq") == F.col("cx"), F.lit(False)).cast("int")
+    own = links.join(a, "q", "left").join(b, "x", "left").groupBy("q", "many").agg(
+        F.avg(held).alias("r"))
+    return min(r["r"] for r in own.groupBy("many").agg(F.avg("r").alias("r")).collect())
 
 
 def linked(lists: DataFrame, threshold: float) -> DataFrame:
@@ -272,19 +326,33 @@ def exact_links(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFram
         run, "node long, n long, star long")
 
 
+def planted(nodes: DataFrame, rows: int, first: int, room: int) -> DataFrame:
+    """(u, v, sim): what vectors find in the leaves of ``TREES`` fresh trees."""
+    dealt = blocks(leaves(nodes, rows, TREES, LEAF, first), ["tree", "dim", "leaf"], BLOCK,
+                   F.col("tree")).withColumn("least", F.lit(-2.0).cast("float"))
+    return compare(dealt, ["tree", "dim", "leaf", "block"], room)
+
+
 def neighbour_lists(nodes: DataFrame, threshold: float = THRESHOLD,
-                    rounds: int = ROUNDS) -> tuple[DataFrame, float]:
-    """Lists (u, v, sim, place, room) after as many rounds as recall asks for, and recall."""
+                    rounds: int = ROUNDS) -> tuple[DataFrame, float | None]:
+    """Lists (u, v, sim, place, room) after as many rounds as recall asks for, and recall.
+
+    Recall is None if it is not known.
+    """
     rows = nodes.count()
-    first = blocks(leaves(nodes, rows, TREES, LEAF), ["tree", "dim", "leaf"], BLOCK,
-                   F.col("tree")).withColumn(
-        "least", F.lit(-2.0).cast("float"))
-    lists = cut_lineage(shorten(compare(first, ["tree", "dim", "leaf", "block"], LIST), None))
-    recall = 0.0
+    lists = cut_lineage(shorten(planted(nodes, rows, 0, LIST), None))
+    links, whole = audited(nodes, threshold)
+    recall = 1.0 if links is None and whole else None
     for turn in range(rounds):
+        if turn:
+            room = lists.groupBy("u").agg(F.max("room").alias("room"))
+            grown = lists.select("u", "v", "sim").unionByName(
+                planted(nodes, rows, turn * TREES, LIST))
+            lists = cut_lineage(shorten(grown, room))
         lists = refine(lists, nodes, threshold, turn)
-        recall = audit(nodes, lists, threshold, AUDITED)
-        if recall >= RECALL:
+        if links is not None:
+            recall = recall_of(links, lists, threshold)
+        if recall is not None and recall >= RECALL:
             break
     return lists, recall
 
@@ -293,7 +361,12 @@ def near_vectors(df: DataFrame, id_column: str = "vec_id", vector: str = "embedd
                  threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     nodes = unit_vectors(df.select(id_column, vector), id_column, vector)
-    lists, _ = neighbour_lists(nodes, threshold, rounds)
+    lists, recall = neighbour_lists(nodes, threshold, rounds)
+    if recall is None:
+        warnings.warn("recall of near vectors is not known: no drawn vector has a link")
+    elif recall < RECALL:
+        raise RuntimeError(f"recall of near vectors is {recall:.4f} after {rounds} rounds, "
+                           f"below {RECALL}")
     links = cut_lineage(exact_links(nodes, components(linked(lists, threshold)), threshold))
     joined = components(links.where("node != star").select(
         F.col("node").alias("a"), F.col("star").alias("b")))

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.embedding_dedup import near_vectors, neighbour_lists, unit_vectors
+from ledgerlens.llm import embedding_dedup
+from ledgerlens.llm.embedding_dedup import (audited, near_vectors, neighbour_lists, recall_of,
+                                            unit_vectors)
 
 SCHEMA = "vec_id long, embedding array<float>, n_links string"
 
@@ -79,6 +81,49 @@ def test_groups_of_near_copies_without_outsiders(spark):
         assert (r["n_links"], r["component_id"]) == (sizes[c] - 1, 10000 * c)
 
 
+def pairs_and_a_group(pairs, group, seed=13):
+    rng = np.random.default_rng(seed)
+    centre = rng.standard_normal(24)
+    rows = [(i, (centre + rng.standard_normal(24) * 0.02).tolist(), "x") for i in range(group)]
+    for i in range(pairs):
+        v = rng.standard_normal(24)
+        rows += [(10000 + 2 * i + k, (v + rng.standard_normal(24) * 0.01 * k).tolist(), "x")
+                 for k in range(2)]
+    return rows
+
+
+def test_audit_sees_lost_pairs_beside_a_large_group(spark):
+    df = spark.createDataFrame(pairs_and_a_group(60, 300), SCHEMA)
+    nodes = unit_vectors(df, "vec_id", "embedding")
+    links, whole = audited(nodes, 0.95)
+    assert whole and links.where("not many").count() == 120
+    group = [r["node"] for r in nodes.where("least_id < 10000").collect()]
+    spine = [(v, group[0], 1.0) for v in group[1:]]
+    lists = spark.createDataFrame(spine, "u long, v long, sim float")
+    assert recall_of(links.where("many"), lists, 0.95) == 1.0
+    assert recall_of(links, lists, 0.95) == 0.0
+    none, whole = audited(nodes.where("least_id in (0, 10000)"), 0.95)
+    assert none is None and whole
+    none, whole = audited(nodes.where("least_id in (0, 10000)"), 0.95, drawn=1)
+    assert none is None and not whole
+
+
+def test_trees_grow_until_recall_is_reached(spark, monkeypatch):
+    df = spark.createDataFrame(pairs_and_a_group(20, 0), SCHEMA)
+    nodes = unit_vectors(df, "vec_id", "embedding")
+    made = []
+    plant = embedding_dedup.planted
+    monkeypatch.setattr(embedding_dedup, "planted",
+                        lambda n, rows, first, room: made.append(first) or plant(
+                            n, rows, first, room))
+    monkeypatch.setattr(embedding_dedup, "recall_of",
+                        lambda *a: 1.0 if len(made) == 3 else 0.5)
+    _, recall = neighbour_lists(nodes)
+    assert recall == 1.0 and made == [0, 4, 8]
+    with pytest.raises(RuntimeError, match="0.5000 after 1 rounds"):
+        near_vectors(df, rounds=1)
+
+
 def test_recall_of_the_given_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     nodes = unit_vectors(df, "vec_id", "embedding")
