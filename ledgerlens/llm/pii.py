@@ -22,7 +22,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
-from ledgerlens.llm.common import annotate, sha256_hex, words_of
+from ledgerlens.llm.common import annotate, sha256_hex
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, written so that a failed try is not repeated inside the same run of
@@ -53,8 +53,6 @@ DIGITS = {
 }
 AT_WORDS = "at|arroba|arobase"
 DOT_WORDS = "dot|punkt|punto|point"
-HINTS = (b"dot", b"punkt", b"punto", b"point", b"(at)", b"[at]", b"{at}", b"<at>", b"arroba",
-         b"arobase", b"( at", b"[ at", b"(@", b"[@", b"[.", b"(.")
 
 GAP = r"[^\S\n]{1,3}"
 AT_BRACKET = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:{AT_WORDS}|@)\s{{0,3}}[\])}}>]\s{{0,3}}",
@@ -73,6 +71,14 @@ SPELLED = re.compile(
     rf"|\.)(?:{NUMBER}|[0-9])){{5,}}\b", re.IGNORECASE)
 SPELLED_PART = re.compile(rf"({NUMBER}|[0-9])|(plus)|({DOT_WORDS}|\.)|[\s,-]+", re.IGNORECASE)
 
+# What a text must hold for one of the patterns above to change it
+BRACKETED = re.compile(rf"[\[({{<]\s{{0,3}}(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s{{0,3}}[\])}}>]",
+                       re.IGNORECASE)
+AT_WORD = re.compile(rf"\s(?:{AT_WORDS})\s", re.IGNORECASE)
+DOT_WORD = re.compile(rf"\s(?:{DOT_WORDS})\s", re.IGNORECASE)
+TOKEN = re.compile(r"\w+")
+SPOKEN = frozenset(DIGITS) | frozenset("0123456789")
+
 ADDED = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
          "spans string, found array<struct<kind:string,start:long,end:long>>")
 
@@ -177,17 +183,16 @@ def fold_digits(tape: Tape) -> Tape:
 
 
 def may_hide(text: str) -> bool:
-    """Whether any transducer could change the text in a way that matters."""
-    try:
-        raw = text.encode("latin-1")
-        if b"\xad" in raw:
-            return True
-    except UnicodeEncodeError:
+    """Whether any transducer may change the text; never false where one does."""
+    if not text.isascii() and any(c > "\x7f" and (folded(c) != c or c == "\u0130")
+                                  for c in set(text)):      # U+0130 counts as an i in patterns
         return True
-    low = raw.lower()
-    if any(h in low for h in HINTS):
+    if BRACKETED.search(text):
         return True
-    return sum(w.decode() in DIGITS for w in words_of(text)) >= 6
+    if AT_WORD.search(text) or "@" in text and DOT_WORD.search(text):
+        if any(WORDED_PART.search(m.group()) for m in WORDED.finditer(text)):
+            return True
+    return sum(map(SPOKEN.__contains__, TOKEN.findall(text.lower()))) >= 6
 
 
 def hidden(text: str) -> list[tuple[int, int, int]]:
