@@ -5,8 +5,8 @@ transducers, each of which rewrites characters and keeps for every output charac
 source interval it comes from: look-alike letters and full-width or mathematical forms
 become ASCII and invisible characters vanish; bracketed or worded "at" and "dot" become @
 and a point; spelled digits become digits. The same detectors run on the result, and what
-they find is mapped back to source characters. Found spans that touch a base span of their
-kind add nothing.
+they find is mapped back to source characters. Found spans that a base span of their
+kind equals or contains add nothing; one that reaches beyond it stands beside it.
 
 Null text counts as empty and has no spans; repeated rows are scanned each for itself; an
 empty table gives an empty table; input columns named like an added one are replaced. All
@@ -213,9 +213,10 @@ def scan(text: str) -> tuple:
         at = [0] * 4
         for k, s, e in sorted(hidden(text)):
             own = taken[k]
-            while at[k] < len(own) and own[at[k]][1] <= s:
+            while at[k] < len(own) and own[at[k]][0] <= s:
                 at[k] += 1
-            if at[k] == len(own) or own[at[k]][0] >= e:
+            # base spans of a kind are apart: only the last to begin before can hold this one
+            if not at[k] or own[at[k] - 1][1] < e:
                 spans.append((k, s, e))
         spans.sort()
     counts = [sum(k == kind for k, _, _ in base) for kind in range(4)]

@@ -90,6 +90,16 @@ def test_the_gate_lets_through_whatever_a_transducer_changes():
     assert changed > 1000
 
 
+def test_hidden_spans_that_reach_beyond_a_base_span_stay():
+    for text, spans in (
+            ("j\u043ehn@example.com", "email:0:16,email:2:16"),
+            ("john@example.c\u043em", "email:0:14,email:0:16"),
+            ("jo\u200bhn@example.com", "email:0:17,email:3:17"),
+            ("j\u043ehn@example.com a@b.cd x@y.z\u043e", "email:0:16,email:2:16,email:17:23,email:24:29,"
+             "email:24:30")):
+        assert scan(text)[5] == spans, (text, scan(text)[5])
+
+
 def test_plain_prose_gains_nothing_and_base_stays():
     assert scan("we met at the house of one or two old friends at noon")[5] == ""
     row = scan("plain a@b.cd and b [at] c [dot] de")
