@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import annotate, slices
 
-HIDDEN = 12
+HIDDEN = 16
 SEGMENT = 24             # bytes of a segment at most
 TRAIN_DOCS = 300         # expected documents of each language that are learned from
 TRAIN_SEGMENTS = 40      # segments of each of them

@@ -38,6 +38,10 @@ def test_gradients_against_differences():
             assert abs((losses[0] - losses[1]) / 2e-5 - grads[name][at]) < 1e-6, (name, at)
 
 
+def test_width_of_the_network():
+    assert Network(["a", "b"]).weights["re_f"].shape == (16, 48)
+
+
 def test_words_do_not_depend_on_their_batch():
     network = Network(["a", "b"])
     words = [b"one", b"three", b"x", b"seventeen-long"]
