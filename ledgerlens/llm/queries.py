@@ -15,6 +15,7 @@ from ledgerlens.llm.decontaminate import find_benchmark
 from ledgerlens.llm.embedding_dedup import near_vectors
 from ledgerlens.llm.language import held_out, predict_language, train_language_model
 from ledgerlens.llm.licenses import scan_licenses
+from ledgerlens.llm.line_dedup import apply_bitmaps, line_bitmaps
 from ledgerlens.llm.pii import scan_pii
 from ledgerlens.llm.quality import score_quality
 from ledgerlens.llm.secrets import corpus_samples, scan_secrets, train
@@ -146,3 +147,25 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     found = predict_language(docs.select("doc_id", "text"), train_language_model(docs))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return apply_bitmaps(docs, line_bitmaps(docs)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+TWINS["op11_line_dedup"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+        string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+    l AS (SELECT r, doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS line FROM d),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    twice AS (SELECT key, min(doc_id) AS least FROM k WHERE length(key) >= 10
+        GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+    told AS (SELECT r, doc_id, i, line, coalesce(doc_id <> least, FALSE) AS gone
+        FROM k LEFT JOIN twice USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY r"""
