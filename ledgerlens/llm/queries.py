@@ -21,6 +21,7 @@ from ledgerlens.llm.quality import score_quality
 from ledgerlens.llm.secrets import corpus_samples, scan_secrets, train
 from ledgerlens.llm.simhash import near_duplicates
 from ledgerlens.llm.token_counts import count_tokens
+from ledgerlens.llm.vector_codes import compress_vectors
 from ledgerlens.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +170,48 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id,
 SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
     sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM told GROUP BY r"""
+
+
+@query
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return compress_vectors(table(spark, folder, "embeddings").select(
+        "vec_id", "embedding", "label")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _codes_twin(rounds: int = 6) -> str:
+    """The rounds one after the other, each a CTE for the nearest entries and one for the means."""
+    apart = "list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.s, b.c)])"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT p.r, p.j, any_value(p.s) AS s, "
+                     f"min(struct_pack(d := {apart}, k := b.k)) AS t "
+                     f"FROM p JOIN b{i} b ON b.j = p.j GROUP BY p.r, p.j)")
+        if i < rounds:
+            steps.append(
+                f"m{i} AS (SELECT j, k, list(CAST((n - ((n % q) + q) % q) // q AS BIGINT) "
+                f"ORDER BY i) AS c FROM (SELECT j, t.k AS k, i, sum(x) AS n, count(*) AS q FROM "
+                f"(SELECT j, t, unnest(s) AS x, unnest(range(len(s))) AS i FROM a{i}) "
+                f"GROUP BY ALL) GROUP BY j, k)")
+            steps.append(f"b{i + 1} AS MATERIALIZED (SELECT b.j, b.k, coalesce(m.c, b.c) AS c "
+                         f"FROM b{i} b LEFT JOIN m{i} m ON m.j = b.j AND m.k = b.k)")
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label,
+        [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+        FROM embeddings WHERE embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+    p AS MATERIALIZED (SELECT r, j, e[j * (len(e) // 8) + 1:(j + 1) * (len(e) // 8)] AS s
+        FROM v, (SELECT unnest(range(8)) AS j)),
+    b0 AS MATERIALIZED (SELECT j, r AS k, s AS c FROM p WHERE r < 16),
+    {", ".join(steps)},
+    coded AS (SELECT r, string_agg(printf('%02x', t.k), '' ORDER BY j) AS code,
+        CAST(sum(t.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+    whole AS (SELECT vec_id, label, code, error FROM v JOIN coded USING (r)),
+    labels AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM whole GROUP BY label)
+SELECT vec_id, code, error, label_error,
+    (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY j, k)) FROM b{rounds})
+        AS codebooks_sha256
+FROM whole JOIN labels ON whole.label IS NOT DISTINCT FROM labels.label"""
+
+
+TWINS["op12_vector_codes"] = _codes_twin()
