@@ -20,6 +20,7 @@ from ledgerlens.llm.pii import scan_pii
 from ledgerlens.llm.quality import score_quality
 from ledgerlens.llm.secrets import corpus_samples, scan_secrets, train
 from ledgerlens.llm.simhash import near_duplicates
+from ledgerlens.llm.token_alignment import align_tokens
 from ledgerlens.llm.token_counts import count_tokens
 from ledgerlens.llm.vector_codes import compress_vectors
 from ledgerlens.session import scratch_path
@@ -215,3 +216,13 @@ FROM whole JOIN labels ON whole.label IS NOT DISTINCT FROM labels.label"""
 
 
 TWINS["op12_vector_codes"] = _codes_twin()
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as file:
+        vocabulary = file.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    return align_tokens(docs, vocabulary, model)
