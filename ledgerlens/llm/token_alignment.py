@@ -40,7 +40,11 @@ from ledgerlens.llm.token_counts import load
 from ledgerlens.session import scratch_path
 
 HOT = 1 << 19                # pairs that go to the tasks as arrays: 8 MB
-TOGETHER = 1_000_000         # characters that are encoded together
+TOGETHER = 2_000_000         # characters whose distinct words are encoded together
+AT_ONCE = 2_000              # words that the libraries hold at a time
+# Characters that may belong to a run of white space, under any reading of it.
+BLANK = frozenset(chr(c) for c in range(0x10000) if chr(c).isspace()) | set(
+    "\u180e\u200b\u2060\ufeff\u2581")
 FACTS = ("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string")
 ADDED = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
 
@@ -85,6 +89,8 @@ class Pair:
         self.a, (self.b, single) = bytes_a(vocabulary), bytes_b(model)
         named = {x: i for i, x in enumerate(self.b) if x and single[i]}
         named.update({x: i for i, x in enumerate(self.b) if x and not single[i]})
+        # no piece goes on with a blank after something else, so words can be encoded apart
+        self.by_word = not any(b" " in x.lstrip(b" ") for x in self.b)
         self.identity = np.array([named.get(x, -1) for x in self.a], np.int64)
 
     @property
@@ -103,8 +109,24 @@ def digit_rows(size: int) -> np.ndarray:
     return text.view(np.uint8).reshape(size, text.dtype.itemsize)
 
 
+def gather(starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``values`` of the ranges that begin at ``starts``, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
+
+
+def segment_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.diff(np.append(0, np.cumsum(values))[np.append(0, np.cumsum(sizes))])
+
+
 class Aligner:
-    """The work of a task: encode, cut into groups, find links, for some texts together."""
+    """The work of a task: encode, cut into groups, find links, for some texts together.
+
+    Neither side has tokens across the place between a visible character and the blank
+    after it, so a text is encoded word by word, and each distinct word of the texts at
+    hand once. Texts in which a word is empty or ends with white space (which tokens may
+    join to a following blank) are one word as a whole.
+    """
 
     def __init__(self, pair: Pair):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"    # one core a task
@@ -114,62 +136,92 @@ class Aligner:
         self.size_a = np.array([len(x) for x in pair.a])
         self.size_b = np.array([len(x) for x in pair.b])
         self.digits = digit_rows(max(len(pair.a), len(pair.b)))
-        self.n_digits = (self.digits != 0).sum(axis=1)
 
-    def encode(self, texts: list[str]) -> tuple[list, list]:
-        """Ids of both sides; none where the bytes are not those of the text."""
-        spaced = [" " + t for t in texts]
-        left = [x.ids for x in self.left.encode_batch_fast(spaced, add_special_tokens=False)]
-        right = self.right.encode(texts, num_threads=1) if texts else []
+    def encode(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """Ids of both sides in a row, and how many each word has of them, a few words at a time.
+
+        Words whose bytes are not given back have none, and a false flag.
+        """
+        ids: tuple[list, list] = [], []
+        sizes: tuple[list, list] = [], []
+        fine = np.ones(len(words), bool)
         of_a, of_b = self.pair.a.__getitem__, self.pair.b.__getitem__
-        for i, text in enumerate(spaced):
-            raw = text.encode()
-            if not texts[i] or b"".join(map(of_a, left[i])) != raw \
-                    or b"".join(map(of_b, right[i])) != raw:
-                left[i], right[i] = [], []
-        return left, right
+        for at in range(0, len(words), AT_ONCE):
+            part = words[at:at + AT_ONCE]
+            spaced = [" " + t for t in part]
+            left = [x.ids for x in self.left.encode_batch_fast(spaced, add_special_tokens=False)]
+            right = self.right.encode(part, num_threads=1)
+            for i, word in enumerate(spaced):
+                raw = word.encode()
+                if b"".join(map(of_a, left[i])) != raw or b"".join(map(of_b, right[i])) != raw:
+                    left[i], right[i], fine[at + i] = [], [], False
+            for side, found in enumerate((left, right)):
+                ids[side].append(np.fromiter((i for x in found for i in x), np.int64))
+                sizes[side].append(np.fromiter(map(len, found), np.int64, len(found)))
+        none = [np.zeros(0, np.int64)]
+        return ([np.concatenate(x or none) for x in ids],
+                [np.concatenate(x or none) for x in sizes], fine)
+
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words, the word numbers of all texts in a row, and how many each has."""
+        number: dict[str, int] = {}
+        at, sizes = [], []
+        for text in texts:
+            cut = text.split(" ") if self.pair.by_word else [text]
+            if "" in cut or any(w[-1] in BLANK for w in cut):
+                cut = [text] if text else []
+            at.extend([number.setdefault(w, len(number)) for w in cut])
+            sizes.append(len(cut))
+        return list(number), np.array(at, np.int64), np.array(sizes, np.int64)
 
     def align(self, texts: list[str]) -> list[pa.Array]:
         """Columns of FACTS, then identity links (A ids) and other links (pair keys)."""
-        left, right = self.encode(texts)
-        n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (left, right))
-        a, b = (np.fromiter((i for x in side for i in x), np.int64) for side in (left, right))
+        words, at, sizes = self.words(texts)
+        (a, b), (n_a, n_b), fine = self.encode(words)
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         mark = np.zeros((end_a[-1] if len(end_a) else 0) + 1, np.uint8)
         mark[end_a] = 1
         mark[end_b] |= 2
-        at = np.flatnonzero(mark)           # one link ends at each of these
-        ends = mark[at]
+        places = np.flatnonzero(mark)           # one link ends at each of these
+        ends = mark[places]
         is_a, is_b, both = ends & 1, ends >> 1, ends == 3
         token_a = np.cumsum(is_a, dtype=np.int64) - is_a
         token_b = np.cumsum(is_b, dtype=np.int64) - is_b
         group = np.cumsum(both) - both
-
         link_a, link_b = a[token_a], b[token_b]
         alone = both & np.append(True, both[:-1])[:len(both)]
         regular = alone & (self.pair.identity[link_a] == link_b)
-        # places of the texts among the links: a text ends where both sides end
-        last = np.append(0, end_a)[np.cumsum(n_a)]
-        stop = np.searchsorted(at, last, "right")
-        stop[np.cumsum(n_a) == 0] = 0
-        offsets = np.append(0, stop)
+        keys = link_a * self.pair.width + link_b
+        # a word ends where both sides end
+        stops = np.append(0, np.searchsorted(places, np.append(0, end_a)[np.cumsum(n_a)], "right"))
+
+        def per_word(flags: np.ndarray) -> np.ndarray:
+            return np.append(0, np.cumsum(flags))[stops]
+
+        shown = self.group_texts(a, b, group[is_a == 1], group[is_b == 1], both[is_a == 1],
+                                 both[is_b == 1], n_a + n_b)
+        # texts with a word that does not come back have no tokens
+        bad = segment_sums(~fine[at], sizes) > 0
+        at, sizes = at[np.repeat(~bad, sizes)], np.where(bad, 0, sizes)
+        first = np.append(0, np.cumsum(sizes))
 
-        def per_text(flags: np.ndarray) -> np.ndarray:
-            return np.append(0, np.cumsum(flags))[offsets]
+        def of_texts(flags: np.ndarray) -> pa.Array:
+            return pa.array(segment_sums(np.diff(per_word(flags))[at], sizes))
 
         def lists(values: np.ndarray, flags: np.ndarray, kind: pa.DataType) -> pa.Array:
-            return pa.ListArray.from_arrays(
-                pa.array(per_text(flags), pa.int32()), pa.array(values[flags], kind))
-
-        digests = self.group_digests(a, b, group[is_a == 1], group[is_b == 1], both[is_a == 1],
-                                     both[is_b == 1], n_a + n_b)
-        return [pa.array(n_a), pa.array(n_b), pa.array(np.diff(per_text(both))),
-                pa.array(np.diff(offsets)), pa.array(digests, pa.string()),
-                lists(link_a, regular, pa.int32()),
-                lists(link_a * self.pair.width + link_b, ~regular, pa.int64())]
-
-    def group_digests(self, a, b, group_a, group_b, last_a, last_b, sizes) -> list[str]:
-        """SHA-256 of ``a1,a2|b1;a3|b2,b3``: ids in decimal, group by group."""
+            starts, length = per_word(flags)[:-1], np.diff(per_word(flags))
+            offsets = np.append(0, np.cumsum(segment_sums(length[at], sizes)))
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(
+                gather(starts[at], length[at], values[flags]), kind))
+
+        digests = [hashlib.sha256(b";".join([shown[w] for w in at[i:j].tolist()])).hexdigest()
+                   if j > i else "" for i, j in zip(first, first[1:])]
+        return [pa.array(segment_sums(n_a[at], sizes)), pa.array(segment_sums(n_b[at], sizes)),
+                of_texts(both), of_texts(np.ones(len(both), bool)), pa.array(digests, pa.string()),
+                lists(link_a, regular, pa.int32()), lists(keys, ~regular, pa.int64())]
+
+    def group_texts(self, a, b, group_a, group_b, last_a, last_b, sizes) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3`` of every word: ids in decimal, group by group."""
         place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")
         place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
         width = self.digits.shape[1]
@@ -180,8 +232,7 @@ class Aligner:
         text = cells[cells != 0].tobytes()
         length = np.append(0, np.cumsum((cells != 0).sum(axis=1)))
         stops = length[np.append(0, np.cumsum(sizes))]
-        return [hashlib.sha256(text[i:j - 1]).hexdigest() if j > i else ""
-                for i, j in zip(stops, stops[1:])]
+        return [text[i:j - 1] if j > i else b"" for i, j in zip(stops.tolist(), stops[1:].tolist())]
 
 
 def aligned(df: DataFrame, text: str, pair: Pair) -> DataFrame:
