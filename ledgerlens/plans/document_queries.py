@@ -21,6 +21,7 @@ from ledgerlens.plans.registry import query
 from ledgerlens.plans.retrieval import answer_questions, index_pages, index_summary
 from ledgerlens.session import cut_lineage, scratch_path
 from ledgerlens.sources import files, sinks
+from ledgerlens.sources.csv_files import read_csv_pages
 from ledgerlens.streaming import intake
 
 SPEC = EmbeddingSpec(width=64)
@@ -320,16 +321,44 @@ def _(t):
 
 
 @query("src5_table_pages", """
-SELECT l_orderkey AS order_id, count(*) AS row_count, md5('l_partkey,l_quantity,l_returnflag'
-    || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, line)) AS hash
-FROM (SELECT l_orderkey, l_linenumber, l_partkey || ',' || CAST(CAST(l_quantity AS BIGINT) AS
-    VARCHAR) || ',' || l_returnflag AS line FROM lineitem) GROUP BY 1""")
+WITH lines AS (SELECT l_suppkey, l_orderkey * 8 + l_linenumber AS n, l_orderkey || ',' || CAST(
+    CAST(l_quantity AS BIGINT) AS VARCHAR) || ',' || l_returnflag AS line FROM lineitem),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY l_suppkey ORDER BY n, line) - 1) // 100 + 1
+    AS page FROM lines)
+SELECT l_suppkey AS table_id, CAST(page AS INTEGER) AS page_number, count(*) AS row_count,
+    md5('l_orderkey,l_quantity,l_returnflag' || chr(10) ||
+        string_agg(line, chr(10) ORDER BY n, line)) AS hash
+FROM numbered GROUP BY 1, 2""")
 def _(t):
     rows = t.raw("lineitem").select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("row_no"),
-        "l_partkey", F.col("l_quantity").cast("long").alias("l_quantity"), "l_returnflag")
-    return files.table_page(rows, ["l_partkey", "l_quantity", "l_returnflag"], "order_id").select(
-        "order_id", "row_count", F.md5("text_content").alias("hash"))
+        F.col("l_suppkey").alias("table_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+        .alias("row_no"), "l_orderkey", F.col("l_quantity").cast("long").alias("l_quantity"),
+        "l_returnflag")
+    return files.table_pages(rows, ["l_orderkey", "l_quantity", "l_returnflag"], "table_id",
+                             100).select(
+        "table_id", "page_number", "row_count", F.md5("text_content").alias("hash"))
+
+
+@query("src4_csv_files", """
+WITH numbered AS (SELECT o_orderkey // 4096 AS part, o_orderkey, o_orderkey || ',"said ""' ||
+    o_orderpriority || '"",' || chr(10) || 'then ' || o_orderstatus || '",' || o_custkey AS line,
+    (row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) - 1) // 500 + 1 AS page
+    FROM orders)
+SELECT part, CAST(page AS INTEGER) AS page_number, count(*) AS row_count,
+    md5('id,note,customer' || chr(10) || string_agg(line, chr(10) ORDER BY o_orderkey)) AS hash
+FROM numbered GROUP BY 1, 2""")
+def _(t):
+    """Files with quotes and line breaks in cells, each read in slices of a few kilobytes."""
+    note = F.concat(F.lit('said "'), "o_orderpriority", F.lit('",\nthen '), "o_orderstatus")
+    rows = t.raw("orders").select(
+        F.col("o_orderkey").alias("id"), note.alias("note"), F.col("o_custkey").alias("customer"),
+        F.floor(F.col("o_orderkey") / 4096).alias("part"))
+    path = scratch_path(t.spark, "csv-files")
+    (rows.repartition("part").sortWithinPartitions("part", "id").write.partitionBy("part")
+     .option("header", True).option("escape", '"').option("lineSep", "\n").csv(path))
+    part = F.regexp_extract("file", "/part=([0-9]+)/", 1).cast("long")
+    return read_csv_pages(t.spark, path, page_rows=500).select(
+        part.alias("part"), "page_number", "row_count", F.md5("text_content").alias("hash"))
 
 
 @query("src4_csv_pages", '''
