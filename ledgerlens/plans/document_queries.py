@@ -23,6 +23,7 @@ from ledgerlens.session import cut_lineage, scratch_path
 from ledgerlens.sources import files, sinks
 from ledgerlens.sources.csv_files import read_csv_pages
 from ledgerlens.streaming import intake
+from ledgerlens.streaming.file_intake import WORD_COLUMNS, intake_files
 
 SPEC = EmbeddingSpec(width=64)
 NORMAL = """trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10),
@@ -755,3 +756,55 @@ def _(t):
     path = scratch_path(t.spark, "messages")
     done = intake.run_messages(twice.select("event_id", "event_type"), path, "event_id")
     return done.groupBy("event_type").agg(F.count("*").alias("messages"))
+
+
+@query("sm1_file_intake", """
+WITH lines AS (SELECT o_orderkey // 4096 AS part, o_orderkey, length(o_orderkey || ',"said ""' ||
+    o_orderpriority || '"",' || chr(10) || 'then ' || o_orderstatus || '",' || o_custkey) AS n,
+    (row_number() OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) - 1) // 500 AS page
+    FROM orders),
+tables AS (SELECT part, page, sum(n + 1) + 16 AS n FROM lines GROUP BY 1, 2),
+words AS (SELECT doc_id // 256 AS part, trim(regexp_replace(text, '[§]+', ' ', 'g')) AS w
+    FROM documents)
+SELECT 'csv' AS kind, part, 'completed' AS status, count(*) AS page_count,
+    CAST(sum(n) AS BIGINT) AS characters FROM tables GROUP BY part
+UNION ALL SELECT 'tsv', part, 'completed', count(*), CAST(sum(length(w)) AS BIGINT)
+FROM words WHERE w <> '' GROUP BY part
+UNION ALL SELECT 'bad', 0, 'failed', NULL, NULL""")
+def _(t):
+    """Tables and OCR words dropped as files in two batches, then all delivered once more."""
+    into, store = scratch_path(t.spark, "incoming"), scratch_path(t.spark, "file-intake")
+    note = F.concat(F.lit('said "'), "o_orderpriority", F.lit('",\nthen '), "o_orderstatus")
+    rows = t.raw("orders").select(
+        F.col("o_orderkey").alias("id"), note.alias("note"), F.col("o_custkey").alias("customer"),
+        F.floor(F.col("o_orderkey") / 4096).alias("part"))
+    (rows.repartition("part").sortWithinPartitions("part", "id").write.partitionBy("part")
+     .option("header", True).option("escape", '"').option("lineSep", "\n").csv(f"{into}/a"))
+    words = docs(t).select(
+        F.floor(F.col("doc_id") / 256).alias("part"), "doc_id",
+        F.posexplode(F.split(tx.collapse(F.col("text")), " ")).alias("at", "word"))
+    cells = {"level": F.lit(5), "page_num": F.col("doc_id") % 256 + 1,
+             "line_num": F.floor(F.col("at") / 12), "word_num": F.col("at") % 12,
+             "conf": F.lit(90), "text": F.col("word")}
+    table = words.where(F.col("word") != "").select("part", *[
+        cells.get(c, F.lit(1)).cast("string").alias(c) for c in WORD_COLUMNS])
+    (table.repartition("part").write.partitionBy("part").option("sep", "\t").option("header", True)
+     .option("quote", "\x00").option("escapeQuotes", False).option("extension", "tsv")
+     .option("lineSep", "\n").csv(f"{into}/b"))
+    torn = t.spark.range(1).select(F.lit(0).alias("part"), F.lit('name\n"never closed').alias("v"))
+    torn.write.partitionBy("part").option("lineSep", "\n").text(f"{into}/c")
+
+    def take(folder: str, progress: str):
+        return intake_files(t.spark, folder, store, WORKSPACE, SPEC, f"{store}/{progress}",
+                            page_rows=500, buckets=8)
+    take(f"{into}/a", "first")
+    take(f"{into}/b", "second")
+    chunks, runs = take(into, "all")
+    pages = chunks.groupBy("processing_run_id", "page_number").agg(
+        F.max("end_character").alias("n")).groupBy("processing_run_id").agg(
+        F.sum("n").cast("long").alias("characters"))
+    kind = F.element_at(F.split("file_name", r"\."), -1)
+    part = F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("long")
+    return runs.join(pages, "processing_run_id", "left").select(
+        F.when(F.col("status") == "failed", "bad").otherwise(kind).alias("kind"),
+        part.alias("part"), "status", "page_count", "characters")

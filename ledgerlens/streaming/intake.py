@@ -14,10 +14,15 @@ from ledgerlens.sources.files import BINARY_FILE_SCHEMA
 BUCKETS = 32
 
 
-def stream_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """New files as rows; the checkpoint remembers which were taken."""
-    return (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-            .option("pathGlobFilter", glob).load(path))
+def stream_files(spark: SparkSession, path: str, glob: str = "*",
+                 per_batch: int | None = None) -> DataFrame:
+    """New files as rows, ``per_batch`` of them at most together; the checkpoint remembers
+    which were taken. Content is read only if it is selected."""
+    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+              .option("pathGlobFilter", glob).option("recursiveFileLookup", True))
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    return reader.load(path)
 
 
 def stream_table(spark: SparkSession, path: str, glob: str, per_batch: int | None = None) -> DataFrame:
