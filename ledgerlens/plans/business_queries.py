@@ -18,8 +18,8 @@ from ledgerlens.operators.search import active_runs, latest_completed
 from ledgerlens.plans.corpus import Reconciliation, reconcile_pages
 from ledgerlens.plans.questions import capped
 from ledgerlens.plans.registry import query
-from ledgerlens.session import scratch_path
-from ledgerlens.sources import generator, sinks
+from ledgerlens.session import cut_lineage, scratch_path
+from ledgerlens.sources import generator, run_store, sinks
 from ledgerlens.sources.rendered import policy_pages
 
 W = WORKSPACE
@@ -503,6 +503,141 @@ def _(t):
         "document_id", "rule_code", "document_page_id")
 
 
+def stored_runs(t: Tables) -> str:
+    """Folder of the reconciliation of all documents, written twice as after a retry."""
+    r = reconciled(t, persist=True)
+    when = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    findings = rec.attach_pages(
+        r.findings.withColumn("processing_run_id", F.col("document_id")), policy_pages(t))
+    runs = r.runs.select(
+        "run_id", "document_id", F.concat(F.lit("policy "), F.col("document_id").cast("string"),
+                                          F.lit(".pdf")).alias("document_name"),
+        F.col("overall_status").alias("status"), when.alias("created_at"))
+    folder = scratch_path(t.spark, "runs")
+    for _ in range(2):
+        run_store.write_reconciliation(
+            findings.withColumn("created_at", when),
+            r.tasks.withColumn("created_at", when), runs, folder)
+    return folder
+
+
+_TASK = "status IN ('failed', 'needs_review') AND severity IN ('high', 'medium')"
+
+
+@query("snk3_stored_findings", f"""
+SELECT 'finding' AS kind, document_id, rule_code, status, CASE WHEN rule_code IN ('REC001',
+    'REC002', 'REC003', 'REC004', 'REC005') AND actual_value IS NOT NULL THEN document_id * 2
+    WHEN rule_code IN ('REC006', 'REC007', 'REC008', 'REC009', 'REC010')
+    AND actual_value IS NOT NULL THEN document_id * 2 + 1 END AS document_page_id FROM findings
+UNION ALL SELECT 'task', document_id, rule_code, 'open', NULL FROM findings WHERE {_TASK}""",
+       ["findings"])
+def _(t):
+    folder = stored_runs(t)
+    findings, tasks = (run_store.read_current(t.spark, folder, n) for n in ("findings", "tasks"))
+    return findings.select(F.lit("finding").alias("kind"), "document_id", "rule_code", "status",
+                           "document_page_id").unionByName(tasks.select(
+        F.lit("task").alias("kind"), "document_id",
+        F.col("extra_metadata")["rule_code"].alias("rule_code"), "status",
+        F.lit(None).cast("long").alias("document_page_id")))
+
+
+@query("tf15_report_load", f"""
+SELECT 'policy ' || document_id || '.pdf' AS document_name,
+    CASE WHEN count(*) FILTER (WHERE status IN ('failed', 'needs_review')) > 0
+        THEN 'needs_review' ELSE 'completed' END AS status,
+    string_agg(rule_code, ',' ORDER BY finding_id) AS findings,
+    coalesce(string_agg(rule_code, ',' ORDER BY sha256('task|' || finding_id))
+        FILTER (WHERE {_TASK}), '') AS tasks
+FROM (SELECT *, sha256(sha256('policy_document|' || document_id) || '|' || rule_code)
+    AS finding_id FROM findings) GROUP BY document_id""", ["findings"])
+def _(t):
+    """A run has a finding a rule at most, so its ordered lists are short."""
+    runs, findings, tasks = run_store.load_reports(t.spark, stored_runs(t))
+
+    def listed(df: DataFrame, key: str, rule, name: str) -> DataFrame:
+        rows = F.array_sort(F.collect_list(F.struct("created_at", key, rule.alias("rule"))))
+        return df.groupBy("run_id").agg(F.array_join(F.transform(
+            rows, lambda r: r["rule"]), ",").alias(name))
+    found = listed(findings, "finding_id", F.col("rule_code"), "findings")
+    asked = listed(tasks, "task_id", F.col("extra_metadata")["rule_code"], "tasks")
+    return runs.join(found, "run_id").join(asked, "run_id", "left").select(
+        "document_name", "status", "findings", F.coalesce("tasks", F.lit("")).alias("tasks"))
+
+
+@query("prj18_removal", """
+WITH log AS (SELECT event_id // 3 AS document_id, event_id, CASE
+    WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS busy FROM events),
+docs AS (SELECT document_id, max(busy) = 0 AS free FROM log GROUP BY 1)
+SELECT n.name AS table_name, count(*) AS rows_before,
+    count(*) FILTER (WHERE NOT free) AS rows_after, count(*) FILTER (WHERE NOT free) AS rows_again
+FROM (SELECT unnest(['tasks', 'findings', 'runs', 'chunks', 'pages']) AS name) n, log
+    JOIN docs USING (document_id) GROUP BY 1
+UNION ALL SELECT 'documents', count(*), count(*) FILTER (WHERE NOT free),
+    count(*) FILTER (WHERE NOT free) FROM docs""")
+def _(t):
+    """All documents are asked to go, twice; those with a busy attempt stay with all they own."""
+    log = t.run_log().select(F.floor(F.col("id") / 3).alias("document_id"), "id", "status")
+    folder, buckets = scratch_path(t.spark, "owned"), 16
+    documents = log.select("document_id").distinct()
+    for name in run_store.DEPENDANTS:
+        run_store.write_bucketed(documents if name == "documents" else log,
+                                 f"{folder}/{name}", buckets)
+
+    def sizes(label: str) -> DataFrame:
+        counts = [t.spark.read.parquet(f"{folder}/{n}").agg(F.count("*").alias(label))
+                  .select(F.lit(n).alias("table_name"), label) for n in run_store.DEPENDANTS]
+        return cut_lineage(quality.all_of(counts))
+    before = sizes("rows_before")
+    run_store.remove_documents(t.spark, folder, documents, buckets)
+    after = sizes("rows_after")
+    run_store.remove_documents(t.spark, folder, documents, buckets)
+    return before.join(after, "table_name").join(sizes("rows_again"), "table_name")
+
+
+@query("tf13_repeated_updates", """
+WITH up AS (SELECT user_id AS task_id, event_id, event_type,
+    CASE event_type WHEN 'click' THEN 'in_progress' WHEN 'purchase' THEN 'approved'
+        WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'open' END AS status FROM events),
+first AS (SELECT task_id, min(event_id) AS at, arg_min(status, event_id) AS status FROM up
+    WHERE status IN ('approved', 'rejected') GROUP BY 1),
+judged AS (SELECT up.*, CASE WHEN up.status IS NOT NULL AND event_id > first.at
+    AND up.status <> first.status THEN 'already_resolved' END AS error
+    FROM up LEFT JOIN first USING (task_id))
+SELECT task_id, count(*) AS updates, count(error) AS refused,
+    coalesce(arg_max(status, event_id) FILTER (WHERE status IS NOT NULL AND error IS NULL), 'open')
+        AS status,
+    CAST(max(event_id) FILTER (WHERE error IS NULL) AS VARCHAR) AS notes
+FROM judged GROUP BY 1""")
+def _(t):
+    """Every user is a task and every event an update of it, in the order of the events."""
+    events = t.raw("events")
+    none = F.lit(None).cast("string")
+    tasks = events.select(F.col("user_id").alias("task_id")).distinct().select(
+        "task_id", F.lit(W).alias("workspace_id"), F.lit("open").alias("status"),
+        *[none.alias(c) for c in ("assigned_to_user_id", "resolution_notes", "corrected_value",
+                                  "resolved_by_user_id")],
+        F.lit(None).cast("timestamp").alias("resolved_at"))
+    kind = F.col("event_type")
+    status = (F.when(kind == "click", "in_progress").when(kind == "purchase", "approved")
+              .when(kind == "error", "rejected").when(kind == "signup", "open"))
+    updates = events.select(
+        F.col("user_id").alias("task_id"), "event_id", F.lit(W).alias("workspace_id"),
+        F.lit("reviewer").alias("user_id"), status.alias("status"),
+        status.isNotNull().alias("set_status"), none.alias("assigned_to_user_id"),
+        F.lit(False).alias("set_assigned_to_user_id"),
+        F.col("event_id").cast("string").alias("resolution_notes"),
+        F.lit(True).alias("set_resolution_notes"), none.alias("corrected_value"),
+        F.lit(False).alias("set_corrected_value"))
+    users = events.limit(0).select(F.lit("x").alias("id"), F.lit(W).alias("workspace_id"),
+                                   F.lit(True).alias("is_active"))
+    checked, after = report.apply_task_updates(
+        tasks, updates, users, F.lit("2026-01-01").cast("timestamp"), "event_id")
+    counts = checked.groupBy("task_id").agg(F.count("*").alias("updates"),
+                                            F.count("error").alias("refused"))
+    return after.join(counts, "task_id").select(
+        "task_id", "updates", "refused", "status", F.col("resolution_notes").alias("notes"))
+
+
 @query("tf13_task_updates", """
 WITH tasks AS (SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'approved'
     WHEN event_type = 'view' THEN 'in_progress' ELSE 'open' END AS status FROM events),
