@@ -22,21 +22,26 @@ are those of the ``regex`` module.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import annotate, without
+from ledgerlens.llm.common import slices, without
 
 DICTIONARY = 65_536    # frequent pieces that are folded once, at most
 LONG = 256             # longer pieces are never folded, as a fold takes quadratic time
 SAMPLE_DOCS = 3_000    # documents that pieces are counted in for the dictionary
-REMEMBERED = 100_000   # rare pieces whose ids a task keeps
+REMEMBERED = 32 << 20   # bytes of words and ids that a task keeps besides the dictionary
+MERGED = 4096          # rare pieces that are merged together
 FOLD_TASKS = 12        # tasks that fold the dictionary
 PAIR_BUCKETS = 1 << 15
 NONE = 2**31 - 1       # rank of a pair that does not merge
@@ -46,7 +51,7 @@ SPACE = (r"\t-\r \x85\xa0  -     　")
 # Lower bits of a product with this number spread neighbouring ids.
 SPREAD = 0x9E3779B1
 
-ADDED = ("n_tokens long, ids_sha256 string, decoded_sha256 string, ids string, decoded binary")
+ADDED = ("n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded binary")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,25 +87,23 @@ class Vocabulary:
             joined[(a * SPREAD + b) % PAIR_BUCKETS][(a << 32) | b] = rank
         token_of = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            token_of[rank] = token.hex().upper()
+            token_of[rank] = token.decode("latin-1")     # a character a byte
         self.joined = literal(joined, "array<map<string,int>>").cast("array<map<bigint,int>>")
         self.byte_ids = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
-        self.token_hex = literal(token_of, "array<string>")
+        self.token_of = literal(token_of, "array<string>")
 
     def encode(self, piece: Column) -> Column:
-        """Comma-joined ids of a piece that is no token itself, by the fold.
+        """Ids of a piece that is no token itself, by the fold.
 
         Each literal stands in the plan once, bound to a variable.
         """
         return let(self.joined, lambda joined: let(self.byte_ids, lambda byte_ids: let(
-            F.hex(piece.cast("binary")), lambda code: F.array_join(
-                fold(code, joined, byte_ids).cast("array<string>"), ","))))
+            F.hex(piece.cast("binary")), lambda code: fold(code, joined, byte_ids))))
 
     def decode(self, ids: Column) -> Column:
-        """Bytes of comma-joined ids."""
-        tokens = let(self.token_hex, lambda table: F.transform(
-            F.split(ids, ","), lambda i: table[i.cast("int")]))
-        return F.when(ids == "", F.lit(b"")).otherwise(F.unhex(F.array_join(tokens, "")))
+        """Bytes of ids: the binary pieces, one character a byte, put together."""
+        pieces = let(self.token_of, lambda table: F.transform(ids, lambda i: table[i]))
+        return F.encode(F.array_join(pieces, ""), "ISO-8859-1")
 
 
 def literal(value: list, kind: str) -> Column:
@@ -155,41 +158,48 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def merge(piece: bytes, ranks: dict[bytes, int], joins: dict) -> list[int]:
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece: the same merges, with a heap over a linked list if it is long."""
     if piece in ranks:
         return [ranks[piece]]
     if len(piece) <= 64:
-        ids = [ranks[bytes([b])] for b in piece]
-        near = [joins.get(pair, NONE) for pair in zip(ids, ids[1:])]
+        parts = [piece[i:i + 1] for i in range(len(piece))]
+        near = [ranks.get(a + b, NONE) for a, b in zip(parts, parts[1:])]
         while near and (best := min(near)) != NONE:
             at = near.index(best)
-            ids[at:at + 2] = [best]
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
             del near[at]
             if at:
-                near[at - 1] = joins.get((ids[at - 1], best), NONE)
+                near[at - 1] = ranks.get(parts[at - 1] + parts[at], NONE)
             if at < len(near):
-                near[at] = joins.get((best, ids[at + 1]), NONE)
-        return ids
-    ids = [ranks[bytes([b])] for b in piece]
-    after = list(range(1, len(ids) + 1))
-    before = list(range(-1, len(ids) - 1))
-    heap = [(joins[a, b], i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (a, b) in joins]
+                near[at] = ranks.get(parts[at] + parts[at + 1], NONE)
+        return [ranks[x] for x in parts]
+    # part i is piece[i:after[i]]; merged ones have no end
+    after = [*range(1, len(piece) + 1), 0]
+    before = list(range(-1, len(piece)))
+
+    def joined(i: int) -> int:
+        j = after[i]
+        return ranks.get(piece[i:after[j]], NONE) if j < len(piece) else NONE
+
+    heap = [(joined(i), i) for i in range(len(piece) - 1)]
+    heap = [x for x in heap if x[0] != NONE]
     heapq.heapify(heap)
     while heap:
         rank, i = heapq.heappop(heap)
-        j = after[i] if ids[i] is not None else len(ids)
-        if j >= len(ids) or joins.get((ids[i], ids[j])) != rank:
+        if not after[i] or joined(i) != rank:
             continue
-        ids[i], ids[j] = rank, None
-        after[i] = after[j]
-        if after[i] < len(ids):
-            before[after[i]] = i
-            if (ids[i], ids[after[i]]) in joins:
-                heapq.heappush(heap, (joins[ids[i], ids[after[i]]], i))
-        if before[i] >= 0 and (ids[before[i]], ids[i]) in joins:
-            heapq.heappush(heap, (joins[ids[before[i]], ids[i]], before[i]))
-    return [x for x in ids if x is not None]
+        j = after[i]
+        after[i], after[j] = after[j], 0
+        before[after[i]] = i
+        for k in (i, before[i]):
+            if k >= 0 and (found := joined(k)) != NONE:
+                heapq.heappush(heap, (found, k))
+    out, i = [], 0
+    while i < len(piece):
+        out.append(ranks[piece[i:after[i]]])
+        i = after[i]
+    return out
 
 
 def frequent(df: DataFrame, pieces: Column, limit: int, sample_docs: int) -> list[str]:
@@ -203,58 +213,167 @@ def frequent(df: DataFrame, pieces: Column, limit: int, sample_docs: int) -> lis
     return [r["piece"] for r in found.select("piece").collect()]
 
 
-def folded_ids(df: DataFrame, words: list[str], vocabulary: Vocabulary) -> dict[str, str]:
-    """Ids of distinct words, comma-joined; ``words`` is a bounded list.
+def folded_ids(df: DataFrame, words: list[str], vocabulary: Vocabulary) -> dict[str, bytes]:
+    """Ids of distinct pieces, packed to 4 bytes each; ``words`` is a bounded list.
 
-    A word that is a token is that token; all others are folded.
+    A piece that is a token is that token; all others are folded.
     """
     ranks = vocabulary.ranks
-    known = {w: str(ranks[w.encode()]) for w in words if w.encode() in ranks}
+    known = {w: packed([ranks[w.encode()]]) for w in words if w.encode() in ranks}
     others = [w for w in words if w not in known]
     if others:
         # dealt out, as a local table would be folded by the driver while it plans
         table = df.sparkSession.createDataFrame(pd.DataFrame({"piece": others})).repartition(
             FOLD_TASKS)
         folded = table.select("piece", vocabulary.encode(F.col("piece")).alias("ids"))
-        known.update((r["piece"], r["ids"]) for r in folded.collect())
+        known.update((r["piece"], packed(r["ids"])) for r in folded.collect())
     return known
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+class Merges:
+    """Ranked merges of many pieces at once, each step one merge in every piece.
+
+    Pairs that join stand in sorted arrays; parts of a piece are a linked list over its row.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], joins: dict[tuple[int, int], int]):
+        self.ranks = ranks
+        keys = np.array([(a << 32) | b for a, b in joins], np.int64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.joined = np.array(list(joins.values()), np.int32)[order]
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; ``NONE`` where it does not join or a side is missing."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        fits = (self.keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(fits, self.joined[at], NONE)
+
+    def rows(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces of one length or shorter, of two bytes at least."""
+        sizes = np.array([len(p) for p in pieces])
+        width = int(sizes.max())
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8)
+        ids = self.bytes[raw.reshape(-1, width)]
+        ids = np.hstack([ids, np.full((len(ids), 1), EDGE, np.int64)])     # the edge: a last part
+        ids[np.arange(width + 1) >= sizes[:, None]] = EDGE
+        after = np.tile(np.minimum(np.arange(1, width + 2), width), (len(ids), 1))
+        before = np.tile(np.maximum(np.arange(-1, width), 0), (len(ids), 1))
+        near = np.full(ids.shape, NONE, np.int64)
+        near[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
+        live = np.arange(len(ids))
+        while True:
+            at = near[live].argmin(axis=1)       # the leftmost of equal ranks
+            best = near[live, at]
+            going = best != NONE
+            live, at, best = live[going], at[going], best[going]
+            if not len(live):
+                break
+            gone = after[live, at]
+            following = after[live, gone]
+            ids[live, at], ids[live, gone] = best, EDGE
+            near[live, gone] = NONE
+            after[live, at], before[live, following] = following, at
+            near[live, at] = self.rank(best, ids[live, following])
+            inner = at > 0
+            rows, left = live[inner], before[live, at][inner]
+            near[rows, left] = self.rank(ids[rows, left], best[inner])
+        kept = ids >= 0
+        flat, stops = ids[kept].astype(np.int32), np.append(0, np.cumsum(kept.sum(axis=1)))
+        return [flat[i:j].tobytes() for i, j in zip(stops, stops[1:])]
+
+    def many(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces; long ones go one by one, with a heap."""
+        out: list[bytes] = [b""] * len(pieces)
+        groups: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            if piece in self.ranks or len(piece) > LONG:
+                out[i] = packed(merge(piece, self.ranks))
+            else:
+                groups.setdefault(len(piece).bit_length(), []).append(i)
+        for group in groups.values():
+            for at in range(0, len(group), MERGED):
+                part = group[at:at + MERGED]
+                for i, ids in zip(part, self.rows([pieces[i] for i in part])):
+                    out[i] = ids
+        return out
+
+
+class Assembler:
+    """The work of a task: ids of texts from the dictionary, rare pieces merged here.
+
+    Rare pieces are remembered up to ``REMEMBERED`` bytes.
+    """
+
+    def __init__(self, pattern: str, known: dict[str, bytes], merges: Merges):
+        self.cut, self.merges = regex.compile(pattern), merges
+        self.known = {p: (ids, decimal(ids)) for p, ids in known.items()}
+        self.room = 0
+        self.make_room()
+
+    def make_room(self) -> None:
+        if self.room <= 0:
+            self.room = REMEMBERED
+            self.ids = {p: x[0] for p, x in self.known.items()}      # packed ids of a piece
+            self.shown = {p: x[1] for p, x in self.known.items()}    # the same in decimal
+
+    def texts(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Packed ids of some texts, and the SHA-256 of their decimal, comma-joined form."""
+        cut = list(map(self.cut.findall, texts))
+        fresh = list(set().union(*cut).difference(self.ids))
+        for piece, ids in zip(fresh, self.merges.many([p.encode() for p in fresh])):
+            self.ids[piece], self.shown[piece] = ids, decimal(ids)
+            self.room -= 300 + 4 * len(piece) + 2 * len(ids)
+        ids, shown = self.ids.__getitem__, self.shown.__getitem__
+        out = [b"".join(map(ids, pieces)) for pieces in cut]
+        digests = [hashlib.sha256(",".join(map(shown, pieces)).encode()).hexdigest()
+                   for pieces in cut]
+        self.make_room()
+        return out, digests
+
+
+def decimal(ids: bytes) -> str:
+    return ",".join(map(str, memoryview(ids).cast("i")))
+
+
 def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
                      dictionary: int = DICTIONARY) -> DataFrame:
-    """``df`` with ids (comma-joined), decoded bytes, token count and digests of both."""
+    """``df`` with ids, decoded bytes, token count and digests of both."""
     vocabulary, split = Vocabulary(ranks), F.lit(jvm_pattern(pattern))
     pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), split, F.lit(0))
     base = without(df, T.StructType.fromDDL(ADDED).names)
     words = frequent(base.select(text), pieces, dictionary, SAMPLE_DOCS)
-    coded = assemble(base, text, pattern, folded_ids(df, words, vocabulary), vocabulary)
-    tokens = F.when(F.col("ids") == "", 0).otherwise(
-        F.length("ids") - F.length(F.translate("ids", ",", "")) + 1)
+    coded = assemble(base, text, pattern, folded_ids(df, words, vocabulary),
+                     Merges(ranks, vocabulary.joins))
     out = coded.withColumn("decoded", vocabulary.decode(F.col("ids")))
     return out.select(
-        *[F.col(f"`{c}`") for c in base.columns], tokens.cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-        "ids", "decoded")
-
-
-def assemble(df: DataFrame, text: str, pattern: str, words: dict[str, str],
-             vocabulary: Vocabulary) -> DataFrame:
-    """``df`` with ids: pieces looked up in ``words``, others merged here, once a task."""
-    ranks, joins = vocabulary.ranks, vocabulary.joins
-
-    def make():
-        cut = regex.compile(pattern)
-
-        class Ids(dict):
-            def __missing__(self, piece: str) -> str:
-                if len(self) >= REMEMBERED + len(words):
-                    self.clear()
-                    self.update(words)
-                found = ",".join(map(str, merge(piece.encode(), ranks, joins)))
-                self[piece] = found
-                return found
-
-        ids = Ids(words)
-        return lambda texts: [(",".join(map(ids.__getitem__, cut.findall(t))),) for t in texts]
-
-    return annotate(df, text, "ids string", make)
+        *[F.col(f"`{c}`") for c in base.columns], F.size("ids").cast("long").alias("n_tokens"),
+        "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "ids", "decoded")
+
+
+def assemble(df: DataFrame, text: str, pattern: str, known: dict[str, bytes],
+             merges: Merges) -> DataFrame:
+    """``df`` with ids and their digest, a few texts at a time."""
+    schema = T.StructType(df.schema.fields + T.StructType.fromDDL(
+        "ids array<int>, ids_sha256 string").fields)
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = Assembler(pattern, known, merges)
+        for part in slices(batches):
+            found, shown = work.texts([x or "" for x in part.column(at).to_pylist()])
+            sizes = [len(x) // 4 for x in found]
+            ids = np.frombuffer(b"".join(found), np.int32)
+            column = pa.ListArray.from_arrays(
+                pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, column, pa.array(shown, pa.string())],
+                names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -35,16 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import without
+from ledgerlens.llm.common import BLANK, without
 from ledgerlens.llm.token_counts import load
 from ledgerlens.session import scratch_path
 
 HOT = 1 << 19                # pairs that go to the tasks as arrays: 8 MB
 TOGETHER = 2_000_000         # characters whose distinct words are encoded together
 AT_ONCE = 2_000              # words that the libraries hold at a time
-# Characters that may belong to a run of white space, under any reading of it.
-BLANK = frozenset(chr(c) for c in range(0x10000) if chr(c).isspace()) | set(
-    "\u180e\u200b\u2060\ufeff\u2581")
 FACTS = ("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string")
 ADDED = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
 

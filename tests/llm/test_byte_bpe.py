@@ -5,7 +5,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from ledgerlens.llm.byte_bpe import encode_documents, merge, pairs, read_ranks
+from ledgerlens.llm.byte_bpe import (
+    Assembler, Merges, encode_documents, merge, pairs, read_ranks)
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -22,10 +23,10 @@ def library(ranks):
 
 
 def test_long_pieces_like_the_library(ranks, library):
-    rng, joins = random.Random(3), pairs(ranks)
+    rng = random.Random(3)
     for text in ("unbelievable", "ñciónmentequeado", "é", "a" * 700, "ab" * 400, "=" * 1000, "é" * 300,
                  "".join(rng.choice("etaoinshr") for _ in range(3000))):
-        assert merge(text.encode(), ranks, joins) == library.encode_ordinary(text)
+        assert merge(text.encode(), ranks) == library.encode_ordinary(text)
 
 
 @pytest.mark.parametrize("dictionary", [0, 10_000])
@@ -45,7 +46,7 @@ def test_like_the_library_and_back(spark, ranks, library, dictionary):
         want = library.encode_ordinary(t or "")
         said = ",".join(map(str, want))
         r = rows[i]
-        assert r["ids"] == said, t
+        assert r["ids"] == want, t
         assert r["n_tokens"] == len(want) and bytes(r["decoded"]) == (t or "").encode()
         assert r["ids_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
@@ -54,3 +55,27 @@ def test_like_the_library_and_back(spark, ranks, library, dictionary):
 def test_empty_table(spark, ranks):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert encode_documents(df, ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_word_by_word_like_the_library(ranks, library):
+    work = Assembler(public_tokenizers.PATTERN, {"a": (64).to_bytes(4, "little")},
+                     Merges(ranks, pairs(ranks)))
+    assert ranks[b"a"] == 64
+    work.room, rng = 3000, random.Random(9)      # words are forgotten on the way
+    letters = ["a", "é", " ", "  ", "\n", "\t", "\u3000", "\x1c", "'s", "!", "7", "\u200b", "\x85", "你",
+               "tion", "zq", "x" * 70]
+    texts = ["".join(rng.choice(letters) for _ in range(n % 40)) for n in range(900)]
+    for at in range(0, 900, 90):
+        for text, found in zip(texts[at:], work.texts(texts[at:at + 90])[0]):
+            ids = [int.from_bytes(found[i:i + 4], "little") for i in range(0, len(found), 4)]
+            assert ids == library.encode_ordinary(text), repr(text)
+
+
+def test_merges_of_many_pieces(ranks, library):
+    rng = random.Random(4)
+    pieces = list({"".join(rng.choice("abcdeéñ你inotsr") for _ in range(rng.randrange(1, 90)))
+                   for _ in range(6000)})
+    found = Merges(ranks, pairs(ranks)).many([p.encode() for p in pieces])
+    for piece, packed in zip(pieces, found):
+        ids = [int.from_bytes(packed[i:i + 4], "little") for i in range(0, len(packed), 4)]
+        assert ids == merge(piece.encode(), ranks) == library.encode_ordinary(piece)
