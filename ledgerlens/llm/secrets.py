@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import LOWER_BYTES, annotate, sha256_hex, slices, without
+from ledgerlens.llm.common import LOWER_BYTES, annotate, sha256_hex, slices
 
 KINDS = ("assign", "access", "hex", "random")
 # The base patterns; fixed values.
@@ -202,7 +202,9 @@ def redact_secrets(df: DataFrame, ratio: np.ndarray, text: str = "text") -> Data
         return lambda texts: [(redact(t, [(s, e) for _, s, e in row[-1]]) if row[-1] else None,)
                               for t, row in zip(texts, scan(texts))]
 
-    found = annotate(df, text, "redacted_text string", make)
-    clean = F.coalesce("redacted_text", text)
-    return without(found.withColumn(text, clean), ["redacted_text"]).select(*[
-        F.col(f"`{c}`") for c in df.columns if c.lower() != "redacted_text"])
+    # positions instead of names, so that any column of the input keeps its own
+    names = [f"c{i}" for i in range(len(df.columns))]
+    at = names[df.columns.index(text)]
+    found = annotate(df.toDF(*names), at, "redacted string", make)
+    return found.select(*[(F.coalesce("redacted", at) if n == at else F.col(n)).alias(c)
+                          for n, c in zip(names, df.columns)])

@@ -119,9 +119,12 @@ def count_tokens(df: DataFrame, vocabulary: bytes, cache: str, text: str = "text
         missing = missing.join(stored.hint("shuffle_hash"), "digest", "left_anti")
     count_misses(missing, vocabulary).write.mode("append").parquet(cache)
 
-    rest = without(df, ["__digest", "n_bytes", "n_tokens", "over_limit"])
-    keyed = rest.withColumn("__digest", digest).withColumn(
-        "n_bytes", F.octet_length(content).cast("long")).drop(text)
-    known = read_cache(spark, cache, version)
-    joined = keyed.join(known, F.col("__digest") == F.col("digest"))
-    return joined.drop("__digest", "digest").withColumn("over_limit", F.col("n_tokens") > limit)
+    # the row travels as one column, so no name of the input can clash with the cache's
+    rest = without(df, ["n_bytes", "n_tokens", "over_limit"])
+    kept = [c for c in rest.columns if c != text]
+    keyed = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), digest.alias("digest"),
+        F.octet_length(content).cast("long").alias("n_bytes"))
+    joined = keyed.join(read_cache(spark, cache, version), "digest")
+    return joined.select(*[F.col("row")[c].alias(c) for c in kept], "n_bytes", "n_tokens",
+                         (F.col("n_tokens") > limit).alias("over_limit"))

@@ -85,7 +85,7 @@ def test_redaction_keeps_columns_and_null(spark):
     df = spark.createDataFrame(
         [(1, "a token=abcdefgh b", "x"), (2, None, "y"), (3, "plain", "z")],
         "doc_id long, text string, redacted_text string")
-    out = redact_secrets(df.drop("redacted_text"), model())
-    assert out.columns == ["doc_id", "text"]
-    assert {r["doc_id"]: r["text"] for r in out.collect()} == {
-        1: "a [secret] b", 2: None, 3: "plain"}
+    out = redact_secrets(df, model())
+    assert out.columns == df.columns
+    assert {r["doc_id"]: (r["text"], r["redacted_text"]) for r in out.collect()} == {
+        1: ("a [secret] b", "x"), 2: (None, "y"), 3: ("plain", "z")}

@@ -42,3 +42,12 @@ def test_other_tokenizer_and_empty_table(spark, tmp_path):
     count_tokens(frame(spark, ["a b c"]), VOCABULARY, cache)
     assert read_cache(spark, cache, tokenizer_digest(VOCABULARY)).count() == 1
     assert read_cache(spark, cache, tokenizer_digest(VOCABULARY + b" ")).count() == 0
+
+
+def test_columns_named_like_the_caches(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b", "mine", b"x", 5), (1, "a b", "mine", b"x", 5)],
+                               "doc_id long, text string, digest string, tokenizer binary, __digest int")
+    got = count_tokens(df, VOCABULARY, str(tmp_path / "cache"))
+    assert got.columns == ["doc_id", "digest", "tokenizer", "__digest", "n_bytes", "n_tokens",
+                           "over_limit"]
+    assert [(r["digest"], r["__digest"], r["n_tokens"]) for r in got.collect()] == [("mine", 5, 2)] * 2
