@@ -16,9 +16,14 @@ def iso_timestamp(c: Column) -> Column:
 
 
 def json_safe(c: Column, dtype: T.DataType) -> Column:
-    """Decimals and ids to text, dates to ISO, bytes to hex, non-finite floats to text."""
+    """Decimals and ids to text, dates to ISO, bytes to hex, floats to text.
+
+    A column has one type, so all floats become text where one may be nan or infinite.
+    """
     if isinstance(dtype, T.DecimalType):
         return c.cast("string")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return float_safe(c)
     if isinstance(dtype, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):

@@ -274,6 +274,21 @@ def _(t):
         F.col("policy_number").cast("binary").alias("raw_number")))
 
 
+@query("prj1_json_safe_floats", """
+SELECT id AS policy_id, v AS value, v || '|2.0' AS inner_values FROM (SELECT id, CASE id % 7
+    WHEN 0 THEN 'nan' WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' WHEN 3 THEN NULL
+    ELSE (id % 7) || '.0' END AS v FROM policies)""", ["policies"])
+def _(t):
+    k = F.col("id") % 7
+    value = (F.when(k == 0, float("nan")).when(k == 1, float("inf")).when(k == 2, float("-inf"))
+             .when(k != 3, k.cast("double")))
+    rows = json_safe_rows(t.policy_core().select(
+        F.col("id").alias("policy_id"), value.alias("value"),
+        F.array(value, F.lit(2.0)).alias("inner")))
+    return rows.select("policy_id", "value", F.when(F.col("value").isNotNull(), F.array_join(
+        "inner", "|")).alias("inner_values"))
+
+
 @query("sc28_agent_display_name",
        "SELECT s_suppkey AS id, s_name AS display_name FROM supplier")
 def _(t):

@@ -60,3 +60,14 @@ def test_page_text(one):
 def test_formula_guard(one):
     assert one(["=1+1", " +x", "-5", "+7.25", "@a", "plain", "", "-5-6"], formula_safe) == [
         "'=1+1", "' +x", "-5", "+7.25", "'@a", "plain", "", "'-5-6"]
+
+
+def test_floats_that_json_cannot_hold(spark):
+    from ledgerlens.functions.serialise import json_safe_rows
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame(
+        [(1.5, [nan, -inf, None, 2.0], {"k": inf}, (nan, 3))],
+        "a double, b array<double>, c map<string,double>, d struct<x:float,y:int>")
+    row = json_safe_rows(df).first()
+    assert row["a"] == "1.5" and row["b"] == ["nan", "-inf", None, "2.0"]
+    assert row["c"] == {"k": "inf"} and tuple(row["d"]) == ("nan", 3)
