@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import slices, without
+from ledgerlens.llm.common import give_back, slices, without
 
 DICTIONARY = 65_536    # frequent pieces that are folded once, at most
 LONG = 256             # longer pieces are never folded, as a fold takes quadratic time
@@ -375,5 +375,10 @@ def assemble(df: DataFrame, text: str, pattern: str, known: dict[str, bytes],
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, column, pa.array(shown, pa.string())],
                 names=schema.names)
+        # the task's own copies, which would stay until the worker's next task
+        known.clear()
+        vars(merges).clear()
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
