@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,11 @@ from pyspark.sql import functions as F
 from ledgerlens.session import cut_lineage
 from ledgerlens.sources.files import BINARY_FILE_SCHEMA
 
-BUCKETS = 32
+BUCKET_ROWS = 1_000_000   # rows of a bucket, on average, beyond which a table gets more buckets
+FIRST_BUCKETS = 8
+GROWTH = 4
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_files(spark: SparkSession, path: str, glob: str = "*",
@@ -55,48 +60,102 @@ def current_status(log: DataFrame) -> DataFrame:
             .select("document_id", "top.*"))
 
 
+def buckets_of(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Buckets of a table of so many rows: the first count, times ``GROWTH`` as often as needed."""
+    buckets = FIRST_BUCKETS
+    while rows > buckets * bucket_rows:
+        buckets *= GROWTH
+    return buckets
+
+
+def stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """Bucket count of the layout in force; its row is written after all of its buckets."""
+    try:
+        return spark.read.schema("buckets int").parquet(f"{path}/layout").agg(
+            F.max("buckets")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_merged(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``merge_buckets`` keeps under ``path``."""
+    return spark.read.parquet(f"{path}/of-{stored_buckets(spark, path)}").drop("bucket")
+
+
 def merge_buckets(path: str, key: str, merge: Callable[[DataFrame], DataFrame],
-                  buckets: int = BUCKETS) -> Callable:
+                  bucket_rows: int = BUCKET_ROWS) -> Callable:
     """Batch sink that merges rows into a table of hash buckets of ``key``.
 
     ``merge`` gets the stored and the new rows of the touched buckets and must give the
     same rows when the new ones are there twice. Only touched buckets are read and
-    written. A batch that broke off is delivered again and merged again, so nothing has
-    to be remembered between batches and runs.
+    written. When the table outgrows its buckets it is written once into ``GROWTH`` times
+    as many, in a folder of their own, which readers see when its layout row is written.
+    A batch that broke off is delivered again and merged again, so nothing has to be
+    remembered between batches and runs.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-        fresh = cut_lineage(batch.withColumn("bucket", bucket))
-        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
-        if not touched:
+        fresh = cut_lineage(batch)
+        added = fresh.count()
+        if not added:
             return
-        rows = fresh
-        try:
-            stored = spark.read.schema(fresh.schema).parquet(path)
-            rows = stored.where(F.col("bucket").isin(touched)).unionByName(fresh)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-        # what is read must be kept before its folders are replaced
-        merged = cut_lineage(merge(rows.drop("bucket")).withColumn("bucket", bucket))
-        (merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket")
-         .option("partitionOverwriteMode", "dynamic").parquet(path))
+        bucket = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        now = stored_buckets(spark, path)
+        rows, size = fresh, added
+        if now:
+            stored = spark.read.parquet(f"{path}/of-{now}")
+            size += stored.count()      # from the files' footers
+        wanted = max(now or 0, buckets_of(size, bucket_rows))
+        if now == wanted:
+            touched = [r[0] for r in fresh.select(bucket(now)).distinct().collect()]
+            stored = stored.where(F.col("bucket").isin(touched))
+        if now:
+            rows = stored.drop("bucket").unionByName(fresh)
+        merged = merge(rows).withColumn("bucket", bucket(wanted))
+        if now == wanted:
+            # what is read must be kept before its folders are replaced
+            merged = cut_lineage(merged)
+        (merged.repartition(wanted, "bucket").write.mode("overwrite").partitionBy("bucket")
+         .option("partitionOverwriteMode", "dynamic" if now == wanted else "static")
+         .parquet(f"{path}/of-{wanted}"))
+        if now != wanted:
+            layout = spark.createDataFrame([(wanted,)], "buckets int")
+            layout.coalesce(1).write.mode("append").parquet(f"{path}/layout")
     return write
 
 
-def run_status(log: DataFrame, path: str) -> DataFrame:
+def run_status(log: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Drains a status log stream and returns the current status per document."""
-    run_available(log, merge_buckets(path, "document_id", current_status), f"{path}-progress")
-    return log.sparkSession.read.parquet(path).drop("bucket")
+    run_available(log, merge_buckets(path, "document_id", current_status, bucket_rows),
+                  f"{path}-progress")
+    return read_merged(log.sparkSession, path)
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here keep their state in RocksDB, checkpointed with the stream."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 def run_messages(messages: DataFrame, path: str, message_id: str) -> DataFrame:
     """Drains a message stream and returns each message once, however late it comes.
 
-    Messages are told apart by their id against all stored ones, so there is no delay
-    after which one would be lost or taken twice.
+    The ids seen so far are the stream's keyed state, so a batch costs what it brings and
+    nothing stored is written again. There is no watermark: no delay after which a message
+    would be lost or taken twice. A batch that is delivered again replaces its folder.
     """
-    once = merge_buckets(path, message_id, lambda rows: rows.dropDuplicates([message_id]))
-    run_available(messages, once, f"{path}-progress")
-    return messages.sparkSession.read.parquet(path).drop("bucket")
+    spark = messages.sparkSession
+    once = messages.dropDuplicates([message_id])
+    with state_on_disk(spark):
+        run_available(once, overwrite_batch(path, lambda rows: rows), f"{path}-progress")
+    return spark.read.parquet(path).drop("batch")

@@ -271,3 +271,29 @@ def test_messages_and_status_over_batches_and_reruns(spark, tmp_path):
     again = intake.run_status(stream, str(tmp_path / "status"))      # nothing new
     assert {r["document_id"]: r["status"] for r in again.collect()} == {7: "running", 8: "completed"}
     assert intake.run_messages(stream, str(tmp_path / "messages"), "id").count() == 3
+
+
+def test_buckets_follow_the_table(spark, tmp_path):
+    import glob
+    from datetime import datetime
+    path, day = str(tmp_path / "status"), datetime(2026, 1, 1)
+    sink = intake.merge_buckets(path, "document_id", intake.current_status, bucket_rows=20)
+
+    def batch(documents, attempt, status):
+        sink(spark.createDataFrame(
+            [(attempt * 1000 + d, d, attempt, day, status) for d in documents],
+            "id long, document_id long, attempt_number long, created_at timestamp, status string"), 0)
+
+    def files():
+        return {f for f in glob.glob(f"{path}/of-32/bucket=*/*.parquet")}
+    batch(range(100), 1, "queued")
+    assert intake.stored_buckets(spark, path) == 8
+    batch(range(50, 300), 2, "running")
+    assert intake.stored_buckets(spark, path) == 32
+    before = files()
+    batch([7], 3, "completed")
+    batch([7], 3, "completed")          # delivered again
+    batch([7], 2, "failed")             # late
+    assert len(before - files()) == 1
+    got = {r["document_id"]: r["status"] for r in intake.read_merged(spark, path).collect()}
+    assert got == {d: "completed" if d == 7 else "queued" if d < 50 else "running" for d in range(300)}
