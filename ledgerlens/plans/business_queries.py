@@ -15,6 +15,7 @@ from ledgerlens.operators.extract import (
     FIELD_NAMES, best_candidates, candidates, extract_documents, flat_fields, page_lines,
     usable_pages, with_fallback)
 from ledgerlens.operators.search import active_runs, latest_completed
+from ledgerlens.operators.skew import running_start
 from ledgerlens.plans.corpus import Reconciliation, reconcile_pages
 from ledgerlens.plans.questions import capped
 from ledgerlens.plans.registry import query
@@ -23,6 +24,7 @@ from ledgerlens.sources import generator, run_store, sinks
 from ledgerlens.sources.rendered import policy_pages
 
 W = WORKSPACE
+HOUR = 3600
 
 
 def money(c: str):
@@ -42,9 +44,17 @@ def reconciled(t: Tables, persist: bool = False) -> Reconciliation:
 
 
 def numbered_log(t: Tables) -> DataFrame:
-    """The run log with attempt numbers, which the given events lack."""
-    by_time = Window.partitionBy("document_id").orderBy("created_at", "id")
-    return t.run_log().withColumn("attempt_number", F.row_number().over(by_time))
+    """The run log with attempt numbers, which the given events lack.
+
+    Counted inside hours and over the hours' totals, so that a document with very many
+    attempts is never one window.
+    """
+    log = t.run_log().withColumns({"second": F.coalesce(F.unix_seconds("created_at"), F.lit(0)),
+                                   "one": F.lit(1)})
+    placed = running_start(log, ["document_id"], ["created_at", "id"], "second", "one",
+                           "earlier", HOUR)
+    return placed.withColumn("attempt_number", F.col("earlier") + 1).drop(
+        "second", "one", "earlier")
 
 
 # --- business tables and the eight portfolio questions -------------------------------------

@@ -15,6 +15,7 @@ from ledgerlens.operators import answer, listing, search
 from ledgerlens.operators.chunk import chunk_pages, page_metadata
 from ledgerlens.operators.embed import EmbeddingSpec, embed_column
 from ledgerlens.operators.extract import usable_pages
+from ledgerlens.plans.questions import INTENT_RULES, answer_table
 from ledgerlens.plans.questions import answers as portfolio_answers
 from ledgerlens.plans.questions import question_error, question_intent
 from ledgerlens.plans.registry import query
@@ -109,43 +110,68 @@ _QUESTIONS = [
 
 
 def _portfolio_questions(t: Tables) -> DataFrame:
-    """Every turn asks one of the known questions."""
+    """Every turn in its own words, followed by one of the known questions."""
     texts = F.array(*[F.lit(q) for q, _ in _QUESTIONS])
+    known = F.element_at(
+        texts, ((F.col("conv_id") + F.col("turn")) % len(_QUESTIONS) + 1).cast("int"))
     return t.raw("conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
-        F.element_at(texts, ((F.col("conv_id") + F.col("turn")) % len(_QUESTIONS) + 1).cast("int"))
-        .alias("question"))
+        F.concat(F.coalesce("text", F.lit("")), F.lit(" "), known).alias("question"))
+
+
+def _rule_sql(rule) -> str:
+    """An intent rule over ``n``, the folded words of a question."""
+    tests = ["(contains(n, 'policy') OR contains(n, 'policies'))" if m == "polic"
+             else f"contains(n, '{m}')" for m in rule.mentions]
+    if rule.phrases:
+        tests.append("(" + " OR ".join(f"contains(' ' || n || ' ', ' {p} ')"
+                                       for p in rule.phrases) + ")")
+    return f"WHEN {' AND '.join(tests)} THEN '{rule.intent}'"
+
+
+TYPED = f"""typed AS (SELECT conv_id * 1000 + turn AS question_id, regexp_replace(coalesce(text, '')
+    || ' ' || [{', '.join(f"'{q}'" for q, _ in _QUESTIONS)}][(conv_id + turn) % 10 + 1],
+    '^[§]+|[§]+$', '', 'g') AS q FROM conversations),
+judged AS (SELECT question_id, CASE WHEN q = '' THEN 'empty' WHEN length(q) > 1000 THEN 'too_long'
+    END AS refused, CASE WHEN q = '' OR length(q) > 1000 THEN NULL
+    {' '.join(map(_rule_sql, INTENT_RULES))} END AS intent
+    FROM (SELECT *, trim(regexp_replace(lower(q), '[^a-z0-9]+', ' ', 'g')) AS n FROM typed)),
+results AS (
+    SELECT 'active_policies_without_payments' AS intent, count(*) AS answer_rows,
+        CAST(first(id ORDER BY policy_number, id) AS VARCHAR) AS top FROM policies
+        WHERE status = 'active' AND id NOT IN (SELECT policy_id FROM payments)
+    UNION ALL SELECT 'duplicate_policy_numbers', count(*), first(policy_number ORDER BY c DESC,
+        policy_number) FROM (SELECT policy_number, count(*) AS c FROM policies GROUP BY 1
+        HAVING count(*) > 1)
+    UNION ALL SELECT 'commissions_by_agent', count(*), first(s_name ORDER BY a DESC, s_name) FROM (
+        SELECT s_name, sum(net_amount) AS a FROM commissions JOIN supplier ON s_suppkey = agent_id
+        GROUP BY 1)
+    UNION ALL SELECT 'payments_by_carrier', count(*), first(n_name ORDER BY a DESC, n_name) FROM (
+        SELECT n_name, sum(amount) AS a FROM payments y JOIN policies p ON p.id = y.policy_id
+        JOIN nation ON n_nationkey = carrier_id GROUP BY 1)
+    UNION ALL SELECT 'policies_by_carrier', count(*), first(n_name ORDER BY c DESC, n_name) FROM (
+        SELECT n_name, count(*) AS c FROM policies JOIN nation ON n_nationkey = carrier_id
+        GROUP BY 1)
+    UNION ALL SELECT 'policy_status_summary', count(*), first(status ORDER BY c DESC, status)
+        FROM (SELECT status, count(*) AS c FROM policies GROUP BY 1)
+    UNION ALL SELECT 'active_policy_count', 1, CAST(count(*) FILTER (WHERE status = 'active')
+        AS VARCHAR) FROM policies
+    UNION ALL SELECT 'recent_policies', count(*), CAST(first(id ORDER BY effective_date DESC,
+        policy_number, id) AS VARCHAR) FROM policies)"""
+_PORTFOLIO = ["policies", "payments", "commissions"]
+
+
+@query("sc17_question_intent", ", " + TYPED + """
+SELECT question_id, refused AS error, intent FROM judged""", _PORTFOLIO)
+def _(t):
+    c = F.col("question")
+    return _portfolio_questions(t).select(
+        "question_id", question_error(c).alias("error"), question_intent(c).alias("intent"))
 
 
-@query("sc17_question_intent",
-       "SELECT conv_id * 1000 + turn AS question_id, CASE (conv_id + turn) % 10 "
-       + " ".join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(_QUESTIONS) if k)
-       + " END AS intent FROM conversations")
-def _(t):
-    return _portfolio_questions(t).select(
-        "question_id", question_intent(F.col("question")).alias("intent"))
-
-
-@query("tf17_answers_per_intent", """
-SELECT intent, questions, answer_rows FROM (
-    SELECT CASE (conv_id + turn) % 10 WHEN 0 THEN 'active_policies_without_payments'
-        WHEN 1 THEN 'active_policies_without_payments' WHEN 2 THEN 'duplicate_policy_numbers'
-        WHEN 3 THEN 'commissions_by_agent' WHEN 4 THEN 'payments_by_carrier'
-        WHEN 5 THEN 'policies_by_carrier' WHEN 6 THEN 'policy_status_summary'
-        WHEN 7 THEN 'active_policy_count' WHEN 8 THEN 'recent_policies' END AS intent,
-    count(*) AS questions FROM conversations GROUP BY 1) q JOIN (
-    SELECT 'active_policies_without_payments' AS intent, count(*) AS answer_rows FROM policies
-        WHERE status = 'active' AND id NOT IN (SELECT policy_id FROM payments)
-    UNION ALL SELECT 'duplicate_policy_numbers', count(*) FROM (SELECT 1 FROM policies
-        GROUP BY policy_number HAVING count(*) > 1)
-    UNION ALL SELECT 'commissions_by_agent', count(DISTINCT agent_id) FROM commissions
-    UNION ALL SELECT 'payments_by_carrier', count(DISTINCT carrier_id) FROM payments
-        JOIN policies ON id = policy_id
-    UNION ALL SELECT 'policies_by_carrier', count(DISTINCT carrier_id) FROM policies
-    UNION ALL SELECT 'policy_status_summary', count(DISTINCT status) FROM policies
-    UNION ALL SELECT 'active_policy_count', 1
-    UNION ALL SELECT 'recent_policies', count(*) FROM policies) r USING (intent)""",
-       ["policies", "payments", "commissions"])
+@query("tf17_answers_per_intent", ", " + TYPED + """
+SELECT intent, count(*) AS questions, answer_rows FROM judged JOIN results USING (intent)
+GROUP BY intent, answer_rows""", _PORTFOLIO)
 def _(t):
     groups = _portfolio_questions(t).select(question_intent(F.col("question")).alias("intent")) \
         .where(F.col("intent").isNotNull()).groupBy("intent").agg(F.count("*").alias("questions"))
@@ -157,6 +183,19 @@ def _(t):
     return groups.join(sizes, "intent")
 
 
+@query("tf17_question_answers", ", " + TYPED + """
+SELECT question_id, intent, coalesce(refused, CASE WHEN intent IS NULL THEN 'unsupported' END)
+    AS error, CAST(least(coalesce(answer_rows, 0), 500) AS INTEGER) AS row_count,
+    coalesce(answer_rows, 0) >= 500 AS limit_reached, top
+FROM judged LEFT JOIN results USING (intent)""", _PORTFOLIO)
+def _(t):
+    """Every question with its rows; of these the first value of the first row is compared."""
+    told = answer_table(t, _portfolio_questions(t), WORKSPACE)
+    top = F.regexp_extract(F.get("rows", F.lit(0)), r'^\{"[^"]+":"?([^",}]*)', 1)
+    return told.select("question_id", "intent", "error", "row_count", "limit_reached",
+                       top.alias("top"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in a.STOP_WORDS)
 
 

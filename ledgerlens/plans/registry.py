@@ -162,7 +162,7 @@ def with_views(names: list[str], body: str) -> str:
             if needed not in order:
                 order.append(needed)
     head = ",\n".join(SHARED[name] for name in order)
-    return f"WITH {head}\n{body}" if order else body
+    return f"WITH {head}{body if body.startswith(',') else chr(10) + body}" if order else body
 
 
 def query(name: str, sql: str | None = None, views: list[str] | None = None):
