@@ -6,6 +6,7 @@ names the white-space characters itself.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -111,6 +112,7 @@ def text_key(c: Column) -> Column:
     return blank_to_null(F.coalesce(plain, _fold_unicode(F.when(~is_ascii(c), c))))
 
 
+@functools.cache
 def _folding() -> tuple[dict[str, str], dict[str, str]]:
     """Lower-case characters that full case folding changes: to one, and to several."""
     other = {ch: ch.casefold() for ch in map(chr, range(0x80, 0x1e944))
@@ -120,11 +122,16 @@ def _folding() -> tuple[dict[str, str], dict[str, str]]:
 
 
 def fold_case(c: Column) -> Column:
-    """Full Unicode case folding: lower case, and what folding changes after that."""
+    """Full Unicode case folding: lower case, and what folding changes after that.
+
+    Text with characters that become several is put together anew from a literal map.
+    """
     single, several = _folding()
-    folded = F.translate(F.lower(c), "".join(single), "".join(single.values()))
-    for ch, text in several.items():
-        folded = F.replace(folded, F.lit(ch), F.lit(text))
+    simple = F.translate(F.lower(c), "".join(single), "".join(single.values()))
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    full = F.array_join(F.transform(
+        F.split(simple, ""), lambda ch: F.coalesce(table[ch], ch)), "")
+    folded = F.when(simple.rlike(f"[{''.join(several)}]"), full).otherwise(simple)
     return F.when(is_ascii(c), F.lower(c)).otherwise(folded)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.serialise import json_safe_rows, report_text
@@ -386,18 +386,25 @@ def _(t):
         "document_id", "policy_number.value", "policy_number.confidence_score")
 
 
-@query("wn5_best_candidate", """
-SELECT document_id, 'policy_number' AS field_name, number AS value, round(c1, 4)
-    AS confidence_score,
-    CASE WHEN number_penalty > 0 THEN 'labeled_next_line' ELSE 'labeled_line' END
-    AS extraction_method, 1 AS page_number FROM scored
-UNION ALL SELECT document_id, 'premium', CAST(premium AS VARCHAR), c8, 'labeled_line', 2
-FROM scored""", ["scored"])
+def _field_sql(name: str, value: str, score: str, page: int) -> str:
+    method = ("CASE WHEN number_penalty > 0 THEN 'labeled_next_line' ELSE 'labeled_line' END"
+              if name == "policy_number" else "'labeled_line'")
+    given = lambda x: f"CASE WHEN {value} IS NOT NULL THEN {x} END"
+    return (f"SELECT document_id, '{name}' AS field_name, CAST({value} AS VARCHAR) AS value, "
+            f"round({score}, 4) AS confidence_score, {given(method)} AS extraction_method, "
+            f"{given(page)} AS page_number FROM scored")
+
+
+@query("wn5_best_candidate", "\nUNION ALL ".join(_field_sql(*x) for x in [
+    ("policy_number", "number", "c1", 1), ("customer_name", "customer", "c2", 1),
+    ("carrier_name", "carrier", "c3", 1), ("plan_name", "plan", "c4", 1),
+    ("effective_date", "effective", "c5", 2), ("termination_date", "termination", "c6", 2),
+    ("signature_date", "signature", "c7", 2), ("premium", "premium", "c8", 2),
+    ("policy_status", "status", "c9", 2)]), ["scored"])
 def _(t):
     flat = flat_fields(extract_documents(usable_pages(policy_pages(t))))
-    return flat.where(F.col("field_name").isin("policy_number", "premium")).select(
-        "document_id", "field_name", "value", "confidence_score", "extraction_method",
-        "page_number")
+    return flat.select("document_id", "field_name", "value", "confidence_score",
+                       "extraction_method", "page_number")
 
 
 @query("wn8_next_line_value", """

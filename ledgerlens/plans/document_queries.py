@@ -737,15 +737,20 @@ SELECT c_custkey AS question_id, CASE c_custkey % 10
     WHEN 6 THEN 'The number of LOP days is 2.'
     WHEN 7 THEN 'The policy number is PN-' || c_custkey || '.'
     WHEN 8 THEN 'The pay date is 05/31/2026.' END AS answer_statement,
-    CASE c_custkey % 10 WHEN 7 THEN 'Customer: Bo Ray; Policy Number: PN-' || c_custkey
-    WHEN 1 THEN 'Pay Period: May 2026' WHEN 5 THEN 'Paid Days: 30' END AS excerpt FROM customer""")
+    CASE c_custkey % 10
+    WHEN 0 THEN 'Gross Earnings: $' || CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR)
+    WHEN 1 THEN 'Pay Period: May 2026' WHEN 2 THEN 'Employee Name: Ann Lee'
+    WHEN 3 THEN 'Employee ID: E-' || c_custkey WHEN 4 THEN 'Designation: Clerk'
+    WHEN 5 THEN 'Paid Days: 30' WHEN 6 THEN 'LOP Days: 2'
+    WHEN 7 THEN 'Customer: Bo Ray; Policy Number: PN-' || c_custkey
+    WHEN 8 THEN 'Pay Date: 05/31/2026'
+    ELSE 'Employee Name: Ann Lee, 4711 Designation: Clerk # 7 Pay Period: May 2026'
+    END AS excerpt FROM customer""")
 def _(t):
     slips = payslips(t).withColumnRenamed("id", "question_id")
     hits = slips.select("question_id", F.col("text").alias("text_content"),
                         F.lit(0.5).alias("similarity_score"), F.lit(1).alias("rank"))
-    found = answer.hit_excerpts(slips, hits)
-    return found.select("question_id", "answer_statement", F.when(
-        (F.col("question_id") % 10).isin(1, 5, 7), F.col("excerpt")).alias("excerpt"))
+    return answer.hit_excerpts(slips, hits).select("question_id", "answer_statement", "excerpt")
 
 
 # --- streams --------------------------------------------------------------------------------

@@ -244,7 +244,7 @@ def test_full_case_folding(spark):
     from ledgerlens.functions.text import casefold_ascii_words, fold_case
     texts = ["show proﬁt", "Straße STRAẞE", "ſmall Kelvin",
              "ΟΔΟΣ ς", "ﬃ ǰ ŉ", "PLAIN text", None,
-             "İx ᾀ Ꭰ ꭰ"]
+             "İx ᾀ Ꭰ ꭰ", "\U00010400 ŉ \U0001f600 ﬃ"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
     got = {r["i"]: r for r in df.select("i", fold_case(F.col("v")).alias("f"),
                                         casefold_ascii_words(F.col("v")).alias("w")).collect()}
