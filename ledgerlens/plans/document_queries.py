@@ -10,7 +10,7 @@ from ledgerlens.functions import text as tx
 from ledgerlens.functions.serialise import excel_cell, formula_safe, merge_metadata
 from ledgerlens.functions.values import question_text
 from ledgerlens.functions.vectors import cosine_distance, similarity, vector_error
-from ledgerlens.model import WORKSPACE, Tables
+from ledgerlens.model import SECOND_WORKSPACE, WORKSPACE, Tables
 from ledgerlens.operators import answer, listing, search
 from ledgerlens.operators.chunk import chunk_pages, page_metadata
 from ledgerlens.operators.embed import EmbeddingSpec, embed_column
@@ -683,6 +683,58 @@ def _(t):
         "end_character", "similarity_score", "cosine_distance", "embedding_model")
 
 
+def two_runs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Chunks and runs of two attempts at every document; the second of each third document
+    failed. Documents with odd ids belong to another tenant."""
+    tenant = F.when(F.col("document_id") % 2 == 0, WORKSPACE).otherwise(SECOND_WORKSPACE)
+    run = F.col("document_id") * 10 + F.col("attempt_number")
+    tries = t.document_pages().withColumn("attempt_number", F.explode(F.array(F.lit(1), F.lit(2))))
+    pages = tries.withColumns({"processing_run_id": run, "workspace_id": tenant}).drop(
+        "attempt_number")
+    failed = (F.col("attempt_number") == 2) & (F.col("document_id") % 3 == 0)
+    runs = tries.select(
+        run.alias("id"), tenant.alias("workspace_id"), "document_id", "attempt_number",
+        F.when(failed, "failed").otherwise("completed").alias("status"),
+        F.lit("2026-01-01").cast("timestamp").alias("created_at"))
+    return cut_lineage(index_pages(pages, SPEC, pages_per_run=1)), runs
+
+
+def _vector_sql(out: str, source: str, key: str, text: str) -> str:
+    """Unit vectors of the hashing model, one row a slot."""
+    return f"""{out}_slots AS (SELECT {key}, CAST('0x' || substring(md5(w), 1, 7) AS BIGINT) % 64
+    AS slot, CAST(sum(CASE WHEN substring(md5(w), 8, 1) < '8' THEN 1 ELSE -1 END) AS DOUBLE) AS v
+    FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS w FROM {source})
+    GROUP BY ALL),
+{out}_stored AS (SELECT {key}, slot, CAST(CAST(v / sqrt(sum(v * v) OVER (PARTITION BY {key}))
+    AS FLOAT) AS DOUBLE) AS x FROM {out}_slots
+    QUALIFY sum(v * v) OVER (PARTITION BY {key}) > 0),
+{out} AS (SELECT {key}, slot, x / sqrt(sum(x * x) OVER (PARTITION BY {key})) AS x
+    FROM {out}_stored)"""
+
+
+@query("tf5_scoped_search", f"""{CHUNK_STEPS}, {ASKED},
+own AS (SELECT doc_id, start, substring(n, start + 1, stop - start) AS p FROM step
+    WHERE doc_id % 2 = 0),
+{_vector_sql('c', 'own', 'doc_id, start', 'p')},
+{_vector_sql('q', 'asked', 'question_id', 'text')},
+pairs AS (SELECT question_id, doc_id, start, 1 - sum(q.x * c.x) AS distance
+    FROM q JOIN c USING (slot) GROUP BY ALL)
+SELECT question_id, rank, round(round(distance, 6), 4) AS distance, true AS live FROM (
+    SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance) AS rank FROM pairs
+    WHERE distance <= 1) WHERE rank <= 8""")
+def _(t):
+    """Only the latest completed run and one tenant are searched, in an index that holds more."""
+    from ledgerlens.operators.embed import embed_queries
+    chunks, runs = two_runs(t)
+    live = search.searchable(chunks, runs, None, WORKSPACE)
+    hits = search.nearest(embed_queries(asked(t), "question", SPEC), live, 64)
+    latest = F.col("document_id") * 10 + F.when(F.col("document_id") % 3 == 0, 1).otherwise(2)
+    right = (F.col("processing_run_id") == latest) & (F.col("document_id") % 2 == 0)
+    return search.hit_rows(hits, chunks).select(
+        "question_id", "rank", F.round("cosine_distance", 4).alias("distance"),
+        right.alias("live"))
+
+
 @query("tf6_grounded_answers", None)
 def _(t):
     out = answer_questions(asked(t), ready_chunks(t), SPEC)

@@ -161,6 +161,12 @@ def test_answers(spark):
     got = {r["question_id"]: r for r in answer_questions(
         questions, chunks, spec, minimum_similarity=0.05).collect()}
     assert set(got) == {1, 2, 4}
+    run = chunks.select(F.col("processing_run_id").alias("id"), "document_id", "workspace_id").distinct() \
+        .withColumns({"attempt_number": F.lit(1), "created_at": F.current_timestamp()})
+    for status, grounded in (("completed", {1: True, 2: True, 4: False}), ("failed", dict.fromkeys((1, 2, 4), False))):
+        scoped = answer_questions(questions, chunks, spec, minimum_similarity=0.05,
+                                  runs=run.withColumn("status", F.lit(status))).collect()
+        assert {r["question_id"]: r["is_grounded"] for r in scoped} == grounded
     assert got[1]["answer"] == "The harbour opens at nine. [1]"
     assert got[2]["answer"] == "The policy number is PN-77. [1]"
     assert got[2]["citations"][0]["excerpt"] == "Customer: Ann Lee; Policy Number: PN-77"
