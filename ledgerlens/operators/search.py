@@ -222,35 +222,3 @@ def hit_rows(hits: DataFrame, chunks: DataFrame, documents: DataFrame | None = N
     if documents is not None:
         full = full.join(documents.select("document_id", "document_name"), "document_id", "left")
     return full.withColumn("cosine_distance", F.round("cosine_distance", 6))
-
-
-def nearest_approximate(questions: DataFrame, chunks: DataFrame, k: int | None = None,
-                        minimum_similarity: float = 0.0, bucket: float = 0.5,
-                        tables: int = 8, seed: int = 7) -> DataFrame:
-    """Optional index-like search: random projections on unit vectors.
-
-    May miss neighbours, as any such index may; never returns a wrong distance.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    k = check_search(k, minimum_similarity)
-
-    def unit(df: DataFrame, column: str) -> DataFrame:
-        raw = df.withColumn("raw", array_to_vector(F.col(column).cast("array<double>")))
-        return Normalizer(inputCol="raw", outputCol="features").transform(raw).drop("raw", column)
-
-    left = unit(questions.select("question_id", "vector"), "vector")
-    right = unit(chunks.select("chunk_id", "document_id", "chunk_index", "embedding"), "embedding")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", seed=seed,
-                                        bucketLength=bucket, numHashTables=tables).fit(right)
-    # on unit vectors the squared Euclidean distance is twice the cosine distance
-    reach = float(np.sqrt(max(0.0, 2.0 * (1.0 - minimum_similarity)))) + 1e-9
-    pairs = model.approxSimilarityJoin(left, right, reach, distCol="euclid").select(
-        F.col("datasetA.question_id").alias("question_id"), F.col("datasetB.chunk_id"),
-        F.col("datasetB.document_id"), F.col("datasetB.chunk_index"),
-        (F.col("euclid") * F.col("euclid") / 2).alias("cosine_distance"))
-    best_first = Window.partitionBy("question_id").orderBy(
-        "cosine_distance", "document_id", "chunk_index")
-    return (pairs.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
-            .withColumn("similarity_score", similarity(F.col("cosine_distance"))))

@@ -11,7 +11,7 @@ from ledgerlens.functions.serialise import excel_cell, formula_safe, merge_metad
 from ledgerlens.functions.values import question_text
 from ledgerlens.functions.vectors import cosine_distance, similarity, vector_error
 from ledgerlens.model import SECOND_WORKSPACE, WORKSPACE, Tables
-from ledgerlens.operators import answer, listing, search
+from ledgerlens.operators import answer, cells, listing, search
 from ledgerlens.operators.chunk import chunk_pages, page_metadata
 from ledgerlens.operators.embed import EmbeddingSpec, embed_column
 from ledgerlens.operators.extract import usable_pages
@@ -633,12 +633,32 @@ def _(t):
         "vec_id", F.round(similarity(d), 4).alias("score"))
 
 
+def cell_index(t: Tables) -> cells.CellIndex:
+    return cells.write_cells(vector_chunks(t), 64, scratch_path(t.spark, "cells"))
+
+
 @query("tk1_approximate_search", None)
 def _(t):
-    hits = search.nearest_approximate(centres(t), vector_chunks(t), 8, 0.0)
+    hits = cells.nearest_in_cells(centres(t), cell_index(t), 8, 0.0)
     return hits.select("question_id", "chunk_index", "rank", "similarity_score")
 
 
+@query("tk1_recall_of_cells", """
+SELECT count(*) AS questions, true AS recall_reached FROM embeddings WHERE vec_id % 50 = 0""")
+def _(t):
+    """Every fiftieth vector asks; its hits are held against the exact ones."""
+    index, chunks = cell_index(t), vector_chunks(t)
+    asking = chunks.where(F.col("chunk_index") % 50 == 0).select(
+        F.col("chunk_index").alias("question_id"), F.col("embedding").alias("vector"))
+    found = cells.nearest_in_cells(asking, index, 8, -1.0).select(
+        "question_id", "chunk_id", F.lit(1).alias("found"))
+    exact = search.nearest(asking, chunks, 64, 8, -1.0).join(
+        found, ["question_id", "chunk_id"], "left")
+    return exact.groupBy("question_id").agg(
+        (F.count("found") / F.count("*")).alias("recall")).agg(
+        F.count("*").alias("questions"), (F.avg("recall") >= 0.9).alias("recall_reached"))
+
+
 def ready_chunks(t: Tables) -> DataFrame:
     """The chunk index, written once: search and answers read it twice."""
     return cut_lineage(index_pages(t.document_pages(), SPEC, pages_per_run=1).where(F.col("status") == "ready"))
