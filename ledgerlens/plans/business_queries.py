@@ -9,7 +9,7 @@ from ledgerlens.functions.serialise import json_safe_rows, report_text
 from ledgerlens.functions.text import full_name, identifier_key
 from ledgerlens.functions.values import document_date, document_money, record_date, record_money
 from ledgerlens.model import WORKSPACE, Tables
-from ledgerlens.operators import catalogue, listing, portfolio, quality, report
+from ledgerlens.operators import catalogue, listing, portfolio, quality, report, tenants
 from ledgerlens.operators import reconcile as rec
 from ledgerlens.operators.extract import (
     FIELD_NAMES, best_candidates, candidates, extract_documents, flat_fields, page_lines,
@@ -81,6 +81,65 @@ def _(t):
         F.sum("premium").cast("decimal(38,2)").cast("string").alias("total_premium"))
 
 
+_TENANT_SQL = """
+tenants(w, odd, tail) AS (VALUES ('11111111-1111-4111-8111-111111111111', 0, ''),
+    ('22222222-2222-4222-8222-222222222222', 1, ' B')),
+own_policies AS (SELECT w, p.* FROM policies p JOIN tenants ON id % 2 = odd),
+own_payments AS (SELECT w, y.* FROM payments y JOIN tenants ON (policy_id % 3 = 0)::INT = odd),
+own_commissions AS (SELECT w, c.* FROM commissions c
+    JOIN tenants ON (policy_id % 3 = 0)::INT = odd),
+own_carriers AS (SELECT w, n_nationkey AS carrier_id, n_name || tail AS name FROM nation, tenants),
+own_agents AS (SELECT w, s_suppkey AS agent_id, s_name || tail AS name FROM supplier, tenants)
+"""
+
+
+@query("src2_two_tenants", f""", {_TENANT_SQL}
+SELECT w AS workspace_id, 'policies_by_carrier' AS question, name, count(*) AS n,
+    CAST(NULL AS VARCHAR) AS total FROM own_policies JOIN own_carriers USING (w, carrier_id)
+GROUP BY ALL
+UNION ALL SELECT y.w, 'payments_by_carrier', name, count(*),
+    CAST(CAST(sum(amount) AS DECIMAL(38,2)) AS VARCHAR) FROM own_payments y
+    JOIN own_policies p ON p.w = y.w AND p.id = y.policy_id
+    JOIN own_carriers c ON c.w = y.w AND c.carrier_id = p.carrier_id GROUP BY y.w, name
+UNION ALL SELECT w, 'commissions_by_agent', name, count(*),
+    CAST(CAST(sum(net_amount) AS DECIMAL(38,2)) AS VARCHAR) FROM own_commissions
+    JOIN own_agents USING (w, agent_id) GROUP BY w, name""",
+       ["policies", "payments", "commissions"])
+def _(t):
+    """Two tenants whose ids cross: carriers and agents have the same ids under other names,
+    and a third of each tenant's payments belong to policies of the other one."""
+    from ledgerlens.model import SECOND_WORKSPACE
+    by = lambda odd: F.when(odd, SECOND_WORKSPACE).otherwise(W)
+    twice = lambda df: df.withColumn("workspace_id", F.explode(
+        F.array(F.lit(W), F.lit(SECOND_WORKSPACE)))).withColumn("name", F.concat(
+            "name", F.when(F.col("workspace_id") == W, "").otherwise(" B")))
+    stored = {
+        "policies": t.policies().withColumn("workspace_id", by(F.col("id") % 2 == 1)),
+        "payments": t.payments().withColumn("workspace_id", by(F.col("policy_id") % 3 == 0)),
+        "commissions": t.commissions().withColumn("workspace_id", by(F.col("policy_id") % 3 == 0)),
+        "carriers": twice(t.carriers()), "agents": twice(t.agents())}
+    folder = scratch_path(t.spark, "tenants")
+    tenants.write_tables(stored, folder)
+    own = tenants.read_tables(t.spark, folder, list(stored))
+    out = None
+    for w in (W, SECOND_WORKSPACE):
+        answers = {
+            "policies_by_carrier": portfolio.policies_by_carrier(
+                own["policies"], own["carriers"], w).withColumn("total", F.lit(None)),
+            "payments_by_carrier": portfolio.payments_by_carrier(
+                own["payments"], own["policies"], own["carriers"], w),
+            "commissions_by_agent": portfolio.commissions_by_agent(
+                own["commissions"], own["agents"], None, w)}
+        for question, df in answers.items():
+            name, n, total = tenants.require_tenant(df, w).columns
+            part = df.select(
+                F.lit(w).alias("workspace_id"), F.lit(question).alias("question"),
+                F.col(name).alias("name"), F.col(n).alias("n"),
+                F.col(total).cast("decimal(38,2)").cast("string").alias("total"))
+            out = part if out is None else out.unionAll(part)
+    return out
+
+
 _COLUMNS = {
     "insurance_carriers": ("nation", {"id": "n_nationkey", "name": "n_name",
                                       "workspace_id": "1"}),
