@@ -125,7 +125,7 @@ FAMILIES = (
            r"postgresql\.org/about/licence"),
     Family("openssl", "openssl", rf"openssl{S}licen[cs]e", r"openssl", (),
            r"openssl\.org/source/license"),
-    Family("ncsa", "illinois", rf"(?:university{S}of{S}illinois|ncsa).{{0,40}}licen[cs]e", r"ncsa",
+    Family("ncsa", "illinois", rf"university{S}of{S}illinois.{{0,40}}licen[cs]e", r"ncsa",
            (), r"opensource\.org/licen[cs]es?/ncsa"),
     Family("upl", "universal permissive", rf"{w('universal permissive licen')}[cs]e", r"upl",
            ("1.0",), r"opensource\.org/licen[cs]es?/upl"),
@@ -173,8 +173,93 @@ STATEMENTS = (
          w("all rights reserved")),
     Rule("proprietary", "proprietary", 60, ("proprietary",),
          rf"proprietary{S}(?:and{S}confidential|licen[cs]e)"),
-    Rule("unnamed-notice", "unknown", 10, ("licen",),
-         rf"(?:licen[cs]ed|released|distributed){S}under{S}(?:the{S}terms{S}of{S})?"),
+    Rule("unnamed-notice", "unknown", 10, ("licen",), rf"licen[cs]ed{S}under\b"),
+    Rule("unnamed-release", "unknown", 10, ("released under",), rf"released{S}under\b"),
+    Rule("unnamed-distribution", "unknown", 10, ("distributed under",), rf"distributed{S}under\b"),
+)
+
+# Short forms as people write them; each with its own keyword, tried beside the rules of the
+# families. L: the word licence; D: what may stand before a version.
+L = r"licen[cs]e"
+D = r"[\s-]{0,2}(?:version[\s-]{0,2}|v(?:er)?\.?\s?)?"
+LATER = r"(?:-only|-or-later|\+)?(?![\w.]*\d)"
+SHORT = (
+    Rule("gpl-1.0:short", "gpl-1.0", 82, ("gpl",), rf"\b(?:gnu[\s-])?gpl{D}1(?:\.0)?{LATER}"),
+    Rule("gpl-2.0:short", "gpl-2.0", 82, ("gpl",), rf"\b(?:gnu[\s-])?gpl{D}2(?:\.0)?{LATER}"),
+    Rule("gpl-3.0:short", "gpl-3.0", 82, ("gpl",), rf"\b(?:gnu[\s-])?gpl{D}3(?:\.0)?{LATER}"),
+    Rule("gpl:short", "gpl", 48, ("gpl",), r"\b(?:gnu[\s-])?gpl\b"),
+    Rule("lgpl-2.0:short", "lgpl-2.0", 82, ("lgpl",), rf"\b(?:gnu[\s-])?lgpl{D}2(?:\.0)?{LATER}"),
+    Rule("lgpl-2.1:short", "lgpl-2.1", 82, ("lgpl",), rf"\b(?:gnu[\s-])?lgpl{D}2\.1{LATER}"),
+    Rule("lgpl-3.0:short", "lgpl-3.0", 82, ("lgpl",), rf"\b(?:gnu[\s-])?lgpl{D}3(?:\.0)?{LATER}"),
+    Rule("lgpl:short", "lgpl", 48, ("lgpl",), r"\b(?:gnu[\s-])?lgpl\b"),
+    Rule("agpl-3.0:short", "agpl-3.0", 82, ("agpl",), rf"\b(?:gnu[\s-])?agpl{D}3(?:\.0)?{LATER}"),
+    Rule("agpl:short", "agpl", 48, ("agpl",), r"\b(?:gnu[\s-])?agpl\b"),
+    Rule("gfdl:short", "gfdl", 48, ("gfdl",), r"\bgfdl\b"),
+    Rule("gfdl-1.3:short", "gfdl-1.3", 82, ("gfdl",), rf"\bgfdl{D}1\.3{LATER}"),
+    Rule("apache-1.1:short", "apache-1.1", 82, ("apache 1 1",), r"\bapache[\s-]1\.1(?![\w.]*\d)"),
+    Rule("apache-2.0:short", "apache-2.0", 82, ("apache 2",),
+         rf"\bapache[\s-]2(?:\.0)?(?![\w.]*\d)(?:{S}{L})?"),
+    Rule("apache-2.0:version", "apache-2.0", 82, ("apache v",),
+         rf"\bapache[\s-]v(?:ersion\s)?\.?2(?:\.0)?(?![\w.]*\d)(?:{S}{L})?"),
+    Rule("apache-2.0:asl", "apache-2.0", 78, ("asl 2",), r"\basl[\s-]2(?:\.0)?(?![\w.]*\d)"),
+    Rule("mit:expat", "mit", 60, ("expat",), rf"\bexpat{S}{L}\b"),
+    Rule("mit:style", "mit", 55, ("mit style",), rf"\bmit[\s-]style{S}{L}\b"),
+    Rule("mit:licensed", "mit", 55, ("mit licensed",), r"\bmit[\s-]licen[cs]ed\b"),
+    Rule("mit-0:short", "mit-0", 82, ("mit 0",), r"\bmit-0\b"),
+    Rule("bsd-1-clause:short", "bsd-1-clause", 84, ("bsd 1 clause",),
+         rf"\bbsd[\s-]1[\s-]clause\b(?:{S}{L})?"),
+    Rule("bsd-2-clause:short", "bsd-2-clause", 84, ("bsd 2 clause",),
+         rf"\bbsd[\s-]2[\s-]clause\b(?:{S}{L})?"),
+    Rule("bsd-3-clause:short", "bsd-3-clause", 84, ("bsd 3 clause",),
+         rf"\bbsd[\s-]3[\s-]clause\b(?:{S}{L})?"),
+    Rule("bsd-4-clause:short", "bsd-4-clause", 84, ("bsd 4 clause",),
+         rf"\bbsd[\s-]4[\s-]clause\b(?:{S}{L})?"),
+    Rule("bsd-2-clause:front", "bsd-2-clause", 84, ("2 clause bsd",),
+         rf"\b2[\s-]clause[\s-]bsd\b(?:{S}{L})?"),
+    Rule("bsd-3-clause:front", "bsd-3-clause", 84, ("3 clause bsd",),
+         rf"\b3[\s-]clause[\s-]bsd\b(?:{S}{L})?"),
+    Rule("bsd-4-clause:front", "bsd-4-clause", 84, ("4 clause bsd",),
+         rf"\b4[\s-]clause[\s-]bsd\b(?:{S}{L})?"),
+    Rule("bsd-2-clause:words", "bsd-2-clause", 84, ("two clause bsd",),
+         rf"\btwo[\s-]clause[\s-]bsd\b(?:{S}{L})?"),
+    Rule("bsd-3-clause:words", "bsd-3-clause", 84, ("three clause bsd",),
+         rf"\bthree[\s-]clause[\s-]bsd\b(?:{S}{L})?"),
+    Rule("bsd:style", "bsd", 55, ("bsd style",), rf"\bbsd[\s-]style{S}{L}\b"),
+    Rule("bsd:licensed", "bsd", 55, ("bsd licensed",), r"\bbsd[\s-]licen[cs]ed\b"),
+    Rule("bsd-0-clause:short", "0bsd", 82, ("0bsd",), r"\b0bsd\b"),
+    Rule("mpl-1.1:short", "mpl-1.1", 82, ("mpl",), rf"\bmpl{D}1\.1{LATER}"),
+    Rule("mpl-2.0:short", "mpl-2.0", 82, ("mpl",), rf"\bmpl{D}2(?:\.0)?{LATER}"),
+    Rule("epl-1.0:short", "epl-1.0", 82, ("epl",), rf"\bepl{D}1(?:\.0)?{LATER}"),
+    Rule("epl-2.0:short", "epl-2.0", 82, ("epl",), rf"\bepl{D}2(?:\.0)?{LATER}"),
+    Rule("cddl-1.0:short", "cddl-1.0", 82, ("cddl",), rf"\bcddl{D}1(?:\.0)?{LATER}"),
+    Rule("cddl-1.1:short", "cddl-1.1", 82, ("cddl",), rf"\bcddl{D}1\.1{LATER}"),
+    Rule("cddl:short", "cddl", 48, ("cddl",), r"\bcddl\b"),
+    Rule("eupl-1.2:short", "eupl-1.2", 82, ("eupl",), rf"\beupl{D}1\.2{LATER}"),
+    Rule("eupl:short", "eupl", 48, ("eupl",), r"\beupl\b"),
+    Rule("sspl-1.0:short", "sspl-1.0", 82, ("sspl",), rf"\bsspl{D}1(?:\.0)?{LATER}"),
+    Rule("busl-1.1:short", "busl-1.1", 82, ("busl",), rf"\bbusl{D}1\.1{LATER}"),
+    Rule("boost-1.0:short", "boost-1.0", 82, ("bsl 1 0",), r"\bbsl[\s-]1\.0\b"),
+    Rule("osl-3.0:short", "osl-3.0", 82, ("osl 3",), rf"\bosl{D}3(?:\.0)?{LATER}"),
+    Rule("afl-3.0:short", "afl-3.0", 82, ("afl 3",), rf"\bafl{D}3(?:\.0)?{LATER}"),
+    Rule("ofl-1.1:short", "ofl-1.1", 82, ("ofl 1 1",), r"\b(?:sil[\s-])?ofl[\s-]1\.1\b"),
+    Rule("odbl-1.0:short", "odbl-1.0", 82, ("odbl 1 0",), r"\bodbl[\s-]1\.0\b"),
+    Rule("odbl:short", "odbl", 48, ("odbl",), r"\bodbl\b"),
+    Rule("psf-2.0:short", "psf-2.0", 82, ("psf 2 0",), r"\bpsf[\s-]2\.0\b"),
+    Rule("artistic-2.0:short", "artistic-2.0", 82, ("artistic 2 0",), r"\bartistic[\s-]2\.0\b"),
+    Rule("ncsa:short", "ncsa", 60, ("ncsa",), rf"\bncsa{S}(?:open{S}source{S})?{L}\b"),
+    Rule("ms-pl:short", "ms-pl", 60, ("ms pl",), r"\bms-pl\b"),
+    Rule("upl-1.0:short", "upl-1.0", 82, ("upl 1 0",), r"\bupl[\s-]1\.0\b"),
+    Rule("isc:licensed", "isc", 55, ("isc licensed",), r"\bisc[\s-]licen[cs]ed\b"),
+    Rule("zlib:style", "zlib", 55, ("zlib style",), rf"\bzlib[\s-]style{S}{L}\b"),
+    Rule("cc0-1.0:short", "cc0-1.0", 84, ("cc0 1 0",), r"\bcc0[\s-]1\.0\b"),
+    Rule("copyleft", "copyleft", 30, ("copyleft",), r"\bcopyleft\b"),
+    Rule("fair-source", "fair-source", 60, ("fair source",), rf"\bfair{S}source{S}{L}\b"),
+    Rule("polyform", "polyform", 60, ("polyform",),
+         rf"\bpolyform{S}(?:noncommercial|shield|strict|perimeter|small{S}business)\b"),
+    Rule("commons-clause", "commons-clause", 60, ("commons clause",), rf"\bcommons{S}clause\b"),
+    Rule("beerware", "beerware", 60, ("beerware",), r"\bbeerware\b"),
+    Rule("no-license", "proprietary", 40, ("no part of this",),
+         rf"no{S}part{S}of{S}this.{{0,60}}may{S}be{S}reproduced"),
 )
 
 
@@ -220,7 +305,13 @@ def build_rules() -> list[Rule]:
         rules.append(Rule(f"cc-{tail}:long", f"cc-{tail}", 60, ("creative commons",), long))
         rules.append(Rule(f"cc-{tail}:link", f"cc-{tail}", 65, ("creativecommons",),
                           rf"creativecommons\.org/licen[cs]es/{tail}/"))
-    rules.extend(STATEMENTS)
+        rules.append(Rule(f"cc-{tail}:named", f"cc-{tail}", 66, ("creative commons",),
+                          rf"creative{S}commons{S}{tail.replace('-', '[- ]')}(?![\w-])"))
+        for v in CC_VERSIONS:
+            rules.append(Rule(f"cc-{tail}-{v}:named", f"cc-{tail}-{v}", 86, ("creative commons",),
+                              rf"creative{S}commons{S}{tail.replace('-', '[- ]')}[\s-]{{1,3}}"
+                              rf"{re.escape(v)}(?![\w.]*\d)"))
+    rules.extend(STATEMENTS + SHORT)
     return sorted(rules, key=lambda r: (-r.priority, r.name))
 
 
