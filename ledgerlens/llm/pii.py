@@ -3,11 +3,12 @@
 Base patterns run on the text as it is. Texts that may hide something go through a chain of
 transducers, each of which rewrites characters and keeps for every output character the
 source interval it comes from: look-alike letters and full-width or mathematical forms
-become ASCII and invisible characters vanish; bracketed or worded "at" and "dot" become @
-and a point; spelled digits become digits. The same detectors run on the result, and what
+become ASCII and invisible characters vanish; bracketed, worded, spaced or coded "at" and
+"dot" become @ and a point; spelled digits become digits. The same detectors run on the result, and what
 they find is mapped back to source characters. Found spans that a base span of their
 kind equals or contains add nothing; one that reaches beyond it stands beside it.
 
+Matches that begin at one place are told apart by kind, in the order of ``KINDS``, then end.
 Null text counts as empty and has no spans; repeated rows are scanned each for itself; an
 empty table gives an empty table; input columns named like an added one are replaced. All
 steps are linear in the length of the text.
@@ -44,11 +45,12 @@ INVISIBLE = frozenset("\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2
 DIGITS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
     "six": "6", "seven": "7", "eight": "8", "nine": "9",
-    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "sechs": "6",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5",
+    "fuenf": "5", "sechs": "6",
     "sieben": "7", "acht": "8", "neun": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5",
     "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
-    "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7",
     "huit": "8", "neuf": "9",
 }
 AT_WORDS = "at|arroba|arobase"
@@ -69,6 +71,16 @@ NUMBER = "|".join(sorted(DIGITS, key=len, reverse=True))
 SPELLED = re.compile(
     rf"\b(?:plus[\s,-]{{1,3}})?(?:{NUMBER}|[0-9])(?:(?:[\s,-]{{1,3}}|{GAP}(?:{DOT_WORDS}){GAP}"
     rf"|\.)(?:{NUMBER}|[0-9])){{5,}}\b", re.IGNORECASE)
+# four numbers with worded or plain points between, each of one to three digits or digit words
+OCTET = rf"(?:[0-9]{{1,3}}|(?:{NUMBER})(?:[\s-]{{1,3}}(?:{NUMBER})){{0,2}})"
+WORDED_IP = re.compile(rf"\b{OCTET}(?:(?:{GAP}(?:{DOT_WORDS}){GAP}|\.){OCTET}){{3}}\b", re.IGNORECASE)
+# @ with blanks around it, character references, percent encoding
+SPACED_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:[^\S\n]{1,3}@[^\S\n]{0,3}|@[^\S\n]{1,3})"
+                       r"(?=[A-Za-z0-9-]+\.[A-Za-z])")
+CODED_AT = re.compile(r"&#0{0,5}64;|&#x0{0,5}40;|&commat;|(?<=[A-Za-z0-9_+-])%40(?=[A-Za-z0-9])",
+                      re.IGNORECASE)
+CODED_DOT = re.compile(r"&#0{0,5}46;|&#x0{0,5}2e;|&period;|(?<=[A-Za-z0-9_+-])%2e(?=[A-Za-z0-9])",
+                       re.IGNORECASE)
 SPELLED_PART = re.compile(rf"({NUMBER}|[0-9])|(plus)|({DOT_WORDS}|\.)|[\s,-]+", re.IGNORECASE)
 
 # What a text must hold for one of the patterns above to change it
@@ -76,6 +88,7 @@ BRACKETED = re.compile(rf"[\[({{<]\s{{0,3}}(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s{{0,
                        re.IGNORECASE)
 AT_WORD = re.compile(rf"\s(?:{AT_WORDS})\s", re.IGNORECASE)
 DOT_WORD = re.compile(rf"\s(?:{DOT_WORDS})\s", re.IGNORECASE)
+INNER_POINT = re.compile(r"\.\w")
 TOKEN = re.compile(r"\w+")
 SPOKEN = frozenset(DIGITS) | frozenset("0123456789")
 
@@ -162,9 +175,12 @@ def fold_characters(tape: Tape) -> Tape:
 
 
 def fold_marks(tape: Tape) -> Tape:
-    """Bracketed and worded "at" and "dot" to @ and point."""
+    """Coded, bracketed, spaced and worded "at" and "dot" to @ and point."""
+    for pattern, mark in ((CODED_AT, "@"), (CODED_DOT, ".")):
+        tape = tape.rewrite([(m.start(), m.end(), mark) for m in pattern.finditer(tape.text)])
     tape = tape.rewrite([(m.start(), m.end(), "@") for m in AT_BRACKET.finditer(tape.text)])
     tape = tape.rewrite([(m.start(), m.end(), ".") for m in DOT_BRACKET.finditer(tape.text)])
+    tape = tape.rewrite([(m.start(), m.end(), "@") for m in SPACED_AT.finditer(tape.text)])
     parts = [(p.start(), p.end(), "@" if p.group("at") else ".")
              for m in WORDED.finditer(tape.text)
              for p in WORDED_PART.finditer(tape.text, m.start(), m.end())]
@@ -172,14 +188,17 @@ def fold_marks(tape: Tape) -> Tape:
 
 
 def fold_digits(tape: Tape) -> Tape:
-    """Runs of six or more spelled digits to digits, points between them kept."""
-    parts = []
-    for m in SPELLED.finditer(tape.text):
-        for p in SPELLED_PART.finditer(tape.text, m.start(), m.end()):
-            digit, plus, point = p.groups()
-            new = DIGITS.get(digit.lower(), digit) if digit else "+" if plus else "." * bool(point)
-            parts.append((p.start(), p.end(), new))
-    return tape.rewrite(parts) if parts else tape
+    """Runs of six or more spelled digits, and four numbers with worded points, to digits;
+    points between them are kept."""
+    for pattern in (WORDED_IP, SPELLED):
+        parts = []
+        for m in pattern.finditer(tape.text):
+            for p in SPELLED_PART.finditer(tape.text, m.start(), m.end()):
+                digit, plus, point = p.groups()
+                new = DIGITS.get(digit.lower(), digit) if digit else "+" if plus else "." * bool(point)
+                parts.append((p.start(), p.end(), new))
+        tape = tape.rewrite(parts) if parts else tape
+    return tape
 
 
 def may_hide(text: str) -> bool:
@@ -192,7 +211,15 @@ def may_hide(text: str) -> bool:
     if AT_WORD.search(text) or "@" in text and DOT_WORD.search(text):
         if any(WORDED_PART.search(m.group()) for m in WORDED.finditer(text)):
             return True
-    return sum(map(SPOKEN.__contains__, TOKEN.findall(text.lower()))) >= 6
+    if "@" in text and SPACED_AT.search(text):
+        return True
+    if ("&" in text or "%" in text) and (CODED_AT.search(text) or CODED_DOT.search(text)):
+        return True
+    if (DOT_WORD.search(text) or INNER_POINT.search(text)) and WORDED_IP.search(text):
+        return True
+    # SPELLED holds six of these; ordinary words among them seldom stand in a row
+    return (sum(map(SPOKEN.__contains__, TOKEN.findall(text.lower()))) >= 6
+            and SPELLED.search(text) is not None)
 
 
 def hidden(text: str) -> list[tuple[int, int, int]]:

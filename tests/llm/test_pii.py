@@ -28,6 +28,7 @@ TEXTS = [None, "", "mail a.b@c.d_e@f.gh, x@y no@dot. @a.b a@b.c", "1.2.3.4.5.6.7
          "4111 1111 1111 1111 4111-1111-1111-1112 79927398713", "+1 (521) 555-6210. +12 +4 44    ",
          "é" * 4 + "joé@ex-ample.co.uk" + "1" * 40, "a@b.c@d.e a..b@c..d %@x.y", "+" * 50 + "123456789",
          "1 2 3 4 5 6 7", "@@@a@b.c", "x" * 50000 + "@", "1" * 50000, "+1" + " " * 50000, "9." * 20000,
+         "a @ " * 20000, "%40a" * 20000, "un dot " * 20000, "1 dot 22 " * 20000, "a@ b-" * 20000,
          "same a@b.cd", "same a@b.cd", "a@b." * 5000]
 
 
@@ -72,12 +73,13 @@ def test_the_gate_lets_through_whatever_a_transducer_changes():
             ("jane { @ } host.org", "email:0:19"), ("jane [  at  ] host.org", "email:0:22"),
             ("call plus one five five five 0 1 2 3 4 5 6", "phone:5:42"),
             ("\u00abone nine two dot one six eight dot 0 dot one\u00bb", "ip:1:45"),
+            ("at eight.eight.eight.eight now", "ip:3:26"),
             ("4111 1111 1111 111\u00b9", "card:0:19")):
         assert span in scan(text)[5].split(","), text
     rng = random.Random(4)
     parts = ["at", "AT", "dot", "punto", "arroba", "@", ".", "[", "]", "{", ">", " ", "  ", "\x85",
              "\u2028", "\n", ",", "one", "SEVEN", "z\u00e9ro", "s\u0130x", "\u017fix", "4", "1", "12",
-             "plus", "jane", "host.org", "\u00e4", "\u201c", "_", "-"]
+             "plus", "&#64;", "&period;", "%40", "%2E", "f\u00fcnf", "un", "168", "jane", "host.org", "\u00e4", "\u201c", "_", "-"]
     changed = 0
     for _ in range(20000):
         text = "".join(rng.choice(parts) + rng.choice(("", " ")) for _ in range(rng.randrange(2, 24)))
@@ -100,6 +102,30 @@ def test_hidden_spans_that_reach_beyond_a_base_span_stay():
         assert scan(text)[5] == spans, (text, scan(text)[5])
 
 
+def test_spaced_coded_and_worded_forms():
+    for text, kind, shown in (
+            ("ask john @ example.com today", "email", "john @ example.com"),
+            ("ask john@ example.com today", "email", "john@ example.com"),
+            ("ask john&#64;example.com today", "email", "john&#64;example.com"),
+            ("ask john&#x40;example&#46;com today", "email", "john&#x40;example&#46;com"),
+            ("ask john&commat;example&period;com today", "email", "john&commat;example&period;com"),
+            ("mailto:john%40example.com today", "email", "john%40example.com"),
+            ("host eight dot eight dot eight dot eight up", "ip",
+             "eight dot eight dot eight dot eight"),
+            ("host 192 dot 168 dot 1 dot 10 up", "ip", "192 dot 168 dot 1 dot 10"),
+            ("host one nine two dot 168 dot null punkt fünf up", "ip",
+             "one nine two dot 168 dot null punkt fünf"),
+            ("plus vier neun eins fünf fünf fünf eins zwei drei vier ok", "phone",
+             "plus vier neun eins fünf fünf fünf eins zwei drei vier"),
+            ("plus trois trois un un deux deux trois trois quatre un ok", "phone",
+             "plus trois trois un un deux deux trois trois quatre un")):
+        at = text.index(shown)
+        assert f"{kind}:{at}:{at + len(shown)}" in scan(text)[5].split(","), (text, scan(text)[5])
+    for text in ("see you @ noon. Bring tea", "100%40 of a", "a &amp; b", "un deux trois, un deux",
+                 "one dot two dot three", "999 dot 1 dot 1 dot 1"):
+        assert scan(text)[5] == "", (text, scan(text)[5])
+
+
 def test_plain_prose_gains_nothing_and_base_stays():
     assert scan("we met at the house of one or two old friends at noon")[5] == ""
     row = scan("plain a@b.cd and b [at] c [dot] de")
