@@ -31,12 +31,16 @@ def stream_files(spark: SparkSession, path: str, glob: str = "*",
 
 
 def stream_table(spark: SparkSession, path: str, glob: str, per_batch: int | None = None) -> DataFrame:
-    """Parquet files as they arrive; ``per_batch`` bounds the files of one batch."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    """Parquet files as they arrive; ``per_batch`` bounds the files of one batch.
+
+    What ``glob`` names may be files, or folders that hold the parts of a table.
+    """
+    # in braces, a plain name is a pattern too: as a path, the stream takes only folders
+    named = f"{path.rstrip('/')}/{{{glob}}}"
+    reader = spark.readStream.schema(spark.read.parquet(named).schema)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.parquet(path)
+    return reader.parquet(named)
 
 
 def run_available(stream: DataFrame, each_batch: Callable[[DataFrame, int], None],

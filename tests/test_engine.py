@@ -1,4 +1,5 @@
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -297,3 +298,19 @@ def test_buckets_follow_the_table(spark, tmp_path):
     assert len(before - files()) == 1
     got = {r["document_id"]: r["status"] for r in intake.read_merged(spark, path).collect()}
     assert got == {d: "completed" if d == 7 else "queued" if d < 50 else "running" for d in range(300)}
+
+
+def test_a_table_streams_from_one_file_and_from_a_folder_of_parts(spark, tmp_path):
+    """A table's name is a file in small sets and a folder of parts in larger ones."""
+    spark.range(40).repartition(4).write.parquet(str(tmp_path / "parts" / "t.parquet"))
+    spark.range(40).coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "single").mkdir()
+    shutil.copy(next((tmp_path / "made").glob("*.parquet")), tmp_path / "single" / "t.parquet")
+    for form, batches in (("parts", 2), ("single", 1)):
+        out = str(tmp_path / f"{form}-out")
+        stream = intake.stream_table(spark, str(tmp_path / form), "t.parquet", 2)
+        for _ in range(2):
+            intake.run_available(stream, intake.overwrite_batch(out, lambda b: b), out + "-progress")
+        stored = spark.read.parquet(out)
+        assert stored.select("id").distinct().count() == stored.count() == 40
+        assert stored.select("batch").distinct().count() == batches
