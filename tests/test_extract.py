@@ -93,3 +93,34 @@ def test_best_candidates_combines_repeats(spark):
 def test_bad_threshold(spark):
     with pytest.raises(ValueError):
         extract_documents(pages(spark, (1, 1, "x", None)), minimum_confidence=1.5)
+
+
+def test_documents_are_shuffled_once_by_id_and_never_by_plan(spark):
+    """Two hundred plan ids would pile all policies up in few tasks of a large table."""
+    from conftest import DATA
+    from ledgerlens.model import Tables
+    from ledgerlens.operators.extract import extract_documents, usable_pages
+    from ledgerlens.sources.rendered import policy_pages
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        df = extract_documents(usable_pages(policy_pages(Tables(spark, DATA))))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "hashpartitioning(plan_id" not in plan and "rule_no" in plan
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "rule_no" in x]
+    assert plan.count("Exchange hashpartitioning(document_id") == 1
+
+
+def test_labels_in_letters_that_fold_to_plain_ones(spark):
+    from ledgerlens.operators.extract import FIELD_RULES, candidates
+    text = "ſtatus: Active\nPOLICY NO. AB-123\nSigned Date: 2026-01-02\nıNSURED: Ann Lee"
+    rows = candidates(spark.createDataFrame(
+        [(1, 1, 1, 0.98, text)],
+        "document_id long, page_number int, page_id long, confidence_score double, "
+        "text_content string")).where("kind = 'label'").select("field").collect()
+    assert {r["field"] for r in rows} == {
+        "policy_status", "policy_number", "signature_date", "customer_name"}
+    assert all(len(s) == 2 and s.isascii() for rule in FIELD_RULES for s in rule.starts)
