@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import reconcile as rec
-from ledgerlens.plans.corpus import reconcile_pages
+from ledgerlens.operators import report
+from ledgerlens.plans.corpus import new_report, reconcile_pages
 
 RECORD = "number_key string, policy_id long, policy_number string, policy_matches long, " \
          "record_customer string, record_carrier string, record_plan string, record_status string, " \
@@ -116,3 +117,22 @@ def test_run_totals_equal_summaries(spark):
     b = result.runs.select("document_id", "total_checks", "passed_checks", "review_task_count",
                            "overall_status").collect()
     assert a == b
+
+
+@pytest.mark.parametrize("record, lines", [
+    ({}, {}), ({"has_payment": False}, {"premium": "Premium: 99.00"}),
+    ({}, {"number": "Policy Number: POL-9"})])
+def test_a_new_report_is_the_report_of_what_would_be_stored(spark, record, lines):
+    made = run(spark, record, **lines)
+    name, when = F.lit("a.pdf"), F.lit("2026-01-01 00:00:00").cast("timestamp")
+    head = made.runs.select("run_id", name.alias("document_name"),
+                            F.col("overall_status").alias("status"),
+                            F.lit("policy_document").alias("reconciliation_type"),
+                            when.alias("created_at"))
+    want = report.flat_report(head, made.findings, made.tasks)
+    got = new_report(made.checked, name, "policy_document", when)
+    assert got.dtypes == want.dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    # run, finding and task meet in the document's row
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") < want._jdf.queryExecution().optimizedPlan().toString().count("Join")
