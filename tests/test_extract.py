@@ -124,3 +124,12 @@ def test_labels_in_letters_that_fold_to_plain_ones(spark):
     assert {r["field"] for r in rows} == {
         "policy_status", "policy_number", "signature_date", "customer_name"}
     assert all(len(s) == 2 and s.isascii() for rule in FIELD_RULES for s in rule.starts)
+
+
+def test_rules_that_do_not_hit_make_no_rows(spark):
+    from ledgerlens.model import Tables
+    from ledgerlens.operators.extract import candidates, usable_pages
+    from ledgerlens.sources.rendered import policy_pages
+    found = candidates(usable_pages(policy_pages(Tables(spark, "/root/testdata/sf0.001"))))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert any("hits" in line and "filter(" in line for line in plan.splitlines())

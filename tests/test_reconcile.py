@@ -136,3 +136,14 @@ def test_a_new_report_is_the_report_of_what_would_be_stored(spark, record, lines
     # run, finding and task meet in the document's row
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") < want._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_only_the_wanted_columns_of_a_check_are_made(spark):
+    from ledgerlens.model import Tables
+    from ledgerlens.plans.business_queries import findings_of, reconciled
+    t = Tables(spark, "/root/testdata/sf0.001")
+    made = findings_of(t, "rule_code", "status")
+    assert made.columns == ["document_id", "check_no", "rule_code", "status", "run_id",
+                            "finding_id"]
+    wanted = reconciled(t).findings.select("document_id", "rule_code", "status")
+    assert sorted(made.select(*wanted.columns).collect()) == sorted(wanted.collect())
