@@ -187,3 +187,21 @@ def test_citation_limits():
     for n in (0, 11):
         with pytest.raises(ValueError):
             a.check_citations(n)
+
+
+class Held:
+    """Tells how many texts were Python objects when it was called."""
+
+    def __init__(self, width):
+        self.width = width
+
+    def embed(self, texts):
+        return [[len(sys._getframe(1).f_locals["texts"])] * self.width for _ in texts]
+
+
+def test_a_batch_is_embedded_in_pieces(spark):
+    df = spark.range(0, 600, 1, 1).select("id", F.when(F.col("id") % 7 > 0, "a b").alias("t"))
+    rows = embed_column(df, "t", EmbeddingSpec(Held, width=2)).collect()
+    assert sorted(r["id"] for r in rows) == list(range(600))
+    assert max(r["embedding"][0] for r in rows if r["embedding"]) <= 256
+    assert all((r["embedding"] is None) == (r["id"] % 7 == 0) for r in rows)
