@@ -313,35 +313,33 @@ class Assembler:
 
     def __init__(self, pattern: str, known: dict[str, bytes], merges: Merges):
         self.cut, self.merges = regex.compile(pattern), merges
-        self.known = {p: (ids, decimal(ids)) for p, ids in known.items()}
-        self.room = 0
-        self.make_room()
+        self.ids = known                # packed ids of a piece; rare pieces come and go
+        self.shown = [str(i) for i in range(max(merges.ranks.values()) + 1)]
+        self.rare: list[str] = []
+        self.room = REMEMBERED
 
     def make_room(self) -> None:
         if self.room <= 0:
-            self.room = REMEMBERED
-            self.ids = {p: x[0] for p, x in self.known.items()}      # packed ids of a piece
-            self.shown = {p: x[1] for p, x in self.known.items()}    # the same in decimal
+            for piece in self.rare:
+                del self.ids[piece]
+            self.rare, self.room = [], REMEMBERED
 
     def texts(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Packed ids of some texts, and the SHA-256 of their decimal, comma-joined form."""
         cut = list(map(self.cut.findall, texts))
         fresh = list(set().union(*cut).difference(self.ids))
         for piece, ids in zip(fresh, self.merges.many([p.encode() for p in fresh])):
-            self.ids[piece], self.shown[piece] = ids, decimal(ids)
+            self.ids[piece] = ids
             self.room -= 300 + 4 * len(piece) + 2 * len(ids)
+        self.rare += fresh
         ids, shown = self.ids.__getitem__, self.shown.__getitem__
         out = [b"".join(map(ids, pieces)) for pieces in cut]
-        digests = [hashlib.sha256(",".join(map(shown, pieces)).encode()).hexdigest()
-                   for pieces in cut]
+        digests = [hashlib.sha256(",".join(map(shown, memoryview(x).cast("i"))).encode())
+                   .hexdigest() for x in out]
         self.make_room()
         return out, digests
 
 
-def decimal(ids: bytes) -> str:
-    return ",".join(map(str, memoryview(ids).cast("i")))
-
-
 def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
                      dictionary: int = DICTIONARY) -> DataFrame:
     """``df`` with ids, decoded bytes, token count and digests of both."""

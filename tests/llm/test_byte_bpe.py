@@ -79,3 +79,16 @@ def test_merges_of_many_pieces(ranks, library):
     for piece, packed in zip(pieces, found):
         ids = [int.from_bytes(packed[i:i + 4], "little") for i in range(0, len(packed), 4)]
         assert ids == merge(piece.encode(), ranks) == library.encode_ordinary(piece)
+
+
+def test_rare_pieces_go_and_the_dictionary_stays(ranks, library, monkeypatch):
+    monkeypatch.setattr("ledgerlens.llm.byte_bpe.REMEMBERED", 1)
+    known = {" the": (ranks[b" the"]).to_bytes(4, "little")}
+    work = Assembler(public_tokenizers.PATTERN, known, Merges(ranks, pairs(ranks)))
+    for text in ("zqxv the wörd the", "zqxv kwyjibo the the", ""):
+        (ids,), (digest,) = work.texts([text])
+        want = library.encode_ordinary(text)
+        assert list(memoryview(ids).cast("i")) == want
+        assert digest == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        # one table of ids, without a second copy of the dictionary
+        assert list(work.ids) == [" the"] and work.ids is known

@@ -73,3 +73,18 @@ def test_empty_tables(spark, tmp_path):
                          ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_stages_bound_the_rows_of_a_batch(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    try:
+        for given, want in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS),
+                            ("7", 7)):
+            spark.conf.set(key, given)
+            dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, "")
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
