@@ -127,6 +127,46 @@ def test_search_equals_brute_force(spark, block):
     assert got == brute(questions, chunks, 6, 0.1)
 
 
+def test_best_pairs_are_decided_in_double_precision():
+    """Near ties that single precision cannot tell apart, copies, and rows without direction."""
+    rnd = np.random.default_rng(11)
+    asked = rnd.normal(size=(search.QUESTION_BLOCK + 40, 6))
+    asked[7] = 0
+    rows = np.vstack([asked[3] + rnd.normal(size=(300, 6)) * 1e-7, rnd.normal(size=(500, 6)),
+                      np.zeros((2, 6))])
+    rows[400:420] = rows[399]
+    best = search._Best(np.arange(len(asked)), asked, 5, 1.0)
+    for at in range(0, len(rows), 130):
+        n = len(rows[at:at + 130])
+        best.add(rows[at:at + 130], [str(i) for i in range(at, at + n)],
+                 [i % 3 for i in range(at, at + n)], list(range(at, at + n)))
+    assert best.rows[7] == []
+    unit = rows[:-2] / np.linalg.norm(rows[:-2], axis=1, keepdims=True)
+    for q in (0, 3, 50, search.QUESTION_BLOCK + 39):
+        own = asked[q] / np.linalg.norm(asked[q])
+        far = 1.0 - np.einsum("ij,ij->i", np.tile(own, (len(unit), 1)), unit)
+        want = sorted((x, i % 3, i, str(i)) for i, x in enumerate(far.tolist()) if x <= 1)[:5]
+        assert best.rows[q] == want
+
+
+def test_a_grid_of_several_question_blocks_and_slices(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    questions = [(i, rnd.normal(size=4)) for i in range(60)]
+    chunks = [(str(i), i % 5, i, rnd.normal(size=4)) for i in range(200)]
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in questions], "question_id long, vector array<float>")
+    c = spark.createDataFrame([(a_, d, i, v.tolist()) for a_, d, i, v in chunks],
+                              "chunk_id string, document_id long, chunk_index long, embedding array<float>")
+    cells = []
+    monkeypatch.setattr(search, "blocks_for", lambda n, size: cells.append(-(-n // size)) or cells[-1])
+    hits = search.nearest(q, c, 4, 6, 0.1, block=3, slice_rows=60)
+    got = {(r["question_id"], r["rank"], r["chunk_index"]) for r in hits.collect()}
+    single = lambda v: v.astype(np.float32).astype(np.float64)
+    assert got == brute([(i, single(v)) for i, v in questions],
+                        [(a_, d, i, single(v)) for a_, d, i, v in chunks], 6, 0.1)
+    # 60 questions are three cells high, not twenty: chunks are copied three times
+    assert cells[:2] == [3, 4] and cells[2] == -(-2 * spark.sparkContext.defaultParallelism // 3)
+
+
 def test_search_limits():
     for k, s in ((0, 0), (26, 0), (5, 1.5)):
         with pytest.raises(ValueError):
