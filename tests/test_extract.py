@@ -133,3 +133,17 @@ def test_rules_that_do_not_hit_make_no_rows(spark):
     found = candidates(usable_pages(policy_pages(Tables(spark, "/root/testdata/sf0.001"))))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert any("hits" in line and "filter(" in line for line in plan.splitlines())
+
+
+def test_rules_are_tried_in_compiled_code(spark):
+    found = candidates(usable_pages(pages(spark, (1, 1, FULL, 0.98))))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # a lambda over the array of rules would have them all interpreted
+    assert "filter(array(CASE" not in plan
+    assert found.where("kind = 'label'").count() == 9
+
+
+def test_statuses_inside_a_value(spark):
+    texts = ["Status: now active or lapsed", "Status: pending lapse of x", "Status: notissued"]
+    r = extract(spark, *[(i, 1, text, 0.9) for i, text in enumerate(texts)])
+    assert [r[i]["policy_status"]["value"] for i in range(3)] == ["active", "pending", None]
