@@ -147,3 +147,26 @@ def test_only_the_wanted_columns_of_a_check_are_made(spark):
                             "finding_id"]
     wanted = reconciled(t).findings.select("document_id", "rule_code", "status")
     assert sorted(made.select(*wanted.columns).collect()) == sorted(wanted.collect())
+
+
+def test_pages_of_findings_need_no_shuffle_of_findings(spark):
+    import __spark_entry__ as entry
+    from conftest import DATA
+    pages = spark.createDataFrame([(1, 1, 10), (1, 1, 12), (1, 2, 11), (2, None, 13), (2, 3, None)],
+                                  "processing_run_id long, page_number int, page_id long")
+    findings = spark.createDataFrame([(r, n) for r in (1, 2, 3) for n in (1, 2, 3, None)],
+                                     "processing_run_id long, source_page_number int")
+    plain = rec.attach_pages(findings, pages)
+    in_row = findings.join(rec.page_ids(pages), "processing_run_id", "left").withColumn(
+        "document_page_id", rec.page_of_finding()).select(plain.columns)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(plain) == rows(in_row) and (1, 1, 12) in rows(in_row)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        plan = entry.queries()["jn11_finding_pages"](spark, DATA)._jdf.queryExecution().executedPlan()
+        dealt = [x for x in plan.toString().splitlines() if "hashpartitioning(" in x]
+        assert dealt and not [x for x in dealt if "source_page_number" in x]
+    finally:
+        spark.conf.set(key, before)
